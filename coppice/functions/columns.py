@@ -56,10 +56,12 @@ def season_phases(part: str) -> list[int]:
     return list(range(0, math.floor(period / 2) + 1, step))
 
 
-def wave(value: Column | str, period: float, phase: float, kind: str) -> Column:
-    """``sin`` or ``cos`` of ``2*pi*(value + phase) / period``."""
-    angle = F.lit(2 * math.pi) * (col(value) + F.lit(phase)) / F.lit(float(period))
-    return F.sin(angle) if kind == "sin" else F.cos(angle)
+def wave(value: str, period: float, phase: float, kind: str) -> str:
+    """SQL text of ``sin`` or ``cos`` of ``2*pi*(value + phase) / period``.
+
+    Text, because a date has 58 of these and one call builds them all.
+    """
+    return f"{kind}({2 * math.pi!r}D * ({value} + {phase}) / {float(period)!r}D)"
 
 
 def decay(value: Column | str, newest: Column, annual_rate: float, year: float = YEAR_DAYS) -> Column:
@@ -90,9 +92,13 @@ def add_up(columns: list[str]) -> Column:
 
 
 def strongest(value: Column | str) -> Column:
-    """Aggregate: the signed value of largest magnitude; positive wins a tie."""
+    """Aggregate: the signed value of largest magnitude; positive wins a tie.
+
+    Magnitudes that agree in 12 decimals are a tie: the two levels of a column
+    have correlations r and -r, computed along different ways.
+    """
     usable = F.when(~F.isnan(col(value)), col(value))
-    return F.max_by(usable, F.when(usable.isNotNull(), F.struct(F.abs(usable), usable)))
+    return F.max_by(usable, F.when(usable.isNotNull(), F.struct(F.round(F.abs(usable), 12), usable)))
 
 
 def valid_place(latitude: Column | str, longitude: Column | str) -> Column:

@@ -52,6 +52,11 @@ def combine(verdicts: Iterable[Verdict]) -> Verdict:
     return not messages, messages
 
 
+def quote(name: str) -> str:
+    """A column name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def tag_name(value: object) -> str:
     """A value as part of a column name: anything but letters and digits is ``_``."""
     return "".join(ch if ch.isalnum() else "_" for ch in str(value))

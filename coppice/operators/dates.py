@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
-from coppice.functions.schema import TEMPORAL, require
+from coppice.functions.schema import TEMPORAL, quote, require
 from coppice.operators.steps import Stateless
+from coppice.session import keep_methods_compiled
 
 
 def conform_date(df: DataFrame, column: str | None) -> DataFrame:
@@ -53,10 +54,14 @@ class Season(Stateless):
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.column], TEMPORAL)
+        keep_methods_compiled(df.sparkSession)
         kept = [c for c in df.columns if c not in self.output_columns]
-        parts = df.select(*kept, *(X.date_part(self.column, p).cast("double").alias(f"__{p}") for p in self.parts))
+        parts = df.select(
+            *(F.col(quote(c)) for c in kept),
+            *(X.date_part(self.column, p).cast("double").alias(f"__{p}") for p in self.parts),
+        )
         terms = [
-            X.wave(f"__{part}", X.SEASON_PARTS[part][0], phase, kind).alias(name)
+            f"{X.wave(f'__{part}', X.SEASON_PARTS[part][0], phase, kind)} AS {quote(name)}"
             for name, part, phase, kind in self._terms()
         ]
-        return parts.select(*kept, *terms)
+        return parts.selectExpr(*map(quote, kept), *terms)

@@ -21,7 +21,7 @@ from coppice.operators.lookup import (
     take_small,
 )
 from coppice.operators.steps import Fitted, Step
-from coppice.session import materialise
+from coppice.session import keep_methods_compiled
 
 
 def distinct_levels(df: DataFrame, column: str) -> DataFrame:
@@ -132,6 +132,7 @@ class FittedOneHot(Fitted):
             name: F.when(F.col(self.column) == F.lit(level), 1).otherwise(0)
             for name, level in zip(self.output_columns, self.levels)
         }
+        keep_methods_compiled(df.sparkSession)
         return df.withColumns(flags)
 
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
+from coppice.functions.schema import quote
 from coppice.operators.dates import Season
 from coppice.operators.encode import FittedOrdinal, Ordinal
 from coppice.operators.place import PlaceFeatures
@@ -16,6 +17,7 @@ from coppice.operators.scale import Log, Ratio, ZScore
 from coppice.operators.steps import Chain, Constant, Fitted, FittedChain, Keep, RowSum, Step
 from coppice.operators.weight import Balance, Decay
 from coppice.plans.roles import FeatureRoles, TargetRole, WeightRoles
+from coppice.session import keep_methods_compiled
 
 # Above this many levels a code is split on as a number; Spark's trees keep
 # per-level statistics for each node and need maxBins >= levels.
@@ -83,9 +85,12 @@ class FittedVector(Fitted):
 
     A missing or non-finite number becomes 0, with an indicator column where
     any was missing at fit. A category unseen at fit takes a code of its own.
+    Seasonal terms are finite by construction and are only missing where
+    their date is.
     """
 
     numeric: tuple[str, ...]
+    seasonal: tuple[str, ...]
     indicated: tuple[str, ...]
     coded: tuple[str, ...]
     levels: tuple[int, ...]
@@ -97,34 +102,33 @@ class FittedVector(Fitted):
 
     @property
     def feature_names(self) -> list[str]:
-        return [*self.numeric, *(f"is_missing_{c}" for c in self.indicated), *self.coded]
+        return [*self.numeric, *self.seasonal, *(f"is_missing_{c}" for c in self.indicated), *self.coded]
 
     @property
     def bins_needed(self) -> int:
         return max([n + 1 for n in self.levels if n + 1 <= NOMINAL_LIMIT], default=2)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        prepared = {}
-        for c in self.numeric:
-            prepared[f"__x_{c}"] = F.when(_finite(c), F.col(c).cast("double")).otherwise(0.0)
+        keep_methods_compiled(df.sparkSession)
+        inputs = [f"CASE WHEN {_finite(c)} THEN CAST({quote(c)} AS DOUBLE) ELSE 0D END" for c in self.numeric]
+        inputs += [f"coalesce({quote(c)}, 0D)" for c in self.seasonal]
         for c in self.indicated:
-            known = _finite(c) if c in self.numeric else F.col(c).isNotNull()
-            prepared[f"__x_is_missing_{c}"] = F.when(known, 0.0).otherwise(1.0)
-        for c, n in zip(self.coded, self.levels):
-            prepared[f"__x_{c}"] = F.coalesce(F.col(c), F.lit(n)).cast("double")
-        df = df.withColumns(prepared)
-        for c, n in zip(self.coded, self.levels):
-            if n + 1 <= NOMINAL_LIMIT:
-                nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": n + 1}}
-                df = df.withMetadata(f"__x_{c}", nominal)
-        names = [f"__x_{c}" for c in self.feature_names]
-        return VectorAssembler(inputCols=names, outputCol=self.output).transform(df).drop(*names)
+            known = _finite(c) if c in self.numeric else f"{quote(c)} IS NOT NULL"
+            inputs.append(f"CASE WHEN {known} THEN 0D ELSE 1D END")
+        names = [f"__x_{i}" for i in range(len(self.feature_names))]
+        numbers = [F.expr(f"{value} AS {name}") for value, name in zip(inputs, names)]
+        codes = []
+        for c, n, name in zip(self.coded, self.levels, names[len(inputs) :]):
+            attributes = {"type": "nominal", "num_vals": n + 1} if n + 1 <= NOMINAL_LIMIT else {"type": "numeric"}
+            code = F.expr(f"CAST(coalesce({quote(c)}, {n}) AS DOUBLE)")
+            codes.append(code.alias(name, metadata={"ml_attr": {"name": c, **attributes}}))
+        prepared = df.select("*", *numbers, *codes)
+        return VectorAssembler(inputCols=names, outputCol=self.output).transform(prepared).drop(*names)
 
 
-def _finite(column: str):
-    value = F.col(column).cast("double")
-    known = value.isNotNull() & ~F.isnan(value)
-    return known & (F.abs(value) < F.lit(float("inf")))
+def _finite(column: str) -> str:
+    value = f"CAST({quote(column)} AS DOUBLE)"
+    return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('infinity'))"
 
 
 def fit_vector(source: DataFrame, table: DataFrame, features: FittedChain) -> FittedVector:
@@ -134,17 +138,17 @@ def fit_vector(source: DataFrame, table: DataFrame, features: FittedChain) -> Fi
     looked at. Whole numbers that cannot be null need no look.
     """
     codes = {s.output_columns[0]: s.num_classes for s in features.steps if isinstance(s, FittedOrdinal)}
-    numeric = [c for c in features.output_columns if c not in codes]
     seasons = [s for s in features.steps if isinstance(s, Season)]
-    seasonal = {c for s in seasons for c in s.output_columns}
+    seasonal = [c for s in seasons for c in s.output_columns]
+    numeric = [c for c in features.output_columns if c not in codes and c not in seasonal]
+    if not numeric and not codes and not seasonal:
+        raise ValueError("no usable feature columns")
     fractional = {f.name for f in table.schema.fields if isinstance(f.dataType, FractionalType)}
     nullable = {f.name for f in source.schema.fields if f.nullable} | (set(table.columns) - set(source.columns))
-    probes = {c: ~_finite(c) for c in numeric if c not in seasonal and (c in nullable or c in fractional)}
+    probes = {c: F.expr(f"NOT {_finite(c)}") for c in numeric if c in nullable or c in fractional}
     probes |= {s.column: F.col(s.column).isNull() for s in seasons if s.column in nullable}
     missing = []
     if probes:
         counts = table.agg(*(F.count_if(p).alias(f"n{i}") for i, p in enumerate(probes.values()))).first()
         missing = [c for i, c in enumerate(probes) if counts[i]]
-    if not numeric and not codes:
-        raise ValueError("no usable feature columns")
-    return FittedVector(tuple(numeric), tuple(missing), tuple(codes), tuple(codes.values()))
+    return FittedVector(tuple(numeric), tuple(seasonal), tuple(missing), tuple(codes), tuple(codes.values()))

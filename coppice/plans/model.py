@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.functions.schema import quote
 from coppice.operators.dates import conform_date
 from coppice.operators.encode import FittedOrdinal
 from coppice.operators.lookup import local_frame
@@ -25,12 +26,16 @@ from coppice.plans.assemble import (
 )
 from coppice.plans.contract import check_columns, needs_of
 from coppice.plans.roles import ModelRoles, Roles, infer_model_roles
-from coppice.session import checkpoint_root, store_columns
+from coppice.session import checkpoint_root
 
 logger = logging.getLogger(__name__)
 
 LABEL, WEIGHT, SCORE = "__label", "__row_weight", "__score"
 
+# A table of up to this many rows may sit in one file split; it is shuffled so
+# that all cores train. Larger tables keep the partitions of their source.
+SPREAD_ROWS = 10_000_000
+
 
 @dataclass(frozen=True)
 class TrainParams:
@@ -100,28 +105,32 @@ def train(
     if not ok:
         raise ValueError("\n".join(messages))
 
+    df = df.select(*dict.fromkeys(column for column, _, _ in needs_of(model_roles, prediction=False)))
     steps = feature_steps(model_roles.feature, places)
     features = refit_chain(steps, previous.features if previous else None, df)
     target = refit_chain(target_steps(model_roles.target), previous.target if previous else None, df)
     weight = weight_steps(model_roles.weight).fit(df)
 
-    # One plan: features, label and weight are columns of the same rows.
-    table = weight.transform(target.transform(features.transform(df)))
-    label = target.output_columns[-1]
-    table = table.withColumn(LABEL, F.col(label).cast("double")).withColumn(
-        WEIGHT, F.col(weight.output_columns[-1]).cast("double")
-    )
-    vector = fit_vector(df, table, features)
+    def labelled(rows: DataFrame) -> DataFrame:
+        weighted = weight.transform(target.transform(rows))
+        return weighted.select(
+            "*",
+            F.col(quote(target.output_columns[-1])).cast("double").alias(LABEL),
+            F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT),
+        )
 
-    # The trainers make many passes. The joins and expressions above are
-    # computed once, as columns in the shared folder: what a lost executor
-    # held is read again from there.
-    stored = store_columns(vector.transform(table).select("features", LABEL, WEIGHT), "train")
     usable = F.col(LABEL).isNotNull() & F.col(WEIGHT).isNotNull()
-    dropped = stored.agg(F.count_if(~usable)).first()[0]
+    rows, dropped = labelled(df).agg(F.count(F.lit(1)), F.count_if(~usable)).first()
     if dropped:
         logger.warning("%d rows without a label or weight are not used for training", dropped)
-    ready = stored.filter(usable)
+    vector = fit_vector(df, features.transform(df), features)
+
+    # One plan: features, label and weight are columns of the same rows. The
+    # trainers read it a few times and keep their own binned copy, so it is
+    # not stored: recomputing its expressions costs less than writing vectors.
+    if rows <= SPREAD_ROWS:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    ready = vector.transform(features.transform(labelled(df).filter(usable))).select("features", LABEL, WEIGHT)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
     estimator = _estimator(params, num_classes, max(params.bins, vector.bins_needed))
     model = estimator.fit(ready)

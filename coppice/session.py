@@ -37,12 +37,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store_columns(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and scan it from there.
+# Spark's default, and the largest method HotSpot compiles.
+HUGE_METHOD, COMPILED_METHOD = "65535", "8000"
 
-    Preferred over :func:`materialise` when later readers want a few columns
-    only, or should plan with the real file sizes.
+
+def keep_methods_compiled(spark: SparkSession) -> None:
+    """Let stages with very many expressions fall back to split-up projections.
+
+    HotSpot interprets methods above 8000 bytes of bytecode, and one stage of
+    generated code with dozens of feature columns is far above that: leaving
+    it whole costs several times the run time. A limit the user has set stays.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name, HUGE_METHOD) == HUGE_METHOD:
+        spark.conf.set(name, COMPILED_METHOD)
