@@ -14,8 +14,10 @@ from coppice.operators.lookup import (
     WEIGHT,
     KeyedTable,
     attach,
+    computed_once,
     count_keys,
     freeze,
+    large_table,
     local_frame,
     number_rows,
     take_small,
@@ -45,15 +47,17 @@ def num_classes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _coded(counts: DataFrame, first: int) -> tuple[KeyedTable, int]:
     """Number the levels of ``counts`` from ``first`` in order, null first."""
-    rows = take_small(counts)
-    if rows is not None:
-        rows.sort(key=lambda r: (r["level"] is not None, r["level"]))
-        rows = [{**r, "code": first + i} for i, r in enumerate(rows)]
-        frame = local_frame(counts.sparkSession, rows, f"level string, {WEIGHT} bigint, code bigint")
-        return KeyedTable(frame, ("level",), True), len(rows)
-    numbered, n = number_rows(counts, [F.col("level").asc_nulls_first()], "position")
-    coded = numbered.select("level", WEIGHT, (F.col("position") + first).alias("code"))
-    return freeze(coded, ["level"]), n
+    with computed_once(counts) as cached:
+        rows = take_small(cached)
+        if rows is None:
+            order = [F.col("level").asc_nulls_first()]
+            numbered, n = number_rows(cached.withColumn(SALT, F.lit(0)), order, "position")
+            coded = numbered.select("level", WEIGHT, SALT, (F.col("position") + first).alias("code"))
+            return large_table(coded, ["level"]), n
+    rows.sort(key=lambda r: (r["level"] is not None, r["level"]))
+    rows = [{**r, "code": first + i} for i, r in enumerate(rows)]
+    frame = local_frame(counts.sparkSession, rows, f"level string, {WEIGHT} bigint, code bigint")
+    return KeyedTable(frame, ("level",), True), len(rows)
 
 
 @dataclass(frozen=True)

@@ -11,12 +11,14 @@ broadcast (at most ``HOT_SHARE`` keys can each hold more than one in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,36 +74,48 @@ def _is_wide(table: DataFrame) -> Column:
     return reduce(or_, [F.coalesce(F.octet_length(c) > SMALL_KEY_BYTES, F.lit(False)) for c in texts], F.lit(False))
 
 
-def freeze(table: DataFrame, keys: Sequence[str], edit: Callable[[list[dict]], list[dict]] | None = None) -> KeyedTable:
-    """Compute a table with unique ``keys`` and settle how it will be joined.
+def freeze(table: DataFrame, keys: Sequence[str]) -> KeyedTable:
+    """Compute a table with unique ``keys`` once and settle how it will be joined.
 
     An optional ``__weight`` column says how many rows each key stood for.
-    ``edit`` may sort the rows of a small table; columns stay the same.
     """
-    rows = take_small(table)
-    if rows is not None:
-        rows = edit(rows) if edit else rows
-        return KeyedTable(local_frame(table.sparkSession, rows, table.schema), tuple(keys), True)
-    stored = materialise(table.withColumn(SALT, F.lit(0)))
-    hot = _frequent(stored) if WEIGHT in stored.columns else None
+    with computed_once(table) as cached:
+        rows = take_small(cached)
+        if rows is not None:
+            return KeyedTable(local_frame(table.sparkSession, rows, table.schema), tuple(keys), True)
+        return large_table(materialise(cached.withColumn(SALT, F.lit(0))), keys)
+
+
+@contextmanager
+def computed_once(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep an aggregate between the look at its size and its storage."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
+def large_table(stored: DataFrame, keys: Sequence[str]) -> KeyedTable:
+    """A keyed table beyond the broadcast bound, stored with its ``__salt`` column."""
+    hot = _frequent(stored, stored) if WEIGHT in stored.columns else None
     return KeyedTable(stored, tuple(keys), False, hot)
 
 
 def reopen(table: DataFrame, keys: Sequence[str]) -> KeyedTable:
     """The keyed table saved as ``table`` by an earlier session."""
-    if SALT in table.columns:
-        return KeyedTable(table, tuple(keys), False, _frequent(table) if WEIGHT in table.columns else None)
-    return freeze(table, keys)
+    return large_table(table, keys) if SALT in table.columns else freeze(table, keys)
 
 
-def _frequent(counted: DataFrame) -> DataFrame:
-    """The narrow rows that stand for more than one in ``HOT_SHARE`` rows each.
+def _frequent(counted: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``counted`` whose key stands for more than one in ``HOT_SHARE`` rows.
 
-    There are fewer than ``HOT_SHARE`` of them. A wide key is left to the
-    adaptive skew join, because a thousand of them need not fit in memory.
+    There are fewer than ``HOT_SHARE`` of them, so they fit in a local
+    relation. Wide ones are left to the adaptive skew join.
     """
-    total = counted.agg(F.sum(WEIGHT)).first()[0] or 0
-    return materialise(counted.filter((F.col(WEIGHT) > total / HOT_SHARE) & ~_is_wide(counted)))
+    total = rows.agg(F.sum(WEIGHT) if WEIGHT in rows.columns else F.count(F.lit(1))).first()[0] or 0
+    hot = counted.filter((F.col(WEIGHT) > total / HOT_SHARE) & ~_is_wide(counted))
+    return local_frame(counted.sparkSession, [r.asDict() for r in hot.collect()], counted.schema)
 
 
 def count_keys(df: DataFrame, keys: Mapping[str, Column | str]) -> DataFrame:
@@ -140,9 +154,9 @@ def attach(
 
     hot = table.hot
     if hot is None:
-        counted = materialise(count_keys(df, on))
-        keys = _frequent(counted).select(*table.keys)
-        hot = materialise(table.frame.join(F.broadcast(keys), _same(table.frame, keys, table.keys), "left_semi"))
+        keys = _frequent(count_keys(df, on), df)
+        narrow = table.frame.filter(~_is_wide(table.frame))
+        hot = narrow.join(F.broadcast(keys), _same(narrow, keys, table.keys), "left_semi")
     hot = side(hot.withColumn("__found", F.lit(True)), "__h_", ["__found"])
     hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     spread_over = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -33,7 +33,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(value) if isinstance(value, str) else value, digits)
+    """Rounded half up by plain arithmetic, which both engines do alike and fast."""
+    value = F.col(value) if isinstance(value, str) else value
+    scale = F.lit(float(10**digits))
+    return F.floor(value.cast("double") * scale + F.lit(0.5)) / scale
 
 
 def big(value: Column | str) -> Column:
@@ -41,5 +44,5 @@ def big(value: Column | str) -> Column:
 
 
 def r(expression: str, digits: int = 6) -> str:
-    """SQL: rounded, and without a negative zero."""
-    return f"(round({expression}, {digits}) + 0.0::DOUBLE)"
+    """SQL text of :func:`rounded`."""
+    return f"(floor(({expression})::DOUBLE * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE)"
