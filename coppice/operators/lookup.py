@@ -159,7 +159,8 @@ def attach(
         hot = narrow.join(F.broadcast(keys), _same(narrow, keys, table.keys), "left_semi")
     hot = side(hot.withColumn("__found", F.lit(True)), "__h_", ["__found"])
     hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread_over = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Many more values than tasks, so that hashing them fills the tasks evenly.
+    spread_over = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no_partner = F.col("__found").isNotNull()
     if not null_safe:
         no_partner = reduce(or_, [col(c).isNull() for c in on.values()], no_partner)

@@ -37,13 +37,13 @@ def places_from_provider(
 ) -> DataFrame:
     """Ask ``provider`` for the features of distinct places, batch by batch on the executors."""
 
+    columns = ["latitude", "longitude", *place_columns()]
+
     def ask(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            answer = provider(batch)
-            yield answer[["latitude", "longitude", *place_columns()]]
+            yield provider(batch)[columns]
 
-    schema = ", ".join(f"{c} double" for c in ("latitude", "longitude", *place_columns()))
-    return places.select("latitude", "longitude").mapInPandas(ask, schema)
+    return places.select("latitude", "longitude").mapInPandas(ask, ", ".join(f"{c} double" for c in columns))
 
 
 @dataclass(frozen=True)
