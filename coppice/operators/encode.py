@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,10 +17,12 @@ from coppice.operators.lookup import (
     attach,
     computed_once,
     count_keys,
+    count_levels,
     freeze,
     large_table,
     local_frame,
     number_rows,
+    small_levels,
     take_small,
 )
 from coppice.operators.steps import Fitted, Step
@@ -45,16 +48,17 @@ def num_classes(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
-def _coded(counts: DataFrame, first: int) -> tuple[KeyedTable, int]:
-    """Number the levels of ``counts`` from ``first`` in order, null first."""
-    with computed_once(counts) as cached:
-        rows = take_small(cached)
-        if rows is None:
-            order = [F.col("level").asc_nulls_first()]
-            numbered, n = number_rows(cached.withColumn(SALT, F.lit(0)), order, "position")
-            coded = numbered.select("level", WEIGHT, SALT, (F.col("position") + first).alias("code"))
-            return large_table(coded, ["level"]), n
-    rows.sort(key=lambda r: (r["level"] is not None, r["level"]))
+def _coded(counts: DataFrame, first: int, rows: list[dict] | None) -> tuple[KeyedTable, int]:
+    """Number the levels of ``counts`` from ``first`` in order, null first.
+
+    ``rows`` are those of ``counts`` if there are few.
+    """
+    if rows is None:
+        order = [F.col("level").asc_nulls_first()]
+        numbered, n = number_rows(counts.withColumn(SALT, F.lit(0)), order, "position")
+        coded = numbered.select("level", WEIGHT, SALT, (F.col("position") + first).alias("code"))
+        return large_table(coded, ["level"]), n
+    rows = sorted(rows, key=lambda r: (r["level"] is not None, r["level"]))
     rows = [{**r, "code": first + i} for i, r in enumerate(rows)]
     frame = local_frame(counts.sparkSession, rows, f"level string, {WEIGHT} bigint, code bigint")
     return KeyedTable(frame, ("level",), True), len(rows)
@@ -89,7 +93,8 @@ class FittedOrdinal(Fitted):
             F.col("level").eqNullSafe(F.col("known")),
             "left_anti",
         )
-        added, n = _coded(unseen, self.num_classes)
+        with computed_once(unseen) as cached:
+            added, n = _coded(cached, self.num_classes, take_small(cached))
         if n == 0:
             return self
         both = self.table.frame.select("level", WEIGHT, "code").unionByName(
@@ -113,11 +118,22 @@ class Ordinal(Step):
         return [f"ordinal_{self.column}"]
 
     def fit(self, df: DataFrame) -> FittedOrdinal:
-        require(df, [self.column], CATEGORICAL)
-        table, n = _coded(count_keys(df, {"level": self.column}), 0)
-        if n == 0:
-            raise ValueError(f"no rows to learn the levels of {self.column} from")
-        return FittedOrdinal(self.column, table, n)
+        return self.fit_many([self], df)[0]
+
+    @classmethod
+    def fit_many(cls, steps: Sequence[Ordinal], df: DataFrame) -> list[FittedOrdinal]:
+        columns = [s.column for s in steps]
+        require(df, columns, CATEGORICAL)
+        fitted = []
+        with computed_once(count_levels(df, columns)) as counted:
+            small = small_levels(counted)
+            for c in columns:
+                counts = counted.filter(F.col("column") == c).select("level", WEIGHT)
+                table, n = _coded(counts, 0, small.get(c))
+                if n == 0:
+                    raise ValueError(f"no rows to learn the levels of {c} from")
+                fitted.append(FittedOrdinal(c, table, n))
+        return fitted
 
 
 @dataclass(frozen=True)
@@ -170,7 +186,7 @@ class OneHot(Step):
 
     @property
     def output_columns(self) -> list[str]:
-        raise ValueError("the indicator columns are known after fit only")
+        return []  # known after fit only
 
     def fit(self, df: DataFrame) -> FittedOneHot:
         require(df, [self.column], CATEGORICAL)

@@ -123,6 +123,45 @@ def count_keys(df: DataFrame, keys: Mapping[str, Column | str]) -> DataFrame:
     return df.groupBy(*(col(c).alias(k) for k, c in keys.items())).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
+def grouping_set_id(members: Sequence[int], width: int) -> int:
+    """The ``grouping_id`` of the set that keeps ``members``: one bit per column left out."""
+    return sum(1 << (width - 1 - i) for i in range(width) if i not in members)
+
+
+def count_levels(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """``(column, level, __weight, ...)`` of several text columns, from one pass.
+
+    ``extra`` are further aggregates per level.
+    """
+    keys = [F.col(f"__key_{i}") for i in range(len(columns))]
+    keyed = df.select("*", *(F.col(c).alias(f"__key_{i}") for i, c in enumerate(columns)))
+    counted = keyed.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("__set"), F.count(F.lit(1)).alias(WEIGHT), *extra
+    )
+    column, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (c, key) in enumerate(zip(columns, keys)):
+        mine = F.col("__set") == grouping_set_id([i], len(columns))
+        column, level = F.when(mine, F.lit(c)).otherwise(column), F.when(mine, key).otherwise(level)
+    return counted.select(column.alias("column"), level.alias("level"), *counted.columns[len(columns) + 1 :])
+
+
+def small_levels(counted: DataFrame) -> dict[str, list[dict]]:
+    """The rows of each column of :func:`count_levels` that has few and narrow levels."""
+    sizes = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("level")).alias("width"))
+    small = {
+        r["column"]: r["n"]
+        for r in sizes.collect()
+        if r["n"] <= SMALL_ROWS and (r["width"] or 0) <= SMALL_KEY_BYTES
+    }
+    batches = [list(small)] if sum(small.values()) <= SMALL_ROWS else [[c] for c in small]
+    found: dict[str, list[dict]] = {c: [] for c in small}
+    for batch in batches:
+        for row in counted.filter(F.col("column").isin(batch)).collect():
+            values = row.asDict()
+            found[values.pop("column")].append(values)
+    return found
+
+
 def attach(
     df: DataFrame,
     table: KeyedTable,

@@ -22,7 +22,16 @@ from pyspark.sql.types import LongType, StructField, StructType
 from coppice.functions import columns as X
 from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, require
 from coppice.operators.encode import OneHot
-from coppice.operators.lookup import WEIGHT, KeyedTable, attach, freeze, local_frame, number_rows
+from coppice.operators.lookup import (
+    WEIGHT,
+    KeyedTable,
+    attach,
+    count_levels,
+    freeze,
+    grouping_set_id,
+    local_frame,
+    number_rows,
+)
 from coppice.session import materialise
 
 # Pearson over indicator columns needs a square matrix of this width on the driver.
@@ -160,37 +169,26 @@ def _margins(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str])
         *(F.var_pop(_number(c)).alias(f"var{i}") for i, c in enumerate(numeric)),
     ).first()
     n = totals["n"]
-    keys = [F.col(f"k{i}") for i in range(len(categorical))]
     narrow = df.select(
-        *(F.col(c).alias(f"k{i}") for i, c in enumerate(categorical)),
-        *((_number(c) - F.lit(totals[f"mean{i}"])).alias(f"y{i}") for i, c in enumerate(numeric)),
+        *categorical,
+        *((_number(c) - F.lit(totals[f"mean{i}"])).alias(f"__y{i}") for i, c in enumerate(numeric)),
     )
-    grouped = narrow.groupingSets([[k] for k in keys], *keys).agg(
-        F.grouping_id().alias("which"),
-        F.count(F.lit(1)).alias(WEIGHT),
-        *(F.sum(f"y{i}").alias(f"s{i}") for i in range(len(numeric))),
-    )
-    which = {_set_id([i], len(categorical)): (c, f"k{i}") for i, c in enumerate(categorical)}
-    column = reduce(lambda acc, kv: acc.when(F.col("which") == kv[0], kv[1][0]), which.items(), F.when(F.lit(False), ""))
-    level = reduce(
-        lambda acc, kv: acc.when(F.col("which") == kv[0], F.col(kv[1][1])), which.items(), F.when(F.lit(False), "")
-    )
-    share = F.col(WEIGHT) / F.lit(float(max(n, 1)))
+    sums = [F.sum(f"__y{i}").alias(f"s{i}") for i in range(len(numeric))]
+    rows = F.lit(float(max(n, 1)))
+    share = F.col("share")
     table = (
-        grouped.select(column.alias("column"), level.alias("level"), WEIGHT, *(f"s{i}" for i in range(len(numeric))))
+        count_levels(narrow, categorical, sums)
         .filter("level is not null")
-        .withColumn("share", share)
-        .withColumn("odds", F.try_divide("share", F.lit(1.0) - F.col("share")))
+        .withColumn("share", F.col(WEIGHT) / rows)
         .select(
             "column",
             "level",
             WEIGHT,
             "share",
-            "odds",
+            F.try_divide(share, 1 - share).alias("odds"),
             *(
                 F.try_divide(
-                    F.col(f"s{i}") / F.lit(float(max(n, 1))),
-                    F.sqrt(F.lit(totals[f"var{i}"]) * F.col("share") * (F.lit(1.0) - F.col("share"))),
+                    F.col(f"s{i}") / rows, F.sqrt(F.lit(totals[f"var{i}"]) * share * (1 - share))
                 ).alias(f"r{i}")
                 for i in range(len(numeric))
             ),
@@ -199,11 +197,6 @@ def _margins(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str])
     return freeze(table, ["column", "level"]), n
 
 
-def _set_id(members: Sequence[int], width: int) -> int:
-    """The grouping id of the set that keeps ``members``: one bit per column left out."""
-    return sum(1 << (width - 1 - i) for i in range(width) if i not in members)
-
-
 def level_correlation(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """``(column, level, number, corr)`` for each level's indicator against each number."""
     margins, _ = _margins(df, categorical, numeric)
@@ -230,7 +223,7 @@ def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: Keyed
     )
     sides = []
     for a, b in pairs:
-        hit = F.col("which") == _set_id([place[a], place[b]], len(names))
+        hit = F.col("which") == grouping_set_id([place[a], place[b]], len(names))
         row = F.struct(
             F.lit(a).alias("col_a"),
             F.lit(b).alias("col_b"),

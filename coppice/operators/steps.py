@@ -8,7 +8,7 @@ A :class:`Step` is a description. ``fit`` looks at a table and returns a
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,6 +43,11 @@ class Step(ABC):
     @abstractmethod
     def fit(self, df: DataFrame) -> Fitted: ...
 
+    @classmethod
+    def fit_many(cls, steps: Sequence[Step], df: DataFrame) -> list[Fitted]:
+        """Fit several steps of this class on one table; override to share a pass."""
+        return [step.fit(df) for step in steps]
+
 
 class Stateless(Step, Fitted):
     """A step whose description is all it needs."""
@@ -151,12 +156,33 @@ class Chain(Step):
     def output_columns(self) -> list[str]:
         return [c for s in self.steps for c in s.output_columns]
 
-    def fit(self, df: DataFrame) -> FittedChain:
-        fitted: list[Fitted] = []
+    def fit(self, df: DataFrame, known: Mapping[Step, Fitted] | None = None) -> FittedChain:
+        """Fit all steps but the ``known`` ones.
+
+        Steps that read source columns only are fitted on the source, those of
+        one class together; the others on the output of the steps before them.
+        """
+        done = dict(known or {})
+        produced: set[str] = set()
+        direct: dict[type[Step], list[Step]] = {}
+        dependent = []
+        for step in self.steps:
+            if step not in done:
+                if all(c in df.columns and c not in produced for c in step.input_columns):
+                    direct.setdefault(type(step), []).append(step)
+                else:
+                    dependent.append(step)
+            produced.update(c for c in step.output_columns if c not in step.input_columns)
+        for kind, steps in direct.items():
+            done.update(zip(steps, kind.fit_many(steps, df)))
         for step in self.steps:
-            fitted.append(step.fit(df))
-            df = fitted[-1].transform(df)
-        return FittedChain(tuple(fitted))
+            if not dependent:
+                break
+            if step in dependent:
+                done[step] = step.fit(df)
+                dependent.remove(step)
+            df = done[step].transform(df)
+        return FittedChain(tuple(done[step] for step in self.steps))
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

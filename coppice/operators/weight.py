@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from coppice.functions import columns as X
 from coppice.functions.schema import CATEGORICAL, TEMPORAL, require
-from coppice.operators.lookup import WEIGHT, KeyedTable, attach, count_keys, freeze
+from coppice.operators.lookup import (
+    WEIGHT,
+    KeyedTable,
+    attach,
+    computed_once,
+    count_keys,
+    count_levels,
+    freeze,
+    local_frame,
+    small_levels,
+)
 from coppice.operators.steps import Fitted, Step
 
 
@@ -99,11 +109,29 @@ class Balance(Step):
         return [f"balance_{self.column}"]
 
     def fit(self, df: DataFrame) -> FittedBalance:
-        require(df, [self.column], CATEGORICAL + TEMPORAL)
-        by_day = not isinstance(df.schema[self.column].dataType, StringType)
-        key: Column = X.day_of(self.column) if by_day else F.col(self.column)
-        counts = count_keys(df, {"key": key}).withColumn("share", F.lit(1.0) / F.col(WEIGHT))
-        return FittedBalance(self.column, by_day, freeze(counts, ["key"]))
+        return self.fit_many([self], df)[0]
+
+    @classmethod
+    def fit_many(cls, steps: Sequence[Balance], df: DataFrame) -> list[FittedBalance]:
+        require(df, [s.column for s in steps], CATEGORICAL + TEMPORAL)
+        text = [s.column for s in steps if isinstance(df.schema[s.column].dataType, StringType)]
+        share = (F.lit(1.0) / F.col(WEIGHT)).alias("share")
+        tables = {}
+        for step in steps:
+            if step.column not in text:
+                counts = count_keys(df, {"key": X.day_of(step.column)})
+                tables[step.column] = freeze(counts.select("*", share), ["key"])
+        if text:
+            with computed_once(count_levels(df, text)) as counted:
+                for c, rows in small_levels(counted).items():
+                    few = [{"key": r["level"], WEIGHT: r[WEIGHT], "share": 1.0 / r[WEIGHT]} for r in rows]
+                    frame = local_frame(df.sparkSession, few, f"key string, {WEIGHT} bigint, share double")
+                    tables[c] = KeyedTable(frame, ("key",), True)
+                for c in text:
+                    if c not in tables:
+                        counts = counted.filter(F.col("column") == c).select(F.col("level").alias("key"), WEIGHT, share)
+                        tables[c] = freeze(counts, ["key"])
+        return [FittedBalance(s.column, s.column not in text, tables[s.column]) for s in steps]
 
 
 def group_count(df: DataFrame, column: str) -> DataFrame:

@@ -68,15 +68,9 @@ def weight_steps(roles: WeightRoles) -> Chain:
 
 def refit_chain(chain: Chain, previous: FittedChain | None, df: DataFrame) -> FittedChain:
     """Fit, but let categories keep the codes they had in ``previous`` and append new ones."""
-    if previous is None:
-        return chain.fit(df)
-    known = {s.column: s for s in previous.steps if isinstance(s, FittedOrdinal)}
-    fitted: list[Fitted] = []
-    for step in chain.steps:
-        old = known.get(step.column) if isinstance(step, Ordinal) else None
-        fitted.append(old.extend(df) if old else step.fit(df))
-        df = fitted[-1].transform(df)
-    return FittedChain(tuple(fitted))
+    old = {s.column: s for s in previous.steps if isinstance(s, FittedOrdinal)} if previous else {}
+    known = {s: old[s.column].extend(df) for s in chain.steps if isinstance(s, Ordinal) and s.column in old}
+    return chain.fit(df, known)
 
 
 @dataclass(frozen=True)

@@ -26,7 +26,7 @@ from coppice.plans.assemble import (
 )
 from coppice.plans.contract import check_columns, needs_of
 from coppice.plans.roles import ModelRoles, Roles, infer_model_roles
-from coppice.session import checkpoint_root
+from coppice.session import checkpoint_root, store_columns
 
 logger = logging.getLogger(__name__)
 
@@ -89,16 +89,26 @@ def train(
     places: DataFrame | None = None,
     previous: Trained | None = None,
     model_roles: ModelRoles | None = None,
+    store_input: bool = False,
 ) -> Trained:
     """Fit features, target, weight and model on ``df``.
 
     ``previous`` keeps an earlier model's roles and category codes. Rows whose
     label or weight is null are left out and counted in ``dropped_rows``.
+
+    Fitting reads ``df`` about a dozen times, a few columns each. Set
+    ``store_input`` if ``df`` is more than a scan, a join say: the columns
+    with a role are then computed once and read from the shared folder.
     """
     params = params or TrainParams()
     roles.require_features()
+    roles.check_table(df)
     checkpoint_root(df.sparkSession)
     df = conform_date(df, roles.date)
+    if store_input:
+        place = [roles.latitude, roles.longitude] if roles.is_spatial else []
+        date = [roles.date] if roles.date else []
+        df = store_columns(select_columns(df, [*roles.features, roles.target, *date, *place, *(roles.groups or ())]))
     if model_roles is None:
         model_roles = previous.model_roles if previous else infer_model_roles(roles, df)
     ok, messages = check_columns(df, needs_of(model_roles, prediction=False))

@@ -156,25 +156,21 @@ class Registry:
         return list_models(self.models(), self.calls())
 
 
-def quota(models: DataFrame, calls: DataFrame) -> DataFrame:
-    """``(model_key, remaining_calls)``: the limit minus the calls made.
-
-    Calls are counted before they are joined, so a busy model costs no more
-    than an idle one.
-    """
+def _with_remaining(models: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls are counted before they are joined, so a busy model costs no more than an idle one."""
     made = calls.groupBy("model_key").agg(F.count(F.lit(1)).alias("made"))
-    joined = models.select("model_key", "call_limit").join(made, "model_key", "left")
-    left = F.col("call_limit") - F.coalesce("made", F.lit(0))
-    return joined.select("model_key", left.cast("bigint").alias("remaining_calls"))
+    left = (F.col("call_limit") - F.coalesce("made", F.lit(0))).cast("bigint")
+    return models.join(made, "model_key", "left").withColumn("remaining_calls", left).drop("made", "call_limit")
+
+
+def quota(models: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(model_key, remaining_calls)``: the limit minus the calls made."""
+    return _with_remaining(models.select("model_key", "call_limit"), calls)
 
 
 def list_models(models: DataFrame, calls: DataFrame) -> DataFrame:
     """The registry with remaining calls, newest first."""
-    return (
-        models.join(quota(models, calls), "model_key")
-        .drop("call_limit")
-        .orderBy(F.col("created_at").desc(), "model_key")
-    )
+    return _with_remaining(models, calls).orderBy(F.col("created_at").desc(), "model_key")
 
 
 def same_problem_models(models: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ ORDER_ROLES = Roles(
 
 def price_model(spark, sf, params=SMALL):
     df = order_rows(spark, sf)
-    return train(ORDER_ROLES, df, params), df
+    return train(ORDER_ROLES, df, params, store_input=True), df
 
 
 @query("train_predict_regression")
@@ -39,7 +39,7 @@ def train_predict_binary(spark, sf):
     """Quality of the labelled documents, predicted for all documents."""
     docs = labelled(spark, sf)
     roles = Roles(target="grade", target_is_categorical=True, features=("lang", "source", "n_chars"))
-    trained = train(roles, docs.filter("grade is not null"), SMALL)
+    trained = train(roles, docs.filter("grade is not null"), SMALL, store_input=True)
     scored, _ = try_predict(trained, docs, "prediction")
     return scored.select("doc_id", "prediction")
 

@@ -37,6 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store_columns(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and scan it from there.
+
+    Unlike :func:`materialise` later readers can read a few columns only.
+    """
+    path = scratch_path(df.sparkSession, "columns")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Spark's default, and the largest method HotSpot compiles.
 HUGE_METHOD, COMPILED_METHOD = "65535", "8000"
 
