@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -59,7 +60,7 @@ def quote(name: str) -> str:
 
 def tag_name(value: object) -> str:
     """A value as part of a column name: anything but letters and digits is ``_``."""
-    return "".join(ch if ch.isalnum() else "_" for ch in str(value))
+    return re.sub(r"\W", "_", str(value))
 
 
 def distinct_names(names: Iterable[str]) -> list[str]:

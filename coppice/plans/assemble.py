@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
@@ -109,15 +109,22 @@ class FittedVector(Fitted):
         for c in self.indicated:
             known = _finite(c) if c in self.numeric else f"{quote(c)} IS NOT NULL"
             inputs.append(f"CASE WHEN {known} THEN 0D ELSE 1D END")
-        names = [f"__x_{i}" for i in range(len(self.feature_names))]
-        numbers = [F.expr(f"{value} AS {name}") for value, name in zip(inputs, names)]
-        codes = []
-        for c, n, name in zip(self.coded, self.levels, names[len(inputs) :]):
-            attributes = {"type": "nominal", "num_vals": n + 1} if n + 1 <= NOMINAL_LIMIT else {"type": "numeric"}
-            code = F.expr(f"CAST(coalesce({quote(c)}, {n}) AS DOUBLE)")
-            codes.append(code.alias(name, metadata={"ml_attr": {"name": c, **attributes}}))
-        prepared = df.select("*", *numbers, *codes)
-        return VectorAssembler(inputCols=names, outputCol=self.output).transform(prepared).drop(*names)
+        inputs += [f"CAST(coalesce({quote(c)}, {n}) AS DOUBLE)" for c, n in zip(self.coded, self.levels)]
+        vector = array_to_vector(F.expr(f"array({', '.join(inputs)})"))
+        return df.withColumn(self.output, vector.alias(self.output, metadata=self._attributes()))
+
+    def _attributes(self) -> dict:
+        """Names of the features, and which are codes of how many levels, as Spark ML reads them."""
+        first_code = len(self.feature_names) - len(self.coded)
+        attributes: dict[str, list[dict]] = {"numeric": [], "nominal": []}
+        for i, name in enumerate(self.feature_names):
+            levels = self.levels[i - first_code] + 1 if i >= first_code else None
+            if levels is not None and levels <= NOMINAL_LIMIT:
+                attributes["nominal"].append({"idx": i, "name": name, "num_vals": levels})
+            else:
+                attributes["numeric"].append({"idx": i, "name": name})
+        kept = {kind: listed for kind, listed in attributes.items() if listed}
+        return {"ml_attr": {"attrs": kept, "num_attrs": len(self.feature_names)}}
 
 
 def _finite(column: str) -> str:

@@ -33,7 +33,8 @@ logger = logging.getLogger(__name__)
 LABEL, WEIGHT, SCORE = "__label", "__row_weight", "__score"
 
 # A table of up to this many rows may sit in one file split; it is shuffled so
-# that all cores train. Larger tables keep the partitions of their source.
+# that all cores train, and its vectors are kept between passes. Larger tables
+# keep the partitions of their source.
 SPREAD_ROWS = 10_000_000
 
 
@@ -136,14 +137,16 @@ def train(
     vector = fit_vector(df, features.transform(df), features)
 
     # One plan: features, label and weight are columns of the same rows. The
-    # trainers read it a few times and keep their own binned copy, so it is
-    # not stored: recomputing its expressions costs less than writing vectors.
-    if rows <= SPREAD_ROWS:
+    # trainers read it a few times and keep their own binned copy, so a large
+    # one is not stored: its expressions cost less than writing the vectors.
+    few = rows <= SPREAD_ROWS
+    if few:
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     ready = vector.transform(features.transform(labelled(df).filter(usable))).select("features", LABEL, WEIGHT)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
     estimator = _estimator(params, num_classes, max(params.bins, vector.bins_needed))
-    model = estimator.fit(ready)
+    model = estimator.fit(ready.persist() if few else ready)
+    ready.unpersist()
     return Trained(roles, model_roles, features, vector, target, model, dropped)
 
 
