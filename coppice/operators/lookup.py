@@ -22,7 +22,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, StringType, StructType
+from pyspark.sql.types import (
+    BinaryType,
+    DateType,
+    NumericType,
+    StringType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from coppice.functions.columns import col, unit_hash
 from coppice.session import materialise
@@ -197,13 +205,13 @@ def attach(
         narrow = table.frame.filter(~_is_wide(table.frame))
         hot = narrow.join(F.broadcast(keys), _same(narrow, keys, table.keys), "left_semi")
     hot = side(hot.withColumn("__found", F.lit(True)), "__h_", ["__found"])
-    hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread_by = _spread_columns(df, on)
     # Many more values than tasks, so that hashing them fills the tasks evenly.
     spread_over = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no_partner = F.col("__found").isNotNull()
     if not null_safe:
         no_partner = reduce(or_, [col(c).isNull() for c in on.values()], no_partner)
-    spread = F.when(no_partner, F.pmod(F.xxhash64(*hashable), F.lit(spread_over)).cast("int") + 1).otherwise(0)
+    spread = F.when(no_partner, F.pmod(F.xxhash64(*spread_by), F.lit(spread_over)).cast("int") + 1).otherwise(0)
     joined = (
         df.join(F.broadcast(hot), matching("__h_"), "left")
         .withColumn("__spread", spread)
@@ -222,6 +230,23 @@ def attach(
     )
 
 
+def _spread_columns(df: DataFrame, on: Mapping[str, Column | str]) -> list[str]:
+    """Columns that tell rows of one key apart: the fixed-width ones, or all if those are few.
+
+    A hash of columns, unlike a random number, is the same when a lost task is
+    repeated. Texts are left out if possible, so that they need not be read.
+    """
+    keys = {c for c in on.values() if isinstance(c, str)}
+    fixed = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType)) and f.name not in keys
+    ]
+    if len(fixed) > 1:
+        return fixed
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 

@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from dataclasses import fields, is_dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import classification, regression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,13 +102,12 @@ class Registry:
         self.folder = folder.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        location = jvm.org.apache.hadoop.fs.Path(path)
-        files = location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(location):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return local_frame(self.spark, [], schema)
-        return self.spark.read.schema(schema).parquet(path)
 
     def models(self) -> DataFrame:
         return self._table("registry", REGISTRY)

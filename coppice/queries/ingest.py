@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from coppice.operators import lookup, stats
 from coppice.queries.base import big, query, r, rounded, table
 from coppice.session import scratch_path
 from coppice.sources import files, synth
@@ -83,9 +84,7 @@ def preview_top(spark, sf):
 
 @query("row_count", "SELECT count(*) AS n FROM lineitem")
 def row_count(spark, sf):
-    from coppice.operators.stats import row_count as count_rows
-
-    return count_rows(table(spark, sf, "lineitem"))
+    return stats.row_count(table(spark, sf, "lineitem"))
 
 
 # The draw of coppice.functions.columns.unit_hash and normal_hash in SQL.
@@ -165,7 +164,5 @@ def synth_spatial(spark, sf):
         WHERE {draw('sample/7', 'l_orderkey', 'l_linenumber')} < 20000 / (SELECT count(*) FROM lineitem)::DOUBLE""",
 )
 def sample_capped(spark, sf):
-    from coppice.operators.lookup import sample_to_cap
-
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return sample_to_cap(df, 20_000, ["l_orderkey", "l_linenumber"])
+    return lookup.sample_to_cap(df, 20_000, ["l_orderkey", "l_linenumber"])

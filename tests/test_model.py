@@ -96,6 +96,22 @@ def test_multiclass(learnable, method):
     assert {n for n, _ in [(r["name"], 0) for r in importance_table(trained).collect()]} <= {"v", "ordinal_c", "other features"}
 
 
+def test_codes_are_split_as_categories(learnable):
+    roles = Roles(target="y", features=("c", "v"))
+    plain = ModelRoles(feature_roles(roles, learnable), TargetRole("y"))
+    trained = train(roles, learnable, FEW, model_roles=plain)
+    assert trained.vector.feature_names == ["v", "ordinal_c"]
+    assert "in {" in trained.model.trees[0].toDebugString
+
+
+def test_stored_input_gives_the_same_model(learnable):
+    roles = Roles(target="y", features=("c", "v"))
+    plain, stored = train(roles, learnable, FEW), train(roles, learnable, FEW, store_input=True)
+    assert stored.vector == plain.vector
+    gap = predict(plain, learnable, "a").join(predict(stored, learnable, "b").select("id", "b"), "id")
+    assert gap.filter("abs(a - b) > 1e-6").isEmpty()
+
+
 def test_missing_values_and_unseen_levels(spark, learnable):
     holes = learnable.withColumn("v", F.when(F.col("id") % 7 != 0, F.col("v"))).withColumn(
         "w", F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("v"))
