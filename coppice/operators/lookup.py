@@ -33,6 +33,7 @@ from pyspark.sql.types import (
 )
 
 from coppice.functions.columns import col, unit_hash
+from coppice.functions.schema import quote
 from coppice.session import materialise
 
 SMALL_ROWS = 4096
@@ -194,7 +195,7 @@ def attach(
         pairs = [(col(on[k]), F.col(f"{prefix}k_{k}")) for k in table.keys]
         return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
-    original = [F.col(c) for c in df.columns if c not in values.values()]
+    original = [F.col(quote(c)) for c in df.columns if c not in values.values()]
     if table.small:
         joined = df.join(F.broadcast(side(table.frame, "__t_")), matching("__t_"), "left")
         return joined.select(*original, *(F.col(f"__t_v_{v}").alias(name) for v, name in values.items()))
@@ -238,13 +239,13 @@ def _spread_columns(df: DataFrame, on: Mapping[str, Column | str]) -> list[str]:
     """
     keys = {c for c in on.values() if isinstance(c, str)}
     fixed = [
-        f.name
+        quote(f.name)
         for f in df.schema.fields
         if isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType)) and f.name not in keys
     ]
     if len(fixed) > 1:
         return fixed
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [quote(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -302,7 +303,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], output: str) -> tu
         return fixed.withColumn(output, within).drop("__place"), total
     offsets = local_frame(df.sparkSession, starts, "part int, start bigint")
     numbered = fixed.withColumn("part", part).join(F.broadcast(offsets), "part")
-    return numbered.select(*df.columns, (F.col("start") + within).alias(output)), total
+    return numbered.select(*map(quote, df.columns), (F.col("start") + within).alias(output)), total
 
 
 def positional_join(

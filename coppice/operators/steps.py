@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
-from coppice.functions.schema import tag_name
+from coppice.functions.schema import quote, tag_name
 
 
 class Fitted(ABC):
@@ -187,4 +187,4 @@ class Chain(Step):
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Project without repeating a column."""
-    return df.select(*dict.fromkeys(columns))
+    return df.select(*map(quote, dict.fromkeys(columns)))

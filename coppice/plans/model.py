@@ -116,7 +116,7 @@ def train(
     if not ok:
         raise ValueError("\n".join(messages))
 
-    df = df.select(*dict.fromkeys(column for column, _, _ in needs_of(model_roles, prediction=False)))
+    df = select_columns(df, [column for column, _, _ in needs_of(model_roles, prediction=False)])
     steps = feature_steps(model_roles.feature, places)
     features = refit_chain(steps, previous.features if previous else None, df)
     target = refit_chain(target_steps(model_roles.target), previous.target if previous else None, df)
@@ -164,7 +164,7 @@ def predict(trained: Trained, df: DataFrame, output_column: str | None = None) -
     original = df.columns
     scored = trained.model.transform(trained.vector.transform(trained.features.transform(df)))
     restored = trained.target.inverse(scored, source=SCORE, into="__restored")
-    kept = [c for c in original if c != output]
+    kept = [quote(c) for c in original if c != output]
     return restored.select(*kept, F.col("__restored").alias(output))
 
 

@@ -95,3 +95,12 @@ def test_sample_is_repeatable_and_near_the_cap(spark):
     assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
     assert 1800 < once.count() < 2200
     assert lookup.sample_to_cap(df, 20000, ["id"]).count() == 20000
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_other_columns_may_have_dots(spark, large, request):
+    if large:
+        request.getfixturevalue("tiny_tables")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "`x.y` int, k string")
+    out = lookup.join_group_counts(df, "k", "n")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 2), (2, "a", 2), (3, "b", 1)]
