@@ -202,9 +202,7 @@ def attach(
 
     hot = table.hot
     if hot is None:
-        keys = _frequent(count_keys(df, on), df)
-        narrow = table.frame.filter(~_is_wide(table.frame))
-        hot = narrow.join(F.broadcast(keys), _same(narrow, keys, table.keys), "left_semi")
+        hot = _hot_entries(df, table, on)
     hot = side(hot.withColumn("__found", F.lit(True)), "__h_", ["__found"])
     spread_by = _spread_columns(df, on)
     # Many more values than tasks, so that hashing them fills the tasks evenly.
@@ -231,6 +229,26 @@ def attach(
     )
 
 
+def _hot_entries(df: DataFrame, table: KeyedTable, on: Mapping[str, Column | str]) -> DataFrame:
+    """What the frequent keys of ``df`` are joined with; nulls for a key the table lacks.
+
+    Fewer than ``HOT_SHARE`` keys, all narrow. Keys with a wide entry stay with
+    the shuffle join.
+    """
+    keys = _frequent(count_keys(df, on), df).select(*table.keys)
+    wide = _is_wide(table.frame)
+    entries = table.frame.join(F.broadcast(keys), _same(table.frame, keys, table.keys), "left_semi").select(
+        *table.keys, *(F.when(~wide, F.col(v)).alias(v) for v in table.values), wide.alias("__wide")
+    )
+    found = {tuple(r[k] for k in table.keys): r.asDict() for r in entries.collect()}
+    rows = []
+    for key in keys.collect():
+        row = found.get(tuple(key), {**dict.fromkeys(table.values), **key.asDict(), "__wide": False})
+        if not row.pop("__wide"):
+            rows.append(row)
+    return local_frame(df.sparkSession, rows, entries.drop("__wide").schema)
+
+
 def _spread_columns(df: DataFrame, on: Mapping[str, Column | str]) -> list[str]:
     """Columns that tell rows of one key apart: the fixed-width ones, or all if those are few.
 

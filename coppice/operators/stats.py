@@ -290,11 +290,13 @@ def _ranked(margins: KeyedTable) -> tuple[KeyedTable, dict[str, int]]:
         for row in rows:
             row["rank"] = sizes.get(row["column"], 0)
             sizes[row["column"]] = row["rank"] + 1
-        local = local_frame(frame.sparkSession, rows, StructType(frame.schema.fields + [StructField("rank", LongType())]))
+        schema = StructType(frame.schema.fields + [StructField("rank", LongType())])
+        local = local_frame(frame.sparkSession, rows, schema)
         return KeyedTable(local, ("column", "level"), True), sizes
     numbered, _ = number_rows(frame, [F.col("column"), F.col(WEIGHT).desc(), F.col("level")], "position")
     bounds = numbered.groupBy("column").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("n")).collect()
-    starts = local_frame(frame.sparkSession, [{"column": r[0], "start": r[1]} for r in bounds], "column string, start bigint")
+    firsts = [{"column": r["column"], "start": r["start"]} for r in bounds]
+    starts = local_frame(frame.sparkSession, firsts, "column string, start bigint")
     ranked = numbered.join(F.broadcast(starts), "column").select(
         "column", "level", WEIGHT, "share", "odds", (F.col("position") - F.col("start")).alias("rank")
     )

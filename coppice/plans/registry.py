@@ -128,7 +128,8 @@ class Registry:
         for name in ("groups", "features"):
             role_values[name] = list(role_values[name]) if role_values[name] is not None else None
         created = created_at or datetime.now(timezone.utc)
-        self._append("registry", REGISTRY, {"model_key": key, "created_at": created, "call_limit": call_limit, **role_values})
+        row = {"model_key": key, "created_at": created, "call_limit": call_limit, **role_values}
+        self._append("registry", REGISTRY, row)
         return key
 
     def _known(self, key: str) -> None:

@@ -327,8 +327,9 @@ def corr_collapsed_nulls(spark, sf):
     return df.withColumn("corr", rounded("corr"))
 
 
-# Lines with the status shipped only for returns: levels that never occur together.
-LINES = "(SELECT *, CASE WHEN l_returnflag = 'R' THEN 'back' WHEN l_quantity > 25 THEN 'bulk' ELSE 'single' END AS kind FROM lineitem)"
+# Returned lines have a kind of their own: levels that never occur together.
+LINES = """(SELECT *, CASE WHEN l_returnflag = 'R' THEN 'back' WHEN l_quantity > 25 THEN 'bulk' ELSE 'single' END AS kind
+            FROM lineitem)"""
 
 
 @query("corr_levels_apart", _collapsed_sql(LINES, ["l_returnflag", "kind", "l_linestatus"], set()))

@@ -141,7 +141,9 @@ def _contract_sql() -> str:
         if column == "missing":
             rows.append(f"SELECT '{column}', '{role}', false, false, NULL::BIGINT, NULL::BIGINT")
             continue
-        bad = f"count(*) FILTER (TRY_CAST({column} AS TIMESTAMP) IS NULL AND {column} IS NOT NULL)" if kind == "date" else "NULL::BIGINT"
+        bad = "NULL::BIGINT"
+        if kind == "date":
+            bad = f"count(*) FILTER (TRY_CAST({column} AS TIMESTAMP) IS NULL AND {column} IS NOT NULL)"
         rows.append(f"SELECT '{column}', '{role}', true, true, count(*) FILTER ({column} IS NULL), {bad} FROM t")
     body = " UNION ALL ".join(rows)
     return f"""WITH t AS (SELECT *, {DAY_SQL} AS day FROM {DOCS})

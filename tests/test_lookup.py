@@ -104,3 +104,18 @@ def test_other_columns_may_have_dots(spark, large, request):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "`x.y` int, k string")
     out = lookup.join_group_counts(df, "k", "n")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 2), (2, "a", 2), (3, "b", 1)]
+
+
+def test_frequent_keys_of_a_large_dictionary(spark, tiny_tables, no_broadcast):
+    """Key 0 has an entry, key 7 and null have none, key 9 has a wide one."""
+    key = F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 1, 7).when(F.col("id") % 4 == 2, 9)
+    df = spark.range(4000).select("id", key.cast("bigint").alias("k"))
+    wide = "w" * 5000
+    entries = spark.createDataFrame([(0, "zero"), (9, wide), (100, "rare")], "k bigint, name string")
+    out = lookup.dictionary_lookup(df, "k", entries, "name")
+    counts = {(r["k"], r["name"]): r["count"] for r in out.groupBy("k", "name").count().collect()}
+    assert counts == {(0, "zero"): 1000, (7, None): 1000, (9, wide): 1000, (None, None): 1000}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    apart = out.filter("k = 7 or k is null").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(apart) == 8
