@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import decontaminate, language, license_templates, packing, token_counts
+from coppice.llm import decontaminate, html_density, language, license_templates, packing, token_counts
 from coppice.llm.textwork import id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -25,6 +25,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_html_extraction")
+def article_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return html_density.extract_articles(table(spark, folder, "pages"))
+
+
 @query("op3_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_templates.scan_licenses(table(spark, folder, "documents"))
