@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, html_density, language, license_templates, packing, token_counts
+from coppice.llm import cross_polytope, decontaminate, html_density, language, license_templates, packing, token_counts
 from coppice.llm.textwork import id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -40,6 +41,11 @@ def greedy_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query("op5_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op6_decontamination")
 def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
