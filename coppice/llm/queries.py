@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import cross_polytope, decontaminate, html_density, language, license_templates, packing, token_counts
+from coppice.llm import cross_polytope, decontaminate, html_density, katz, language, license_templates, packing, token_counts
 from coppice.llm.textwork import id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -51,6 +51,15 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op7_lm_scoring")
+def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = katz.fit(docs.where(id_hash_mod("doc_id", 10) != 0))
+    scores = katz.score(docs, model)
+    return scores.select("doc_id", F.coalesce(id_hash_mod("doc_id", 10) == 0, F.lit(True)).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_packing")
 def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))

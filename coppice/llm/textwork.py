@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +85,34 @@ def built(held, make):
     if entry is None or entry[0] is not value:
         entry = _BUILT[make] = value, make(value)
     return entry[1]
+
+
+def slices(data: list[bytes | None], limit: int) -> Iterator[slice]:
+    """Consecutive slices of at most ``limit`` bytes, or of one longer text."""
+    first = size = 0
+    for i, text in enumerate(data):
+        if i > first and size + len(text or b"") > limit:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(text or b"")
+    if first < len(data):
+        yield slice(first, len(data))
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """64-bit values in few bytes: equal places of all values stand together, then zstandard."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueeze(data: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
+
+
+def squeeze_sorted(values: np.ndarray) -> bytes:
+    return squeeze(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unsqueeze_sorted(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, kind), dtype=kind)
