@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import cross_polytope, decontaminate, html_density, katz, language, license_templates, packing, token_counts
+from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_templates, packing, token_counts
 from coppice.llm.textwork import id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -31,6 +31,11 @@ def article_texts(spark: SparkSession, folder: str) -> DataFrame:
     return html_density.extract_articles(table(spark, folder, "pages"))
 
 
+@query("op2_jaccard_join")
+def near_duplicate_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op3_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_templates.scan_licenses(table(spark, folder, "documents"))
