@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from coppice.llm.components import components
 from coppice.llm.textwork import (
-    WordHashes, mixed, pick, slices, split_words, squeeze, squeeze_sorted, texts, unsqueeze, unsqueeze_sorted,
+    WordHashes, col, mixed, pick, slices, split_words, squeeze, squeeze_sorted, texts, unsqueeze, unsqueeze_sorted,
 )
 from coppice.session import store_columns
 
@@ -368,3 +369,41 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = described.select("id", "cls", "n").join(of_set, "cls", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns as they were.
+
+    The row with the smallest id stays (null before any id), and of several such rows the one with the
+    smallest hash. Rows without shingles link with nothing and all stay. Only
+    rows that may be dropped are shuffled.
+    """
+    mark = "row_mark"
+    while mark in docs.columns:
+        mark += "_"
+    plain = [col(f.name) for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    marked = docs.withColumn(mark, F.xxhash64(*plain))
+    key = F.struct(col(id_column).alias("id"), F.col(mark).alias("mark"))
+    found = near_duplicates(marked.select(key.alias("key"), col(text_column).alias("text")), "key", "text", width, percent)
+    found = store_columns(found.select("doc_id", "n_shingles", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
+    # Equal rows are told apart by nothing: of those that stay, one is taken.
+    by_key = found.groupBy(F.col("doc_id.id").alias("kept_id"), F.col("doc_id.mark").alias("kept_mark")).agg(
+        F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
+    unsure = store_columns(by_key.where(~F.col("stays") | (F.col("copies") > 1) & (F.col("n") > 0)))
+    name = F.unhex(F.lpad(F.hex(F.xxhash64("kept_id", "kept_mark")), 16, "0"))
+    held = _filter_of(unsure.select(name.alias("cls")))
+    named = marked.withColumn(mark + "name", F.unhex(F.lpad(F.hex(F.xxhash64(col(id_column), F.col(mark))), 16, "0")))
+
+    def part(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                may = _may_contain(held.value, batch.column(batch.schema.get_field_index(mark + "name")))
+                yield batch.filter(may if wanted else pc.invert(may))
+
+        return named.mapInArrow(run, named.schema)
+
+    maybe = part(True).join(unsure, col(id_column).eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left")
+    single = maybe.where(F.col("stays").isNull())
+    repeated = maybe.where(F.col("stays")).dropDuplicates([mark, "kept_id", "kept_mark"])
+    back = [col(c) for c in docs.columns]
+    return part(False).select(*back).unionByName(single.select(*back)).unionByName(repeated.select(*back))
