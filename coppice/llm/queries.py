@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_templates, packing, token_counts
+from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_templates, packing, quotes, token_counts
 from coppice.llm.textwork import id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -77,3 +77,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     found = language.identify(docs, model)
     return found.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 as held_out", "lang_pred",
                             "score", "accepted")
+
+
+@query("op10_quotation_linking")
+def reply_ordered_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, folder, "conversations"))
