@@ -31,7 +31,7 @@ FREQUENT = 1 << 20
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: Bytes of text that a task holds as numbers at a time.
-AT_ONCE = 16_000_000
+AT_ONCE = 5_000_000
 _SMOOTH = 0.1
 _WORDS = WordHashes()
 _SHIFT = np.int64(21)
@@ -106,7 +106,7 @@ class Classes:
 class _Coder:
     """Classes of words, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, classes: Classes):
         self.classes, self.known = classes, {}
