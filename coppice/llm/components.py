@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     split over tasks. Rounds grow with the logarithm of the longest chain.
     """
     stars = store_columns(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    while True:
+    while not stars.isEmpty():
         # Large stars: larger neighbours move to the smallest neighbour.
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))

@@ -6,14 +6,17 @@ distance 1, which no document pivot can tell apart; the first regions are
 therefore those of single rare shingles: two linked sets always share one among
 the rarest 15 % of each (for a similarity of 0.85). Within a region, document
 pivots are drawn and the distances of all members to them computed. Members
-within 2 t of a pivot form its Voronoi region, which others within 3 t join as
-boundary; members without a pivot within t form the rest region. Every linked
-pair then shares a region, and regions are joined again, with fresh pivots,
-until all members of each are known to be connected.
+within 2 t of a pivot form the Voronoi regions, which others within 3 t join as
+boundary (pivots so near each other that their windows cover the same members
+share one region); members without a pivot within t form the rest region. Every
+linked pair then shares a region, and regions are joined again, with more
+pivots, until they are small or all members of each are known to be connected.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +32,11 @@ from coppice.llm.textwork import (
 from coppice.session import store_columns
 
 #: Bytes of text that a task holds as numbers at a time.
-AT_ONCE = 16_000_000
+AT_ONCE = 5_000_000
+#: Members up to which a region is joined directly.
+SMALL_REGION = 24
+#: Pivots of a region at first; 16 times as many at each further level.
+FIRST_PIVOTS = 4
 #: The frequency table that orders shingles has 2 ** COUNT_BITS cells, whatever the input.
 COUNT_BITS, COUNT_PART_BITS = 21, 16
 #: Cells of a set's profile: their differences bound the distance of two sets from below.
@@ -42,18 +49,23 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 _TOP = np.uint64(64 - COUNT_BITS)
 
 
-def shingles(text: bytes | None, width: int = 4) -> np.ndarray:
-    """Hashes of all word shingles in order, repeats included; a shorter text is one shingle."""
-    words = split_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=width)], np.uint64)
-    hashes, total = _WORDS.of(words), np.uint64(0)
-    count = len(words) - width + 1
+def shingles(data: list[bytes | None], width: int = 4) -> list[np.ndarray]:
+    """For each text the hashes of all its word shingles in order, repeats included; a shorter text is one shingle."""
+    split = [split_words(t) for t in data]
+    hashes, total = _WORDS.of(list(chain.from_iterable(split))), np.uint64(0)
+    count = max(len(hashes) - width + 1, 0)
     for i in range(width):
         total = (total * _A + _B) ^ (hashes[i : i + count] * _C)
-    return mixed(total)
+    total = mixed(total)
+    out, start = [], 0
+    for words in split:
+        n = len(words)
+        if n >= width:
+            out.append(total[start : start + n - width + 1])
+        else:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=width)] if n else [], np.uint64))
+        start += n
+    return out
 
 
 def _digest(distinct: np.ndarray) -> bytes:
@@ -79,8 +91,7 @@ def _frequencies(rows: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             data = texts(batch.column(0))
             for part in slices(data, AT_ONCE):
-                found = [shingles(t, width) for t in data[part]]
-                if found:
+                if found := shingles(data[part], width):
                     total += np.bincount((np.concatenate(found) >> _TOP).astype(np.int64), minlength=len(total))
         parts = [squeeze(total[i : i + part_size]) for i in range(0, len(total), part_size)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int64()), "counts": pa.array(parts, pa.binary())})
@@ -110,8 +121,8 @@ def _regions(rows: DataFrame, width: int, percent: int) -> DataFrame:
             for part in slices(data, AT_ONCE):
                 known: dict[bytes, tuple[int, int]] = {}
                 keys, owner = [], []
-                for text in data[part]:
-                    distinct = np.unique(shingles(text, width))
+                for found in shingles(data[part], width):
+                    distinct = np.unique(found)
                     n = len(distinct)
                     if not n or (name := _digest(distinct)) in known:
                         continue
@@ -223,8 +234,8 @@ def _documents(rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             data = texts(batch.column(1))
             names, sizes, profiles, packed = [], [], [], []
-            for text in data:
-                distinct = np.unique(shingles(text, width))
+            for text, found in ((t, x) for part in slices(data, AT_ONCE) for t, x in zip(data[part], shingles(data[part], width))):
+                distinct = np.unique(found)
                 name = _digest(distinct) if len(distinct) else None
                 kept = name is not None and bool(_may_contain(held.value, pa.array([name]))[0].as_py())
                 names.append(name)
@@ -282,7 +293,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> Dat
             if name not in kept:
                 if len(kept) > 500:
                     kept.clear()
-                kept[name] = np.unique(shingles(unpack.decompress(data), width))
+                kept[name] = np.unique(shingles([unpack.decompress(data)], width)[0])
             return kept[name]
 
         for batch in batches:
@@ -305,37 +316,59 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
     """``cls`` and ``label``, the smallest set connected with it, of every set in ``regions``."""
     # Distances of t, 2 t and 3 t as shares of common shingles.
     linked, home, boundary = (max(100 - i * (100 - percent), 0) for i in (1, 2, 3))
+    share = lambda least: 100 * F.col("common") >= least * F.col("all")
     labels = store_columns(regions.select("cls", F.col("cls").alias("label")).distinct())
-    pivots_per_region, level = 4, 0
+    near = seen = None
+    level = 0
     while True:
         named = regions.join(labels, "cls")
-        open_regions = named.groupBy("cell").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main != last")
-        members = store_columns(named.join(open_regions.select("cell", "main"), "cell"))
+        by_label = named.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
+        live = by_label.groupBy("cell").agg(
+            F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
+        live = live.where("labels > 1").select("cell", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
+        members = store_columns(named.join(live, "cell"))
         if members.isEmpty():
             return labels
-        slot = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(pivots_per_region))
-        drawn = members.where("label != main").groupBy("cell", slot.alias("slot")).agg(
-            F.min(F.struct(F.xxhash64("cls", F.lit(-level)).alias("h"), "cls")).alias("x"))
-        pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("pivot")))
-        met = members.join(pivots, "cell").where("cls != pivot").select(
+        # The members of a small region are compared with each other, where not connected yet.
+        small = members.where(F.col("size") <= SMALL_REGION).select("cell", "cls", "label")
+        other = small.select("cell", F.col("cls").alias("b"), F.col("label").alias("label_b"))
+        within = small.join(other, "cell").where("cls < b and label != label_b").select(F.col("cls").alias("a"), "b")
+        # Of a large one, pivots are drawn among those outside its largest connected part. Where they are
+        # all of these, the region is done.
+        large = members.where(F.col("size") > SMALL_REGION)
+        drawn_at_most = FIRST_PIVOTS * 16**level
+        slot = F.when(F.col("outside") > drawn_at_most, F.pmod(F.xxhash64("cls"), F.lit(drawn_at_most))).otherwise(F.xxhash64("cls"))
+        drawn = large.where("label != main").groupBy("cell", slot.alias("slot")).agg(F.min(F.struct("cls", "label")).alias("x"))
+        pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("pivot"), F.col("x.label").alias("pivot_label")))
+        met = large.join(pivots, "cell").where("cls != pivot").where(
+            (F.col("outside") > drawn_at_most) | (F.col("label") != F.col("pivot_label"))).select(
             "cell", "cls", "pivot", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-        near = _distances(store_columns(met.select("a", "b").distinct()), sets, width, boundary)
+        pairs = met.select("a", "b").unionByName(within).distinct()
+        pairs = store_columns(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        fresh = _distances(pairs, sets, width, boundary)
+        near, seen = (fresh, pairs) if near is None else (near.unionByName(fresh), seen.unionByName(pairs))
         # Linked sets are connected; so are their labels.
         left, right = (labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-        links = near.where(100 * F.col("common") >= linked * F.col("all")).join(left, "a").join(right, "b")
-        links = links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b")
-        roots = components(links)
+        links = fresh.where(share(linked)).join(left, "a").join(right, "b")
+        roots = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
         labels = store_columns(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select(
             "cls", F.coalesce("root", "label").alias("label")))
-        # The regions of the next level; pivots have been compared with all members of theirs.
-        rest = members.select("cell", "cls").join(
-            pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti")
-        placed = rest.join(met.join(near, ["a", "b"]).select("cell", "cls", "pivot", "common", "all"), ["cell", "cls"], "left")
-        within = 100 * F.col("common") >= linked * F.col("all")
-        by_pivot = placed.where(F.col("pivot").isNotNull()).select(F.xxhash64("cell", "pivot").alias("cell"), "cls")
-        far = placed.groupBy("cell", "cls").agg(F.coalesce(F.max(within), F.lit(False)).alias("inner")).where("not inner")
-        regions = store_columns(by_pivot.unionByName(far.select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "cls")).distinct())
-        pivots_per_region, level = pivots_per_region * 4, level + 1
+        # The regions of the next level; pivots have been compared with all members of theirs. Pivots of
+        # one region that are near each other would have the same members, so they share one.
+        large = large.where(F.col("outside") > drawn_at_most)
+        if large.isEmpty():
+            return labels
+        rest = large.select("cell", "cls").join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti")
+        reach = met.join(near, ["a", "b"]).groupBy("cell", "cls").agg(
+            F.max(share(linked)).alias("inner"), F.max(share(home)).alias("home"))
+        placed = rest.join(reach, ["cell", "cls"], "left").withColumn("far", ~F.coalesce("home", F.lit(False)))
+        placed = store_columns(placed.select("cell", "cls", "far", F.col("inner").isNotNull().alias("near"),
+                                             F.coalesce("inner", F.lit(False)).alias("inner")))
+        # Without members beyond 2 t of all pivots, no pair needs the region of the rest.
+        apart = placed.where("far").select("cell").distinct()
+        regions = store_columns(placed.where("near").select(F.xxhash64("cell", F.lit("near")).alias("cell"), "cls").unionByName(
+            placed.where("not inner").join(apart, "cell").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "cls")).distinct())
+        level += 1
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4,
