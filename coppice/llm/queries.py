@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_templates, packing, quotes, token_counts
-from coppice.llm.textwork import id_hash_mod
+from coppice.llm.textwork import find_package, id_hash_mod
 from coppice.queries.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +14,11 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str, sql: str | None = None):
     def register(run):
-        QUERIES[name] = Query(run, sql)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            find_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = Query(shipped, sql)
         return run
 
     return register

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER = bytes(range(65, 91))
@@ -116,3 +117,14 @@ def squeeze_sorted(values: np.ndarray) -> bytes:
 
 def unsqueeze_sorted(data: bytes, kind=np.int64) -> np.ndarray:
     return np.cumsum(unsqueeze(data, kind), dtype=kind)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver did.
+
+    On a cluster that has no such folder, ship the library with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
