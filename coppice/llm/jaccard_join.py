@@ -32,7 +32,7 @@ from coppice.llm.textwork import (
 from coppice.session import store_columns
 
 #: Bytes of text that a task holds as numbers at a time.
-AT_ONCE = 5_000_000
+AT_ONCE = 2_000_000
 #: Members up to which a region is joined directly.
 SMALL_REGION = 24
 #: Pivots of a region at first; 16 times as many at each further level.
@@ -108,28 +108,42 @@ def _frequencies(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _regions(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """First regions: ``cell``, ``cls`` (digest of a distinct set) and ``n``, of at least two sets each."""
+def _regions(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """First regions and all documents.
+
+    Regions have ``cell``, ``cls`` (digest of a distinct set) and ``n``, with
+    at least two sets each; documents have ``id``, ``cls`` (null without
+    shingles), ``n`` and ``text_name``, a digest of the text.
+    """
     spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = ("keys", "owner", "names", "sizes")
     held = spark.sparkContext.broadcast(_frequencies(rows, width))
 
     def route(batches):
         frequency = held.value
         for batch in batches:
-            data = texts(batch.column(0))
+            data = texts(batch.column(1))
             for part in slices(data, AT_ONCE):
                 known: dict[bytes, tuple[int, int]] = {}
-                keys, owner = [], []
+                keys, owner, described = [], [], []
                 for found in shingles(data[part], width):
                     distinct = np.unique(found)
                     n = len(distinct)
-                    if not n or (name := _digest(distinct)) in known:
+                    name = _digest(distinct) if n else None
+                    described.append((name, n))
+                    if not n or name in known:
                         continue
                     known[name] = len(known), n
                     order = np.lexsort((distinct, frequency[(distinct >> _TOP).astype(np.int64)]))
                     keys.append(distinct[order[: n - _needed(n, percent) + 1]])
                     owner.append(np.full(len(keys[-1]), len(known) - 1))
+                count = len(described)
+                yield pa.RecordBatch.from_pydict({
+                    "id": batch.column(0)[part.start : part.stop], "cls": pa.array([x for x, _ in described], pa.binary()),
+                    "n": pa.array([n for _, n in described], pa.int64()),
+                    "text_name": pa.array([xxhash.xxh3_128_digest(t or b"") for t in data[part]], pa.binary()),
+                    "bucket": pa.nulls(count, pa.int64())} | {c: pa.nulls(count, pa.binary()) for c in blobs})
                 if not keys:
                     continue
                 keys, owner = np.concatenate(keys), np.concatenate(owner)
@@ -144,8 +158,10 @@ def _regions(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 for b, at in zip(found, np.split(order, starts[1:])):
                     used, local = np.unique(owner[at], return_inverse=True)
                     out.append((b, squeeze_sorted(keys[at]), squeeze(local.astype(np.int64)), names[used].tobytes(), squeeze(sizes[used])))
-                yield pa.RecordBatch.from_pydict({k: pa.array(x, t) for k, x, t in zip(
-                    ("bucket", "keys", "owner", "names", "sizes"), zip(*out), (pa.int64(), *[pa.binary()] * 4))})
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.nulls(len(out), batch.column(0).type), "cls": pa.nulls(len(out), pa.binary()),
+                    "n": pa.nulls(len(out), pa.int64()), "text_name": pa.nulls(len(out), pa.binary())} | {
+                    k: pa.array(x, t) for k, x, t in zip(("bucket", *blobs), zip(*out), (pa.int64(), *[pa.binary()] * 4))})
 
     def meet(key, table):
         keys, names, sizes = [], [], []
@@ -178,9 +194,12 @@ def _regions(rows: DataFrame, width: int, percent: int) -> DataFrame:
             "cell": pa.array(np.repeat(np.array([c for c, _, _ in cells], np.int64), [b - a for _, a, b in cells]), pa.int64()),
             "cls": pa.array([x.tobytes() for x in names[at]], pa.binary()), "n": pa.array(sizes[at], pa.int64())})
 
-    schema = "bucket long, keys binary, owner binary, names binary, sizes binary"
-    cells = rows.select("text").mapInArrow(route, schema).groupBy("bucket").applyInArrow(meet, "cell long, cls binary, n long")
-    return store_columns(cells.distinct())
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, cls binary, n long, text_name binary, bucket long, " + ", ".join(f"{c} binary" for c in blobs)
+    routed = store_columns(rows.select("id", "text").mapInArrow(route, schema))
+    met = routed.where("bucket is not null").select("bucket", *blobs).groupBy("bucket")
+    cells = met.applyInArrow(meet, "cell long, cls binary, n long")
+    return store_columns(cells.distinct()), routed.where("bucket is null").select("id", "cls", "n", "text_name")
 
 
 def _repeated(values: np.ndarray) -> np.ndarray:
@@ -224,29 +243,29 @@ def _may_contain(bits: np.ndarray, names: pa.Array) -> pa.Array:
     return pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
 
-def _documents(rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``id``, ``cls`` (null without shingles), ``n``; profile and packed text where the set may be a member."""
-    held = _filter_of(members)
-    kind = rows.schema["id"].dataType.simpleString()
+def _sets(rows: DataFrame, documents: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``cls``, ``n``, profile and packed text, once for each set that may be among ``members``."""
+    known = _chosen(documents.where("cls is not null").select("cls", "text_name"), members).select(F.col("text_name").alias("cls"))
+    held = _filter_of(known)
 
     def describe(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data = texts(batch.column(1))
-            names, sizes, profiles, packed = [], [], [], []
-            for text, found in ((t, x) for part in slices(data, AT_ONCE) for t, x in zip(data[part], shingles(data[part], width))):
-                distinct = np.unique(found)
-                name = _digest(distinct) if len(distinct) else None
-                kept = name is not None and bool(_may_contain(held.value, pa.array([name]))[0].as_py())
-                names.append(name)
-                sizes.append(len(distinct))
-                profiles.append(_profile(distinct) if kept else None)
-                packed.append(pack.compress(text) if kept else None)
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0), "cls": pa.array(names, pa.binary()), "n": pa.array(sizes, pa.int64()),
-                "profile": pa.array(profiles, pa.binary()), "packed": pa.array(packed, pa.binary())})
-
-    return store_columns(rows.select("id", "text").mapInArrow(describe, f"id {kind}, cls binary, n long, profile binary, packed binary"))
+            data = [t for t in texts(batch.column(0)) if t]
+            if data:
+                may = _may_contain(held.value, pa.array([xxhash.xxh3_128_digest(t) for t in data])).to_pylist()
+                data = [t for t, m in zip(data, may) if m]
+            for part in slices(data, AT_ONCE):
+                found = [np.unique(x) for x in shingles(data[part], width)]
+                once = {_digest(x): (len(x), _profile(x), t) for t, x in zip(data[part], found) if len(x)}
+                yield pa.RecordBatch.from_pydict({
+                    "cls": pa.array(list(once), pa.binary()), "n": pa.array([x[0] for x in once.values()], pa.int64()),
+                    "profile": pa.array([x[1] for x in once.values()], pa.binary()),
+                    "packed": pa.array([pack.compress(x[2]) for x in once.values()], pa.binary())})
+
+    found = rows.select("text").mapInArrow(describe, "cls binary, n long, profile binary, packed binary")
+    return store_columns(found.groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("packed").alias("packed")))
 
 
 def _chosen(table: DataFrame, names: DataFrame) -> DataFrame:
@@ -390,10 +409,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     rows = pick(docs, id=id_column, text=text_column)
-    regions = _regions(rows, width, percent)
-    described = _documents(rows, regions, width)
-    sets = store_columns(described.where(F.col("packed").isNotNull()).groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("packed").alias("packed")))
+    regions, described = _regions(rows, width, percent)
+    sets = _sets(rows, described, regions, width)
     labels = _join_regions(regions.select("cell", "cls"), sets, width, percent)
     least = described.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least"))
     least = store_columns(least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
