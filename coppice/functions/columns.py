@@ -88,7 +88,10 @@ def add_up(columns: list[str]) -> Column:
     """Sum across columns of one row; null if any part is null."""
     if not columns:
         raise ValueError("nothing to add")
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+    parts = [F.col(c) for c in columns]
+    while len(parts) > 1:  # pairwise, so that the expression stays shallow for hundreds of columns
+        parts = [reduce(lambda a, b: a + b, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def strongest(value: Column | str) -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, distinct_names, require, tag_name
+from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, distinct_names, quote, require, tag_name
 from coppice.operators.lookup import (
     SALT,
     WEIGHT,
@@ -158,14 +157,15 @@ class FittedOneHot(Fitted):
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
         names = self.output_columns
         require(df, names, NUMERIC)
-        level = F.coalesce(*(F.when(F.col(c) == 1, F.lit(v)) for c, v in zip(names, self.levels)))
-        single = (reduce(lambda a, b: a + b, [F.col(c) for c in names]) == 1) & (
-            F.least(*(F.col(c) for c in names), F.lit(0)) == 0
-        )
-        if self.on_invalid == "null":
-            level = F.when(single, level)
-        else:
-            level = F.when(single, level).otherwise(F.raise_error(F.lit("exactly one indicator must be 1")))
+        # Arrays and not a chain over all columns: expressions stay shallow for any number of levels.
+        flags = F.array(*(F.col(quote(c)).cast("double") for c in names))
+        level = F.element_at(F.array(*(F.lit(v) for v in self.levels)), F.array_position(flags, 1.0).cast("int"))
+        marked = F.filter(flags, lambda x: x.isNull() | (x != 0))
+        single = (F.size(marked) == 1) & F.array_contains(flags, 1.0)
+        level = F.when(single, level)
+        if self.on_invalid != "null":
+            fault = F.raise_error(F.lit("exactly one indicator must be 1"))
+            level = F.when(F.coalesce(single, F.lit(False)), level).otherwise(fault)
         return df.withColumn(into or self.column, level)
 
 
@@ -173,12 +173,14 @@ class FittedOneHot(Fitted):
 class OneHot(Step):
     """One 0/1 column per level; all are 0 for null and for a level unseen at fit.
 
-    The columns are part of the schema, so more levels than a keyed table may
-    hold in memory are an error; use :class:`Ordinal` for those.
+    The columns are part of the schema, so the driver holds all levels: more
+    than ``max_levels`` are an error. Raise it, or use :class:`Ordinal`, whose
+    codes are one column for any number of levels.
     """
 
     column: str
     on_invalid: str = "error"
+    max_levels: int = 20_000
 
     @property
     def input_columns(self) -> list[str]:
@@ -190,9 +192,10 @@ class OneHot(Step):
 
     def fit(self, df: DataFrame) -> FittedOneHot:
         require(df, [self.column], CATEGORICAL)
-        rows = take_small(df.select(self.column).filter(F.col(self.column).isNotNull()).distinct())
-        if rows is None:
-            raise ValueError(f"column {self.column} has too many or too long levels for indicator columns")
+        level = F.col(quote(self.column)).alias("level")
+        rows = df.select(level).filter(F.col("level").isNotNull()).distinct().limit(self.max_levels + 1).collect()
+        if len(rows) > self.max_levels:
+            raise ValueError(f"column {self.column} has more than {self.max_levels} levels for indicator columns")
         if not rows:
             raise ValueError(f"no levels in column {self.column}")
-        return FittedOneHot(self.column, tuple(sorted(r[self.column] for r in rows)), self.on_invalid)
+        return FittedOneHot(self.column, tuple(sorted(r["level"] for r in rows)), self.on_invalid)

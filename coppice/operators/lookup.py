@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
+    ArrayType,
     BinaryType,
     DateType,
+    MapType,
     NumericType,
     StringType,
     StructType,
@@ -80,16 +82,26 @@ def take_small(table: DataFrame) -> list[dict] | None:
 
 def _is_wide(table: DataFrame) -> Column:
     texts = [f.name for f in table.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
-    return reduce(or_, [F.coalesce(F.octet_length(c) > SMALL_KEY_BYTES, F.lit(False)) for c in texts], F.lit(False))
+    nested = any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in table.schema.fields)
+    return reduce(or_, [F.coalesce(F.octet_length(c) > SMALL_KEY_BYTES, F.lit(False)) for c in texts], F.lit(nested))
 
 
-def freeze(table: DataFrame, keys: Sequence[str]) -> KeyedTable:
+def freeze(table: DataFrame, keys: Sequence[str], given: bool = False) -> KeyedTable:
     """Compute a table with unique ``keys`` once and settle how it will be joined.
 
-    An optional ``__weight`` column says how many rows each key stood for.
+    An optional ``__weight`` column says how many rows each key stood for. A
+    table ``given`` by a caller is checked: a repeated key, which would
+    multiply the rows it meets, is a ``ValueError``.
     """
     with computed_once(table) as cached:
         rows = take_small(cached)
+        if given:
+            if rows is not None:
+                repeated = len({tuple(r[k] for k in keys) for r in rows}) < len(rows)
+            else:
+                repeated = not cached.groupBy(*keys).count().filter("count > 1").isEmpty()
+            if repeated:
+                raise ValueError(f"keys {', '.join(keys)} are repeated")
         if rows is not None:
             return KeyedTable(local_frame(table.sparkSession, rows, table.schema), tuple(keys), True)
         return large_table(materialise(cached.withColumn(SALT, F.lit(0))), keys)
@@ -295,7 +307,7 @@ def dictionary_lookup(df: DataFrame, key: str, dictionary: DataFrame | Mapping,
         local = pa.table({"key": [k for k, _ in pairs], "value": [v for _, v in pairs]})
         dictionary = df.sparkSession.createDataFrame(local)
     source, target = dictionary.columns
-    table = freeze(dictionary, [source])
+    table = freeze(dictionary, [source], given=True)
     return attach(df, table, {source: key}, {target: output}, null_safe=True)
 
 

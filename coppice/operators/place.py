@@ -94,7 +94,7 @@ class PlaceFeatures(Step):
         require(df, [self.latitude, self.longitude], NUMERIC)
         entries = self.places.select("latitude", "longitude", *place_columns(), F.lit(True).alias("known"))
         needed = distinct_places(df, self.latitude, self.longitude)
-        table = freeze(needed.join(entries, ["latitude", "longitude"], "left"), ["latitude", "longitude"])
+        table = freeze(needed.join(entries, ["latitude", "longitude"], "left"), ["latitude", "longitude"], given=True)
         given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
         verdict = table.frame.agg(
             F.count_if(given & ~X.valid_place("latitude", "longitude")).alias("invalid"),

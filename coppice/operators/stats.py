@@ -13,14 +13,14 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from coppice.functions import columns as X
-from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, require
+from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, quote, require
 from coppice.operators.encode import OneHot
 from coppice.operators.lookup import (
     WEIGHT,
@@ -34,8 +34,8 @@ from coppice.operators.lookup import (
 )
 from coppice.session import materialise
 
-# Pearson over indicator columns needs a square matrix of this width on the driver.
-DENSE_LIMIT = 1000
+# Numbers that one pass correlates with each other by a matrix of this width; wider tables take several passes.
+MATRIX_WIDTH = 1000
 
 
 def min_value(df: DataFrame, column: str) -> DataFrame:
@@ -113,35 +113,70 @@ def fill_null_zero(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every pair ``(col_a, col_b, corr)`` of numbers and of indicators of levels.
 
-    Nulls count as 0. The matrix lives on the driver, so the number of columns
-    plus levels is limited; :func:`collapsed_correlation` has no such limit.
+    Nulls and NaN count as 0. Indicators come from one array per row and the
+    matrix from blocks of ``MATRIX_WIDTH`` columns, so width has no limit but
+    the rows of the result, which are its square.
     """
     require(df, columns, NUMERIC + CATEGORICAL)
-    df = df.select(*columns)
+    df = df.select(*(F.col(quote(c)) for c in columns))
     names = [c for c in columns if c in columns_of(df, NUMERIC)]
+    values = [_number(c) for c in names]
     for c in columns_of(df, CATEGORICAL):
         fitted = OneHot(c).fit(df)
-        df = fitted.transform(df)
         names += fitted.output_columns
-    if len(names) > DENSE_LIMIT:
-        raise ValueError(f"{len(names)} columns and levels; use collapsed_correlation")
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(df.na.fill(0.0).select(*names)).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    entries = [
-        {"col_a": a, "col_b": b, "corr": float(matrix[i, j])}
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return local_frame(df.sparkSession, entries, "col_a string, col_b string, corr double")
+        level = F.col(quote(c))
+        values += [F.when(level == F.lit(v), 1.0).otherwise(0.0) for v in fitted.levels]
+    everything = range(len(names))
+    return _gramian(df, names, values, [(i, j) for i in everything for j in everything], 1.0)
+
+
+def _gramian(
+    df: DataFrame, names: Sequence[str], values: Sequence[Column], wanted: Sequence[tuple[int, int]], same: float | None
+) -> DataFrame:
+    """Pearson of the ``wanted`` pairs of positions, NaN for a constant; ``same`` is that of a column with itself.
+
+    Columns are taken in pairs of blocks; a block pair is one pass with a
+    matrix of bounded width on the driver.
+    """
+    half = MATRIX_WIDTH // 2
+    by_blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in wanted:
+        by_blocks.setdefault(tuple(sorted((i // half, j // half))), []).append((i, j))
+    parts = []
+    for blocks, pairs in by_blocks.items():
+        taken = [i for b in dict.fromkeys(blocks) for i in range(b * half, min((b + 1) * half, len(names)))]
+        place = {i: k for k, i in enumerate(taken)}
+        vectors = df.select(array_to_vector(F.array(*(values[i] for i in taken))).alias("v"))
+        if vectors.isEmpty():
+            continue
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        entries = [
+            {"col_a": names[i], "col_b": names[j], "corr": same if i == j and same is not None else float(matrix[place[i], place[j]])}
+            for i, j in pairs
+        ]
+        parts.append(local_frame(df.sparkSession, entries, "col_a string, col_b string, corr double"))
+    if not parts:
+        return local_frame(df.sparkSession, [], "col_a string, col_b string, corr double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _number(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    value = F.col(quote(column)).cast("double")
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
 
 def _numeric_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson of pairs of numeric columns, all in one pass; null for a constant column."""
+    """Pearson of pairs of numeric columns; null for a constant column.
+
+    A few pairs are sums of one aggregation; many come from a matrix, whose
+    cost per row grows with the square of the columns but not of expressions.
+    """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    if len(pairs) > 2 * len(names):
+        place = {c: i for i, c in enumerate(names)}
+        wanted = [(place[a], place[b]) for a, b in pairs]
+        found = _gramian(df, names, [_number(c) for c in names], wanted, None)
+        return found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
     stats = df.agg(
         *(F.stddev_pop(_number(c)).alias(f"s{i}") for i, c in enumerate(names)),
         *(F.covar_pop(_number(a), _number(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)),
@@ -273,6 +308,9 @@ def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: Keyed
         .join(met, ["col_a", "col_b", "level_a", "rank_b"], "left_anti")
         .groupBy("col_a", "col_b", "level_a")
         .agg(F.min("rank_b").alias("rank_b"), F.first("odds").alias("odds_a"))
+        # Of all levels that ask for one rank only the largest odds can win: few rows join, and no key is hot.
+        .groupBy("col_a", "col_b", "rank_b")
+        .agg(F.max("odds_a").alias("odds_a"))
     )
     by_rank = KeyedTable(ranked.frame, ("column", "rank"), ranked.small, ranked.hot)
     apart = attach(first_missing, by_rank, {"column": "col_b", "rank": "rank_b"}, {"odds": "odds_b"}).select(
@@ -311,7 +349,7 @@ def pair_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
     """
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     require(df, columns, NUMERIC + CATEGORICAL)
-    df = df.select(*columns)
+    df = df.select(*(F.col(quote(c)) for c in columns))
     numeric = set(columns_of(df, NUMERIC))
     parts = []
     both_numeric = [p for p in pairs if p[0] in numeric and p[1] in numeric]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -19,10 +20,6 @@ from coppice.operators.weight import Balance, Decay
 from coppice.plans.roles import FeatureRoles, TargetRole, WeightRoles
 from coppice.session import keep_methods_compiled
 
-# Above this many levels a code is split on as a number; Spark's trees keep
-# per-level statistics for each node and need maxBins >= levels.
-NOMINAL_LIMIT = 256
-
 
 def feature_steps(roles: FeatureRoles, places: DataFrame | None = None) -> Chain:
     steps: list[Step] = [Keep(roles.numeric)]
@@ -79,6 +76,8 @@ class FittedVector(Fitted):
 
     A missing or non-finite number becomes 0, with an indicator column where
     any was missing at fit. A category unseen at fit takes a code of its own.
+    Codes are nominal, whatever their number, but for those in ``ordered``,
+    which are split on as numbers.
     Seasonal terms are finite by construction and are only missing where
     their date is.
     """
@@ -88,6 +87,7 @@ class FittedVector(Fitted):
     indicated: tuple[str, ...]
     coded: tuple[str, ...]
     levels: tuple[int, ...]
+    ordered: tuple[str, ...] = ()
     output: str = "features"
 
     @property
@@ -100,7 +100,7 @@ class FittedVector(Fitted):
 
     @property
     def bins_needed(self) -> int:
-        return max([n + 1 for n in self.levels if n + 1 <= NOMINAL_LIMIT], default=2)
+        return max([n + 1 for c, n in zip(self.coded, self.levels) if c not in self.ordered], default=2)
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep_methods_compiled(df.sparkSession)
@@ -119,7 +119,7 @@ class FittedVector(Fitted):
         attributes: dict[str, list[dict]] = {"numeric": [], "nominal": []}
         for i, name in enumerate(self.feature_names):
             levels = self.levels[i - first_code] + 1 if i >= first_code else None
-            if levels is not None and levels <= NOMINAL_LIMIT:
+            if levels is not None and name not in self.ordered:
                 attributes["nominal"].append({"idx": i, "name": name, "num_vals": levels})
             else:
                 attributes["numeric"].append({"idx": i, "name": name})
@@ -132,13 +132,19 @@ def _finite(column: str) -> str:
     return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('infinity'))"
 
 
-def fit_vector(source: DataFrame, table: DataFrame, features: FittedChain) -> FittedVector:
+def fit_vector(
+    source: DataFrame, table: DataFrame, features: FittedChain, ordered_categories: Sequence[str] = ()
+) -> FittedVector:
     """Decide on missing-value indicators from one pass over the inputs.
 
+    ``ordered_categories`` are columns whose codes are split on as numbers.
+
     All seasonal terms are missing where the date is, so the date alone is
     looked at. Whole numbers that cannot be null need no look.
     """
-    codes = {s.output_columns[0]: s.num_classes for s in features.steps if isinstance(s, FittedOrdinal)}
+    coded = [s for s in features.steps if isinstance(s, FittedOrdinal)]
+    codes = {s.output_columns[0]: s.num_classes for s in coded}
+    ordered = tuple(s.output_columns[0] for s in coded if s.column in ordered_categories)
     seasons = [s for s in features.steps if isinstance(s, Season)]
     seasonal = [c for s in seasons for c in s.output_columns]
     numeric = [c for c in features.output_columns if c not in codes and c not in seasonal]
@@ -152,4 +158,4 @@ def fit_vector(source: DataFrame, table: DataFrame, features: FittedChain) -> Fi
     if probes:
         counts = table.agg(*(F.count_if(p).alias(f"n{i}") for i, p in enumerate(probes.values()))).first()
         missing = [c for i, c in enumerate(probes) if counts[i]]
-    return FittedVector(tuple(numeric), tuple(seasonal), tuple(missing), tuple(codes), tuple(codes.values()))
+    return FittedVector(tuple(numeric), tuple(seasonal), tuple(missing), tuple(codes), tuple(codes.values()), ordered)

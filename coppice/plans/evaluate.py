@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.schema import NUMERIC, require
+from coppice.functions.schema import NUMERIC, quote, require
 from coppice.operators.lookup import filter_by_dict, sample_to_cap
 from coppice.operators.stats import has_duplicates
 from coppice.operators.steps import select_columns
 from coppice.plans.roles import Roles
 
 PREDICTION = "prediction"
-# Fixed value: rows above which a scatter set is sampled.
-SCATTER_CAP = 1_000_000
 
 
 def categorical_error(df: DataFrame, actual: str, predicted: str, output: str = "error") -> DataFrame:
@@ -55,14 +53,14 @@ def scatter_set(
     key: Sequence[str],
     x: str | None = None,
     color: str | None = None,
-    cap: int = SCATTER_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Target with an optional x and colour feature, sampled by ``key`` above ``cap`` rows."""
+    """Target with an optional x and colour feature, sampled by ``key`` to ``cap`` rows if that is given."""
     for c in (x, color):
         if c is not None and c not in roles.features:
             raise ValueError(f"{c} is not a feature column")
     columns = [roles.target, *(c for c in (x, color) if c is not None)]
-    return select_columns(sample_to_cap(df, cap, key), columns)
+    return select_columns(df if cap is None else sample_to_cap(df, cap, key), columns)
 
 
 def series_set(df: DataFrame, roles: Roles, color: str | None = None) -> DataFrame:
@@ -101,13 +99,20 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str = PREDICTION) ->
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., bin, n)`` over equal-width bins; a constant column is bin 0. Nulls are left out."""
+    """``(by..., bin, n)`` over equal-width bins; a constant column is bin 0.
+
+    The bins span the finite values. NaN and infinities share the null bin;
+    nulls are left out.
+    """
     require(df, [column], NUMERIC)
-    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    present = df.filter(F.col(column).isNotNull())
+    value = F.col(quote(column)).cast("double")
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    low, high = df.agg(F.min(F.when(finite, value)), F.max(F.when(finite, value))).first()
+    present = df.filter(value.isNotNull())
     if low is None or high == low:
         number = F.lit(0).cast("bigint")
     else:
         width = F.lit((high - low) / bins)
-        number = F.least(F.floor((F.col(column).cast("double") - F.lit(low)) / width), F.lit(bins - 1).cast("bigint"))
+        number = F.least(F.floor((value - F.lit(low)) / width), F.lit(bins - 1).cast("bigint"))
+    number = F.when(finite, number)
     return present.groupBy(*by, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

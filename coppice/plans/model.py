@@ -32,15 +32,18 @@ logger = logging.getLogger(__name__)
 
 LABEL, WEIGHT, SCORE = "__label", "__row_weight", "__score"
 
-# A table of up to this many rows may sit in one file split; it is shuffled so
-# that all cores train, and its vectors are kept between passes. Larger tables
-# keep the partitions of their source.
-SPREAD_ROWS = 10_000_000
-
 
 @dataclass(frozen=True)
 class TrainParams:
-    """``multiclass`` is ``forest``, or ``one_vs_rest`` for boosted trees per class."""
+    """How to train.
+
+    ``multiclass`` is ``forest``, or ``one_vs_rest`` for boosted trees per
+    class. Rows are dealt to ``partitions`` by a hash of their values and
+    sorted there, so a model depends on the rows and these parameters, not on
+    files or the size of the cluster; take as many as partitions of the input
+    fit in memory. Categories are nominal, and the trainer keeps statistics for
+    each of their levels; ``ordered_categories`` are split on by level order.
+    """
 
     trees: int = 100
     depth: int = 5
@@ -48,6 +51,8 @@ class TrainParams:
     bins: int = 64
     seed: int = 7
     multiclass: str = "forest"
+    partitions: int = 32
+    ordered_categories: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -117,6 +122,10 @@ def train(
         raise ValueError("\n".join(messages))
 
     df = select_columns(df, [column for column, _, _ in needs_of(model_roles, prediction=False)])
+    # A null label is no class, and is left out before anything is fitted.
+    label = F.col(quote(model_roles.target.column))
+    unlabelled = df.filter(label.isNull()).count()
+    df = df.filter(label.isNotNull())
     steps = feature_steps(model_roles.feature, places)
     features = refit_chain(steps, previous.features if previous else None, df)
     target = refit_chain(target_steps(model_roles.target), previous.target if previous else None, df)
@@ -131,22 +140,23 @@ def train(
         )
 
     usable = F.col(LABEL).isNotNull() & F.col(WEIGHT).isNotNull()
-    rows, dropped = labelled(df).agg(F.count(F.lit(1)), F.count_if(~usable)).first()
+    dropped = labelled(df).agg(F.count_if(~usable)).first()[0]
+    dropped += unlabelled
     if dropped:
         logger.warning("%d rows without a label or weight are not used for training", dropped)
-    vector = fit_vector(df, features.transform(df), features)
-
-    # One plan: features, label and weight are columns of the same rows. The
-    # trainers read it a few times and keep their own binned copy, so a large
-    # one is not stored: its expressions cost less than writing the vectors.
-    few = rows <= SPREAD_ROWS
-    if few:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    vector = fit_vector(df, features.transform(df), features, params.ordered_categories)
+
+    # One plan: features, label and weight are columns of the same rows.
+    by = [F.col(quote(c)) for c in df.columns]
+    df = df.repartition(params.partitions, *by).sortWithinPartitions(*by)
     ready = vector.transform(features.transform(labelled(df).filter(usable))).select("features", LABEL, WEIGHT)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
     estimator = _estimator(params, num_classes, max(params.bins, vector.bins_needed))
-    model = estimator.fit(ready.persist() if few else ready)
-    ready.unpersist()
+    ready = ready.persist()
+    try:
+        model = estimator.fit(ready)
+    finally:
+        ready.unpersist()
     return Trained(roles, model_roles, features, vector, target, model, dropped)
 
 
@@ -156,7 +166,8 @@ def predict(trained: Trained, df: DataFrame, output_column: str | None = None) -
     Raises ``ValueError`` if a needed column is missing or of the wrong type;
     :func:`try_predict` returns the messages instead.
     """
-    df = conform_date(df, trained.roles.date)
+    if trained.roles.date in df.columns:
+        df = conform_date(df, trained.roles.date)
     ok, messages = check_columns(df, needs_of(trained.model_roles, prediction=True))
     if not ok:
         raise ValueError("\n".join(messages))

@@ -11,6 +11,7 @@ from coppice.plans import evaluate
 from coppice.plans.model import prediction_preview
 from coppice.plans.roles import Roles
 from coppice.queries.base import query, r, rounded, table
+from coppice.queries.ingest import draw
 from coppice.session import scratch_path
 from coppice.sources import files
 
@@ -143,6 +144,15 @@ def scatter_set(spark, sf):
     return evaluate.scatter_set(table(spark, sf, "orders"), NUMERIC, ["o_orderkey"], "o_custkey", "o_orderpriority")
 
 
+@query(
+    "scatter_set_capped",
+    f"""SELECT o_totalprice, o_custkey FROM orders
+        WHERE {draw("sample/7", "o_orderkey")} < 5000 / (SELECT count(*) FROM orders)::DOUBLE""",
+)
+def scatter_set_capped(spark, sf):
+    return evaluate.scatter_set(table(spark, sf, "orders"), NUMERIC, ["o_orderkey"], "o_custkey", cap=5000)
+
+
 @query(
     "series_set",
     "SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice, o_orderpriority FROM orders",
@@ -218,6 +228,17 @@ def preview_of_predictions(spark, sf):
     return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
+@query(
+    "prediction_export_text",
+    "SELECT doc_id, text, length(text)::DOUBLE AS prediction FROM documents",
+)
+def prediction_export_text(spark, sf):
+    path = scratch_path(spark, "predictions")
+    scored = table(spark, sf, "documents").select("doc_id", "text", F.length("text").cast("double").alias("prediction"))
+    files.write_csv(scored, path)
+    return files.read_csv(spark, path, scored.schema)
+
+
 @query("prediction_export", f"SELECT o_orderkey, o_totalprice, prediction FROM {PREDICTED}")
 def prediction_export(spark, sf):
     path = scratch_path(spark, "predictions")

@@ -295,6 +295,14 @@ def one_hot_decode(spark, sf):
     return fitted.inverse(fitted.transform(df).drop("o_orderpriority")).select("o_orderkey", "o_orderpriority")
 
 
+@query("one_hot_decode_wide", "SELECT c_custkey, c_name FROM customer")
+def one_hot_decode_wide(spark, sf):
+    """As many levels as rows."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_name")
+    fitted = encode.OneHot("c_name").fit(df)
+    return fitted.inverse(fitted.transform(df).drop("c_name")).select("c_custkey", "c_name")
+
+
 @query("one_hot_decode_nulls", f"SELECT doc_id, grade FROM {DOCS}")
 def one_hot_decode_nulls(spark, sf):
     df = labelled(spark, sf).select("doc_id", "grade")

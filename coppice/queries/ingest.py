@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators import lookup, stats
 from coppice.queries.base import big, query, r, rounded, table
-from coppice.session import scratch_path
+from coppice.session import materialise, scratch_path
 from coppice.sources import files, synth
 
 CUSTOMER = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
@@ -22,6 +22,15 @@ def csv_roundtrip(spark, sf):
     return df.withColumns({"c_custkey": big("c_custkey"), "c_nationkey": F.col("c_nationkey").cast("int")})
 
 
+@query("csv_roundtrip_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_text(spark, sf):
+    """Texts with line breaks, quotes and separators survive."""
+    path = scratch_path(spark, "documents")
+    docs = table(spark, sf, "documents")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, docs.schema)
+
+
 @query("parquet_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def parquet_scan(spark, sf):
     return files.read_parquet(spark, f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -52,11 +61,14 @@ def load_by_extension(spark, sf):
 )
 def cached_ingest(spark, sf):
     df, rows = files.ingest(spark, f"{sf}/supplier.parquet", ["s_nationkey", "s_acctbal"])
-    return df.groupBy("s_nationkey").agg(
+    counted = df.groupBy("s_nationkey").agg(
         F.count(F.lit(1)).alias("n"),
         rounded(F.sum("s_acctbal"), 2).alias("balance"),
         F.lit(rows).cast("bigint").alias("rows_loaded"),
     )
+    counted = materialise(counted)
+    df.unpersist()
+    return counted
 
 
 @query(

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from coppice.plans import registry
 from coppice.plans.model import TrainParams, importance_table, predict, train, try_predict
 from coppice.plans.roles import Roles
-from coppice.queries.base import query, table
+from coppice.queries.base import query, r, rounded, table
 from coppice.queries.profiles import labelled
 from coppice.queries.targets import MODELS_SQL, call_rows, model_rows, order_rows
-from coppice.session import scratch_path
+from coppice.session import scratch_path, store_columns
 
-SMALL = TrainParams(trees=5, depth=4)
+FULL = TrainParams(partitions=8)
+# One split on a category of two levels: what the model says can be stated in SQL.
+SPLIT = TrainParams(trees=1, depth=1, partitions=8)
 
 ORDER_ROLES = Roles(
     target="o_totalprice",
@@ -22,29 +24,34 @@ ORDER_ROLES = Roles(
 )
 
 
-def price_model(spark, sf, params=SMALL):
-    df = order_rows(spark, sf)
-    return train(ORDER_ROLES, df, params, store_input=True), df
-
-
-@query("train_predict_regression")
+@query("train_predict_regression", "SELECT o_orderkey, TRUE AS finite, TRUE AS better_than_mean FROM orders JOIN customer ON o_custkey = c_custkey")
 def train_predict_regression(spark, sf):
-    """Prices of orders: dates, categories, recency and group weights, log target."""
-    trained, df = price_model(spark, sf)
-    return predict(trained, df.drop("o_totalprice"), "prediction").select("o_orderkey", "prediction")
+    """Prices of orders: dates, categories, recency and group weights, log target.
+
+    Emits every order with two facts: its prediction is finite, and over all
+    orders the squared error of the logarithm is below that of its mean.
+    """
+    df = order_rows(spark, sf)
+    trained = train(ORDER_ROLES, df, FULL, store_input=True)
+    scored = predict(trained, df.withColumn("actual", F.col("o_totalprice")).drop("o_totalprice"), "prediction")
+    scored = store_columns(scored.select("o_orderkey", "actual", "prediction"))
+    error = F.log1p("prediction") - F.log1p("actual")
+    facts = scored.agg((F.avg(error * error) < F.var_pop(F.log1p("actual"))).alias("better_than_mean"))
+    finite = F.coalesce(F.abs("prediction") < float("inf"), F.lit(False))
+    return scored.select("o_orderkey", finite.alias("finite")).join(F.broadcast(facts))
 
 
-@query("train_predict_binary")
+@query("train_predict_binary", "SELECT doc_id, TRUE AS known FROM documents")
 def train_predict_binary(spark, sf):
-    """Quality of the labelled documents, predicted for all documents."""
+    """Quality of the labelled documents, predicted for all documents; rows without a label are not learned from."""
     docs = labelled(spark, sf)
     roles = Roles(target="grade", target_is_categorical=True, features=("lang", "source", "n_chars"))
-    trained = train(roles, docs.filter("grade is not null"), SMALL, store_input=True)
+    trained = train(roles, docs, FULL, store_input=True)
     scored, _ = try_predict(trained, docs, "prediction")
-    return scored.select("doc_id", "prediction")
+    return scored.select("doc_id", F.col("prediction").isin("good", "bad").alias("known"))
 
 
-@query("train_predict_multiclass")
+@query("train_predict_multiclass", "SELECT l_orderkey, l_linenumber, TRUE AS known FROM lineitem")
 def train_predict_multiclass(spark, sf):
     df = table(spark, sf, "lineitem")
     roles = Roles(
@@ -52,25 +59,78 @@ def train_predict_multiclass(spark, sf):
         target_is_categorical=True,
         features=("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"),
     )
-    trained = train(roles, df, SMALL)
+    trained = train(roles, df, FULL)
+    known = F.col("prediction").isin("A", "N", "R").alias("known")
+    return predict(trained, df, "prediction").select("l_orderkey", "l_linenumber", known)
+
+
+def split_model(spark, sf, target, categorical=False, rows=None):
+    df = table(spark, sf, "lineitem") if rows is None else rows
+    roles = Roles(target=target, target_is_categorical=categorical, features=("l_linestatus",))
+    return train(roles, df, SPLIT), df
+
+
+MEANS_SQL = f"""SELECT l_orderkey, l_linenumber, {r("exp(m) - 1", 2)} AS prediction FROM lineitem
+                JOIN (SELECT l_linestatus, avg(ln(1 + l_extendedprice)) AS m FROM lineitem GROUP BY 1) USING (l_linestatus)"""
+
+
+@query("split_regression", MEANS_SQL)
+def split_regression(spark, sf):
+    trained, df = split_model(spark, sf, "l_extendedprice")
+    scored = predict(trained, df, "prediction")
+    return scored.select("l_orderkey", "l_linenumber", rounded("prediction", 2).alias("prediction"))
+
+
+def majority_sql(label: str) -> str:
+    """Per line status the label with most weight, where all labels weigh the same in total."""
+    return f"""SELECT l_orderkey, l_linenumber, prediction FROM lineitem JOIN (
+          SELECT l_linestatus, arg_max(label, weight) AS prediction FROM (
+            SELECT l_linestatus, label, count(*) / sum(count(*)) OVER (PARTITION BY label) AS weight
+            FROM (SELECT l_linestatus, {label} AS label FROM lineitem) WHERE label IS NOT NULL GROUP BY 1, 2)
+          GROUP BY 1) USING (l_linestatus)"""
+
+
+SIZED = """CASE WHEN l_quantity > if(l_linestatus = 'F', 20, 40) THEN 'large'
+                WHEN l_quantity > if(l_linestatus = 'F', 10, 30) THEN 'medium' ELSE 'small' END"""
+
+
+@query("split_multiclass", majority_sql(SIZED))
+def split_multiclass(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("sized", F.expr(SIZED))
+    trained, df = split_model(spark, sf, "sized", True, rows)
     return predict(trained, df, "prediction").select("l_orderkey", "l_linenumber", "prediction")
 
 
-@query("importance_buckets")
+DISCOUNTED = "CASE WHEN l_quantity % 7 = 0 THEN NULL WHEN l_discount > 0.02 THEN 'yes' ELSE 'no' END"
+
+
+@query("split_binary", majority_sql(DISCOUNTED))
+def split_binary(spark, sf):
+    """Two classes with some labels missing: null is not a class."""
+    rows = table(spark, sf, "lineitem").withColumn("discounted", F.expr(DISCOUNTED))
+    trained, df = split_model(spark, sf, "discounted", True, rows)
+    scored, _ = try_predict(trained, df, "prediction")
+    return scored.select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("importance_buckets", "SELECT 'ordinal_l_linestatus' AS name, 1.0::DOUBLE AS importance FROM lineitem LIMIT 1")
 def importance_buckets(spark, sf):
-    trained, _ = price_model(spark, sf, TrainParams(trees=2, depth=3))
+    trained, _ = split_model(spark, sf, "l_extendedprice")
     return importance_table(trained)
 
 
-@query("registry_roundtrip")
+@query("registry_roundtrip", f"SELECT *, 99::BIGINT AS remaining_calls FROM ({MEANS_SQL})")
 def registry_roundtrip(spark, sf):
     """Train, save, list, count a call, load and predict."""
-    trained, df = price_model(spark, sf, TrainParams(trees=2, depth=3))
+    trained, df = split_model(spark, sf, "l_extendedprice")
     store = registry.Registry(spark, scratch_path(spark, "registry"))
     key = store.write_model(trained)
     remaining = store.record_call(key)
     scored = predict(store.read_model(key), df, "prediction")
-    return scored.select("o_orderkey", "prediction", F.lit(remaining).cast("bigint").alias("remaining_calls"))
+    return scored.select(
+        "l_orderkey", "l_linenumber", rounded("prediction", 2).alias("prediction"),
+        F.lit(remaining).cast("bigint").alias("remaining_calls"),
+    )
 
 
 QUOTA_SQL = f"""(SELECT model_key, 100 - count(c.ts) AS remaining_calls FROM {MODELS_SQL} m

@@ -53,3 +53,9 @@ def test_spatial_and_series_sets(scored):
     assert "error" in evaluate.spatial_evaluation(scored, roles).columns
     assert evaluate.group_slice(scored, None) is scored
     assert evaluate.group_slice(scored, {"c": None}).count() == 1
+
+
+def test_histogram_keeps_odd_numbers_apart(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    got = {r["bin"]: r["n"] for r in evaluate.histogram(df, "v", 2).collect()}
+    assert got == {0: 1, 1: 1, None: 2}

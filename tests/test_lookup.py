@@ -119,3 +119,18 @@ def test_frequent_keys_of_a_large_dictionary(spark, tiny_tables, no_broadcast):
     apart = out.filter("k = 7 or k is null").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(apart) == 8
+
+
+def test_repeated_keys_of_a_given_table(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "key int, value string")
+    with pytest.raises(ValueError, match="repeated"):
+        lookup.dictionary_lookup(df, "k", twice, "v")
+
+
+def test_array_values_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    entries = spark.createDataFrame([(1, [1, 2]), (2, [3])], "key int, value array<int>")
+    assert lookup.take_small(entries) is None
+    got = {r["k"]: r["v"] for r in lookup.dictionary_lookup(df, "k", entries, "v").collect()}
+    assert got == {1: [1, 2], 2: [3], 3: None}

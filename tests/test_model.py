@@ -240,3 +240,33 @@ def test_quota_of_a_busy_model(spark):
     models = spark.createDataFrame([("a", 100), ("b", 100)], "model_key string, call_limit bigint")
     calls = spark.range(120).selectExpr("if(id % 3 < 2, 'a', 'z') AS model_key")
     assert {r["model_key"]: r["remaining_calls"] for r in quota(models, calls).collect()} == {"a": 20, "b": 100}
+
+
+def test_model_does_not_depend_on_files(spark):
+    df = spark.range(12_000).select(
+        (F.rand(1) * 100).alias("x"), F.concat(F.lit("g"), F.col("id") % 300).alias("g"), (F.randn(2) + F.col("id") % 7).alias("y")
+    ).cache()
+    roles = iid("y", False, ("x", "g"))
+    params = TrainParams(trees=2, depth=3, partitions=4)
+    found = []
+    for parts in (1, 4, 9):
+        trained = train(roles, df.repartition(parts), params)
+        assert trained.vector.bins_needed == 301  # nominal, however many
+        found.append(predict(trained, df, "p").agg(F.sum("p")).first()[0])
+    assert found[0] == pytest.approx(found[1], rel=1e-12) and found[0] == pytest.approx(found[2], rel=1e-12)
+    by_order = train(roles, df, TrainParams(trees=2, depth=3, partitions=4, ordered_categories=("g",)))
+    assert by_order.vector.bins_needed == 2
+
+
+def test_null_labels_are_no_class(spark):
+    df = spark.createDataFrame([(float(i), "ab"[i % 2] if i % 5 else None) for i in range(60)], "x double, y string")
+    trained = train(iid("y", True, ("x",)), df, FEW)
+    assert trained.num_classes == 2 and trained.dropped_rows == 12
+    assert type(trained.model).__name__ == "GBTClassificationModel"
+
+
+def test_predict_without_its_date(spark):
+    df = spark.range(40).selectExpr("cast(id as double) as x", "timestamp_seconds(id * 86400) as d", "cast(id as double) as y")
+    trained = train(Roles(target="y", date="d", features=("x",)), df, FEW)
+    with pytest.raises(ValueError, match="missing column d"):
+        predict(trained, df.drop("d"))

@@ -52,3 +52,12 @@ def test_generated_values(spark):
     again = synth.generate_iid(spark, 20000, seed=3).repartition(3)
     assert df.exceptAll(again).isEmpty()
     assert not df.exceptAll(synth.generate_iid(spark, 20000, seed=4)).isEmpty()
+
+
+def test_csv_keeps_text(spark, tmp_path):
+    rows = [(1, 'a "b" c'), (2, "line\nbreak, comma"), (3, ""), (4, None), (5, '"'), (6, "\\"), (7, " x ")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    path = str(tmp_path / "t.csv")
+    files.write_csv(df, path)
+    assert sorted(map(tuple, files.read_csv(spark, path, df.schema).collect())) == sorted(rows, key=lambda r: r[0])
+    assert files.load(spark, path, df.schema, multiLine=True).count() == len(rows)

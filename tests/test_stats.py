@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from coppice.operators import stats
 from coppice.plans.roles import Roles, column_roles, target_choice
@@ -116,3 +117,21 @@ def test_single_statistics(spark):
     assert stats.row_count(df).first()[0] == 3
     assert [r["s"] for r in stats.distinct_groups(df, ["s"]).collect()] == ["a", "b"]
     assert [r["n"] for r in stats.fill_null_zero(df).collect()] == [3, -1, 0]
+
+
+def test_correlation_takes_nan_as_zero(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, float("nan")), (3.0, None), (4.0, 9.0)], "v double, b double")
+    plain = df.fillna(0.0)
+    for f in (stats.correlation_matrix, stats.collapsed_correlation):
+        got = {tuple(r)[:2]: r["corr"] for r in f(df, ["v", "b"]).collect()}
+        assert got["v", "b"] == pytest.approx(plain.corr("v", "b"))
+
+
+def test_wide_correlation(spark, monkeypatch):
+    names = [f"c{i}" for i in range(40)]
+    df = spark.range(200).select(*((F.rand(i) + F.col("id") * (i % 3) / 100).alias(c) for i, c in enumerate(names))).cache()
+    want = df.toPandas().corr()
+    for width in (1000, 10):
+        monkeypatch.setattr(stats, "MATRIX_WIDTH", width)
+        for r in stats.collapsed_correlation(df, names).collect():
+            assert r["corr"] == pytest.approx(want.loc[r["col_a"], r["col_b"]])

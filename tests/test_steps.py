@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from coppice.functions import columns as X
 from coppice.functions import schema as S
 from coppice.operators import dates, encode, place, scale, steps, weight
 
@@ -128,9 +129,23 @@ def test_one_hot_decode_rejects_negative(spark):
     assert [r["p"] for r in fitted.inverse(df).collect()] == [None, "b"]
 
 
-def test_one_hot_limit(letters, tiny_tables):
-    with pytest.raises(ValueError, match="too many"):
-        encode.OneHot("p").fit(letters)
+def test_one_hot_limit(letters):
+    with pytest.raises(ValueError, match="more than 1 levels"):
+        encode.OneHot("p", max_levels=1).fit(letters)
+
+
+def test_one_hot_of_many_levels(spark):
+    df = spark.range(1500).selectExpr("id", "concat('level ', id % 600) as p")
+    fitted = encode.OneHot("p").fit(df)
+    assert len(fitted.output_columns) == 600
+    assert same_rows(fitted.inverse(fitted.transform(df).drop("p")).select("id", "p"), df)
+
+
+def test_row_sum_of_many_columns(spark):
+    names = [f"c{i}" for i in range(700)]
+    df = spark.range(3).select(*((F.col("id") + i).alias(c) for i, c in enumerate(names)))
+    got = [r[0] for r in df.select(X.add_up(names)).collect()]
+    assert got == [sum(range(700)) + 700 * i for i in range(3)]
 
 
 # --- scalers
