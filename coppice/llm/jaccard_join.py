@@ -35,8 +35,10 @@ from coppice.session import store_columns
 AT_ONCE = 2_000_000
 #: Members up to which a region is joined directly.
 SMALL_REGION = 24
-#: Pivots of a region at first; 16 times as many at each further level.
+#: Pivots of a region at first; 4 times as many at each further level.
 FIRST_PIVOTS = 4
+#: Members of a region that one task compares with the pivots at a time.
+BLOCK = 4096
 #: The frequency table that orders shingles has 2 ** COUNT_BITS cells, whatever the input.
 COUNT_BITS, COUNT_PART_BITS = 21, 16
 #: Cells of a set's profile: their differences bound the distance of two sets from below.
@@ -208,39 +210,23 @@ def _repeated(values: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(rows: DataFrame):
-    """A bitmap of fixed size with a bit for each ``cls`` of ``rows``, or nearly so: it has no false misses."""
-    part_bits = 16
+    """A bitmap of fixed size with a bit for each ``cls`` of ``rows``, or nearly so: it has no false misses.
 
-    def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_place(batch.column(0))] = True
-        for i in range(0, len(bits), 1 << part_bits):
-            part = np.packbits(bits[i : i + (1 << part_bits)])
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([i >> part_bits], pa.int64()), "bits": pa.array([part.tobytes()], pa.binary())})
-
-    def join(key, table):
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    schema = "part long, bits binary"
+    A name's bit is its first three bytes as a number.
+    """
+    part = 1 << 15  # bits of one aggregated bitmap
+    place = F.conv(F.hex(F.substring("cls", 1, FILTER_BITS // 8)), 16, 10).cast("long")
+    found = rows.select(place.alias("place")).groupBy(F.floor(F.col("place") / part).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("place") % part).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    step = (1 << part_bits) // 8
-    for r in rows.select("cls").mapInArrow(mark, schema).groupBy("part").applyInArrow(join, schema).collect():
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+    for r in found.collect():
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out)
 
 
-def _place(names: pa.Array) -> np.ndarray:
-    """Bit of each 16-byte name."""
-    heads = np.array([int.from_bytes(x[:4], "little") for x in names.to_pylist()], np.int64)
-    return heads & ((1 << FILTER_BITS) - 1)
-
-
 def _may_contain(bits: np.ndarray, names: pa.Array) -> pa.Array:
-    at = _place(names)
-    return pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+    at = np.array([int.from_bytes(x[: FILTER_BITS // 8], "big") for x in names.to_pylist()], np.int64)
+    return pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))
 
 
 def _sets(rows: DataFrame, documents: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -279,6 +265,45 @@ def _chosen(table: DataFrame, names: DataFrame) -> DataFrame:
     return table.mapInArrow(keep, table.schema)
 
 
+def _reaches(one: np.ndarray, others: np.ndarray, sizes: np.ndarray, reach: int) -> np.ndarray:
+    """Whether profiles allow 100 common >= reach all: common <= (sizes - apart) / 2 and all >= (sizes + apart) / 2."""
+    apart = np.abs(one - others).sum(axis=-1)
+    return 100 * (sizes - apart) >= reach * (sizes + apart)
+
+
+def _profiles(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+
+
+def _screened(members: DataFrame, pivots: DataFrame, sets: DataFrame, reach: int) -> DataFrame:
+    """Pivots of a region and members, not connected with them, that profiles allow to be within reach.
+
+    A region's members are dealt to blocks of bounded size, and its pivots go to each of them.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    profiles = sets.select("cls", "n", "profile")
+    dealt = members.join(profiles, "cls").select("cell", F.pmod(F.xxhash64("cls"), blocks).alias("block"), "cls", "label", "n", "profile")
+    sent = pivots.join(profiles, "cls").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), F.col("cls").alias("pivot"),
+        F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"), F.col("profile").alias("pivot_profile"))
+
+    def screen(key, members, pivots):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if members.num_rows and pivots.num_rows:
+            grid, sizes = _profiles(members["profile"]), members["n"].to_numpy()
+            labels = np.array(members["label"].to_pylist(), object)
+            for i, (one, n, label) in enumerate(zip(
+                    _profiles(pivots["pivot_profile"]), pivots["pivot_n"].to_numpy(), pivots["pivot_label"].to_pylist())):
+                at = np.flatnonzero(_reaches(one, grid, sizes + n, reach) & (labels != label))
+                out.append((at, np.full(len(at), i)))
+        at, which = (pa.array(np.concatenate(x)) for x in zip(*out))
+        cls, pivot = members["cls"].take(at), pivots["pivot"].take(which)
+        return pa.table({"cell": pa.array(np.full(len(at), key[0].as_py()), pa.int64()), "cls": cls, "pivot": pivot})
+
+    found = dealt.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(screen, "cell long, cls binary, pivot binary")
+    return store_columns(found.select("cell", "cls", "pivot", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")))
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> DataFrame:
     """``a``, ``b``, ``common`` and ``all`` (shingles) of the pairs with 100 common >= reach all."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
@@ -290,12 +315,8 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grid = [np.frombuffer(b"".join(batch.column(f"profile_{c}").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
-                    for c in "ab"]
-            apart = np.abs(grid[0] - grid[1]).sum(axis=1)
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            # common <= (sizes - apart) / 2 and all >= (sizes + apart) / 2
-            keep = 100 * (sizes - apart) >= reach * (sizes + apart)
+            keep = _reaches(_profiles(batch.column("profile_a")), _profiles(batch.column("profile_b")), sizes, reach)
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in "ab"})
 
     near = store_columns(joined.mapInArrow(bound, "a binary, b binary"))
@@ -337,7 +358,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
     linked, home, boundary = (max(100 - i * (100 - percent), 0) for i in (1, 2, 3))
     share = lambda least: 100 * F.col("common") >= least * F.col("all")
     labels = store_columns(regions.select("cls", F.col("cls").alias("label")).distinct())
-    near = seen = None
+    seen = None
     level = 0
     while True:
         named = regions.join(labels, "cls")
@@ -352,32 +373,37 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
         small = members.where(F.col("size") <= SMALL_REGION).select("cell", "cls", "label")
         other = small.select("cell", F.col("cls").alias("b"), F.col("label").alias("label_b"))
         within = small.join(other, "cell").where("cls < b and label != label_b").select(F.col("cls").alias("a"), "b")
-        # Of a large one, pivots are drawn among those outside its largest connected part. Where they are
-        # all of these, the region is done.
+        # Of a large one, some members are pivots, compared with all that are not connected with them yet.
+        # Once few are outside the largest connected part, these are the pivots, and the region is done.
         large = members.where(F.col("size") > SMALL_REGION)
-        drawn_at_most = FIRST_PIVOTS * 16**level
-        slot = F.when(F.col("outside") > drawn_at_most, F.pmod(F.xxhash64("cls"), F.lit(drawn_at_most))).otherwise(F.xxhash64("cls"))
-        drawn = large.where("label != main").groupBy("cell", slot.alias("slot")).agg(F.min(F.struct("cls", "label")).alias("x"))
-        pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("pivot"), F.col("x.label").alias("pivot_label")))
-        met = large.join(pivots, "cell").where("cls != pivot").where(
-            (F.col("outside") > drawn_at_most) | (F.col("label") != F.col("pivot_label"))).select(
-            "cell", "cls", "pivot", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+        pivots_drawn = FIRST_PIVOTS * 4**level
+        last = F.col("outside") <= pivots_drawn
+        slot = F.when(last, F.xxhash64("cls")).otherwise(F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(pivots_drawn)))
+        drawn = large.where(~last | (F.col("label") != F.col("main"))).groupBy("cell", slot.alias("slot")).agg(
+            F.min(F.struct("cls", "label")).alias("x"), F.first("size").alias("size"))
+        pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("cls"), F.col("x.label").alias("label"), "size"))
+        reach = linked if level else boundary
+        met = _screened(large, pivots, sets, reach)
         pairs = met.select("a", "b").unionByName(within).distinct()
         pairs = store_columns(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        fresh = _distances(pairs, sets, width, boundary)
-        near, seen = (fresh, pairs) if near is None else (near.unionByName(fresh), seen.unionByName(pairs))
+        near = _distances(pairs, sets, width, reach)
+        seen = pairs if seen is None else seen.unionByName(pairs)
         # Linked sets are connected; so are their labels.
         left, right = (labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-        links = fresh.where(share(linked)).join(left, "a").join(right, "b")
+        links = near.where(share(linked)).join(left, "a").join(right, "b")
         roots = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
         labels = store_columns(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select(
             "cls", F.coalesce("root", "label").alias("label")))
-        # The regions of the next level; pivots have been compared with all members of theirs. Pivots of
-        # one region that are near each other would have the same members, so they share one.
-        large = large.where(F.col("outside") > drawn_at_most)
+        # The regions of the next level; pivots have been compared with all members of theirs and are done.
+        large = large.where(~last)
         if large.isEmpty():
             return labels
-        rest = large.select("cell", "cls").join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti")
+        rest = large.select("cell", "cls").join(pivots.select("cell", "cls"), ["cell", "cls"], "left_anti")
+        level += 1
+        if level > 1:  # distances within a connected part are not known, so there are no windows to split by
+            regions = store_columns(rest)
+            continue
+        # Pivots of one region that are near each other would have the same members, so they share one.
         reach = met.join(near, ["a", "b"]).groupBy("cell", "cls").agg(
             F.max(share(linked)).alias("inner"), F.max(share(home)).alias("home"))
         placed = rest.join(reach, ["cell", "cls"], "left").withColumn("far", ~F.coalesce("home", F.lit(False)))
@@ -387,7 +413,6 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
         apart = placed.where("far").select("cell").distinct()
         regions = store_columns(placed.where("near").select(F.xxhash64("cell", F.lit("near")).alias("cell"), "cls").unionByName(
             placed.where("not inner").join(apart, "cell").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "cls")).distinct())
-        level += 1
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4,
