@@ -170,14 +170,16 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
 
 
 def _threads(tree: DataFrame) -> DataFrame:
-    """``node``, ``top`` and ``depth``: parents are followed in steps that double."""
+    """``node``, ``top`` and ``depth``: parents are followed in steps that double, by the nodes not at the top yet."""
     far = store_columns(tree.select("node", F.coalesce("parent", "node").alias("top"), F.col("parent").isNotNull().cast("long").alias("depth")))
+    done, climbing = far.where("depth = 0"), far.where("depth > 0")
     while True:
-        # A top that is no node (its row is missing) stays a top.
-        up = far.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        step = store_columns(far.join(up.where("next != top"), "top", "left").select(
+        # A node whose top is a first message is done; the others take their top's steps as well.
+        up = climbing.unionByName(done.where("depth > 0")).select(F.col("node").alias("via"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        step = store_columns(climbing.join(up, F.col("top") == F.col("via"), "left").select(
             "node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("next").isNotNull().alias("moved")))
-        far = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return far
+        done = done.unionByName(step.where("not moved").drop("moved"))
+        climbing = step.where("moved").drop("moved")
+        if climbing.isEmpty():
+            return done
