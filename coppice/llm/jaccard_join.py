@@ -304,8 +304,8 @@ def _screened(members: DataFrame, pivots: DataFrame, sets: DataFrame, reach: int
     return store_columns(found.select("cell", "cls", "pivot", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> DataFrame:
-    """``a``, ``b``, ``common`` and ``all`` (shingles) of the pairs with 100 common >= reach all."""
+def _distances(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """``a``, ``b``, ``common`` and ``all`` (shingles) of the pairs with 100 common >= ``reach`` all; each has its reach."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     profiles = _chosen(sets.select("cls", "n", "profile"), ends)
     side = lambda c: profiles.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"profile_{c}"))
@@ -316,10 +316,11 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> Dat
             if not batch.num_rows:
                 continue
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            reach = batch.column("reach").to_numpy()
             keep = _reaches(_profiles(batch.column("profile_a")), _profiles(batch.column("profile_b")), sizes, reach)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in "ab"})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "reach")})
 
-    near = store_columns(joined.mapInArrow(bound, "a binary, b binary"))
+    near = store_columns(joined.mapInArrow(bound, "a binary, b binary, reach int"))
     ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls")))
     packed = _chosen(sets.select("cls", "packed"), ends)
     whole = near.join(packed.select(F.col("cls").alias("a"), F.col("packed").alias("text_a")), "a").join(
@@ -344,7 +345,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int, reach: int) -> Dat
                 common.append(both)
                 every.append(len(x) + len(y) - both)
             common, every = np.array(common, np.int64), np.array(every, np.int64)
-            keep = pa.array(100 * common >= reach * every)
+            keep = pa.array(100 * common >= batch.column("reach").to_numpy() * every)
             yield pa.RecordBatch.from_pydict({
                 "a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep),
                 "common": pa.array(common).filter(keep), "all": pa.array(every).filter(keep)})
@@ -384,9 +385,11 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
         pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("cls"), F.col("x.label").alias("label"), "size"))
         reach = linked if level else boundary
         met = _screened(large, pivots, sets, reach)
-        pairs = met.select("a", "b").unionByName(within).distinct()
+        # What is far is of use for windows only, so pairs of small regions need not reach beyond a link.
+        pairs = met.select("a", "b", F.lit(reach).alias("reach")).unionByName(within.withColumn("reach", F.lit(linked)))
+        pairs = pairs.groupBy("a", "b").agg(F.min("reach").alias("reach"))
         pairs = store_columns(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        near = _distances(pairs, sets, width, reach)
+        near = _distances(pairs, sets, width)
         seen = pairs if seen is None else seen.unionByName(pairs)
         # Linked sets are connected; so are their labels.
         left, right = (labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
