@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_templates, packing, quotes, token_counts
+from coppice.llm import cross_polytope, decontaminate, html_density, jaccard_join, katz, language, license_sql, license_templates, packing, quotes, token_counts
 from coppice.llm.textwork import find_package, id_hash_mod
 from coppice.queries.base import Query, table
 
@@ -40,7 +40,7 @@ def near_duplicate_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", license_sql.license_sql())
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_templates.scan_licenses(table(spark, folder, "documents"))
 
