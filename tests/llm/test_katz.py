@@ -88,3 +88,42 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert katz.score(none, model).count() == 0
     nothing = katz.score(docs, katz.fit(none)).collect()
     assert all(r["score"] == r["base_score"] == 0.0 for r in nothing)
+
+
+def whole(train, scored, discounted=katz.DISCOUNTED):
+    """Model scores with every word of the training texts as history and successor, and the unknown word."""
+    toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [" end"]
+    counts = Counter(w for t in train for w in toks(t))
+    n, v = sum(counts.values()), len(counts)
+    uni = lambda w: (counts[w] + 0.1) / (n + 0.1 * (v + 1))
+    pairs = Counter(p for t in train for p in zip([" begin"] + toks(t), toks(t)))
+    d = dict(enumerate(katz.good_turing(katz.np.bincount([min(r, discounted + 2) for r in pairs.values()], minlength=discounted + 3))))
+    after = {}
+    for (a, b), r in pairs.items():
+        after.setdefault(a, {})[b] = r
+
+    def p(a, b):
+        if a not in after:
+            return uni(b)
+        s = after[a]
+        kept, total = sum(d[r] * r if r <= discounted else r for r in s.values()), sum(s.values())
+        total += all(r > discounted for r in s.values())
+        if b in s:
+            return (d[s[b]] if s[b] <= discounted else 1) * s[b] / total
+        return (1 - kept / total) / (1 - sum(map(uni, s))) * uni(b)
+
+    for a in after:
+        assert math.isclose(sum(p(a, b) for b in [*counts, None]), 1, rel_tol=1e-9)
+    return [sum(math.log10(p(a, b)) for a, b in zip([" begin"] + toks(t), toks(t))) for t in scored]
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 40])
+def test_every_word_keeps_its_pairs(spark, corpus, frequent, monkeypatch):
+    """Words seen once, and words below the share that is broadcast, are histories and successors of their own."""
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
+    texts = [(t or "").replace("É", "é") for t in corpus] + ["once upon once2", "upon once2", "always next"] + ["always next"] * 8 + ["always w1", "once upon upon unknown"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = texts[:-2]
+    model = katz.fit(docs.where(f"doc_id < {len(train)}"))
+    got = {r["doc_id"]: r["score"] for r in katz.score(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(whole(train, texts), rel=1e-9)
