@@ -101,7 +101,7 @@ def _hashed(rows: DataFrame, params: SearchParams, probes: int) -> DataFrame:
 
 
 def _best_of(k: int):
-    """Rank the candidates of one cell: exact inner products, the ``k`` best of each query."""
+    """Rank the candidates of one cell: exact inner products, the ``k`` best ids of each query."""
 
     def rank(key, table):
         is_query = np.asarray(table["is_query"])
@@ -112,10 +112,12 @@ def _best_of(k: int):
         rows: list[tuple[np.ndarray, ...]] = []
         if len(q) and len(c):
             candidates, own = np.stack([np.frombuffer(blob[i], "<f8") for i in c]), ids[c]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # rows of an id stand together
+            own = own[first]
             for a in range(0, len(q), 256):
                 part = q[a : a + 256]
                 score = np.stack([np.frombuffer(blob[i], "<f8") for i in part]) @ candidates.T
-                for i, s in zip(part, score):
+                for i, s in zip(part, np.maximum.reduceat(score, first, axis=1)):
                     s = np.where(own == ids[i], -np.inf, s)
                     if len(s) > k:  # ties at the end stay, so that the smaller id can win
                         top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])

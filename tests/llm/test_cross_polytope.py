@@ -56,3 +56,22 @@ def test_odd_vectors_and_few_rows(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in cross_polytope.nearest(df, F.lit(True)).collect()]
     assert sorted(got) == [(0, 1, 7), (0, 2, 1), (1, 1, 7), (1, 2, 0), (7, 1, 0), (7, 2, 1)]
     assert cross_polytope.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [2, 30])
+@pytest.mark.parametrize("k,probes", [(7, 8), (38, 1)])  # all axes are probed, or all queries are compared with all rows
+def test_copies_of_an_id_take_one_place(spark, copies, k, probes):
+    r = np.random.default_rng(2)
+    vectors = r.normal(size=(40, 3))
+    copied = np.repeat(vectors, copies, axis=0) * np.tile(np.linspace(1, 0.5, copies), 40)[:, None]
+    ids = np.repeat(np.arange(40), copies)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, copied)], "vec_id long, embedding array<double>")
+    got = cross_polytope.nearest(df.repartition(3), F.col("vec_id") % 5 == 0, SearchParams(k=k, tables=1, probes=probes))
+    found = {}
+    for x in got.orderBy("query_id", "rank").collect():
+        found.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    score = copied @ copied.T
+    for q in range(0, 40, 5):
+        best = sorted((-score[np.ix_(ids == q, ids == i)].max(), i) for i in range(40) if i != q)[:k]
+        assert [i for i, _ in found[q]] == [i for _, i in best]
+        assert [s for _, s in found[q]] == pytest.approx([-s for s, _ in best], abs=1e-12)
