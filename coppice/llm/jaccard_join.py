@@ -1,16 +1,21 @@
-"""Exact components of texts whose shingle sets are similar: a Jaccard metric-space join.
-
-The Jaccard distance is a metric, so a pivot p and a link of distance at most t
-between x and y give |d(x, p) - d(y, p)| <= t. Unrelated texts all have
-distance 1, which no document pivot can tell apart; the first regions are
-therefore those of single rare shingles: two linked sets always share one among
-the rarest 15 % of each (for a similarity of 0.85). Within a region, document
-pivots are drawn and the distances of all members to them computed. Members
-within 2 t of a pivot form the Voronoi regions, which others within 3 t join as
-boundary (pivots so near each other that their windows cover the same members
-share one region); members without a pivot within t form the rest region. Every
-linked pair then shares a region, and regions are joined again, with more
-pivots, until they are small or all members of each are known to be connected.
+"""Exact components of texts whose shingle sets are similar: a join by rare shingles, profiles and pivots.
+
+Unrelated texts all have Jaccard distance 1, which no document pivot can tell
+apart; the first regions are therefore those of single rare shingles: two linked
+sets always share one among the rarest 15 % of each (for a similarity of 0.85).
+In a large region some members are drawn as pivots and compared with all
+members that are not connected with them yet and whose profiles allow a link.
+
+The windows of the triangle inequality (|d(x, p) - d(y, p)| <= t for a link of
+distance at most t) are used once, after the first pivots: members within 3 t of
+any pivot form one region, and if some member is beyond 2 t of all pivots, those
+without a pivot within t form another. This is no Voronoi partition: members are
+not dealt to their nearest pivot. There are no windows after that, because pairs
+that are connected already are not compared, so their distances are not known.
+From then on pivots, which have met all members, leave their region, and 4 times
+as many are drawn, until few members are outside its largest connected part or
+it is small. A large region of unlinked members is thus screened pair by pair,
+with profiles; its work grows with the square of its members. No link is lost.
 """
 
 from __future__ import annotations
