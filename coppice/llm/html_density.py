@@ -27,6 +27,10 @@ BLOCKS = frozenset(
 NO_TEXT = frozenset(
     "head script style noscript template title textarea select option button input iframe object embed svg math canvas "
     "audio video map nav footer aside form menu dialog noembed noframes xmp".split())
+#: Kinds that are dropped, but may be wrapped around a whole article.
+WRAPPERS = frozenset("nav footer aside form menu dialog header".split())
+#: Parts of an article whose ids are anchors and say nothing of their kind.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 #: What a new element ends implicitly, up to the elements in the second set.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -59,7 +63,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "drop", "named")
+    __slots__ = ("tag", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "drop", "named", "classed")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
@@ -67,6 +71,7 @@ class Node:
         self.density = self.total = 0.0
         self.drop = False
         self.named: frozenset | None = None
+        self.classed: frozenset | None = None
 
 
 def parse(page: str) -> Node:
@@ -108,8 +113,9 @@ def parse(page: str) -> Node:
         node.parts.append(child)
         attributes = m[3] or m[6] or ""
         if attributes:
-            words = frozenset(w.lower() for x in _MARKS.findall(attributes) for w in _WORD.findall(x[1] or x[2] or x[3]))
-            child.named = words & ASIDE_WORDS or None
+            marks = [(x[0].lower(), w.lower()) for x in _MARKS.findall(attributes) for w in _WORD.findall(x[1] or x[2] or x[3])]
+            child.named = frozenset(w for _, w in marks) & ASIDE_WORDS or None
+            child.classed = frozenset(w for kind, w in marks if kind != "id") & ASIDE_WORDS or None
             if _HIDDEN.search(attributes):
                 child.drop = True
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
@@ -128,6 +134,27 @@ def _up(node: Node | None):
         node = node.parent
 
 
+def _kept_wrappers(order: list[Node], inside: dict[Node, bool]) -> set[Node]:
+    """Wrappers that stay: without them no article, or next to no text, would be left.
+
+    Forms around an article come first, so that an article in a form does not bring back those of its sidebars.
+    """
+    articles = [n for n in order if n.tag in ("article", "main")]
+    for kept in (frozenset(), frozenset(["form"]), WRAPPERS):
+        lost = NO_TEXT - kept
+        free = [a for a in articles if not any(
+            n.drop or n.tag in lost or n.tag == "header" and not inside[n] and "header" not in kept for n in _up(a))]
+        if free:
+            return {n for a in free for n in _up(a) if n.tag in kept}
+    if articles:
+        return set()
+    sizes = {}
+    for node in reversed(order):
+        sizes[node] = 0 if node.drop else sum(
+            len("".join(x.split())) if isinstance(x, str) else 0 if x.tag in lost else sizes[x] for x in node.parts)
+    return {n for n in order if n.tag == "form" and 10 * sizes[n] >= 9 * sizes[order[0]] > 0}
+
+
 def _measure(root: Node, by_name: bool) -> Node:
     """Drop what is no article and fill in counts and densities; returns the body."""
     order, todo = [], [(root, False)]
@@ -141,11 +168,13 @@ def _measure(root: Node, by_name: bool) -> Node:
     for node in order:
         if node.tag in ("article", "main"):
             holds.update(_up(node))
+    wrappers = _kept_wrappers(order, inside)
     for node in reversed(order):
         node.chars = node.link_chars = node.tags = node.link_tags = 0
-        named = node.named and (node.named - _HEADER if inside[node] else node.named)
-        if node.tag in NO_TEXT or node.tag == "header" and not inside[node] or by_name and named and node not in holds and (
-                node.tag not in ("html", "body")):
+        named = node.classed if inside[node] and node.tag in ANCHORED else node.named
+        named = named and (named - _HEADER if inside[node] else named)
+        kind = node not in wrappers and (node.tag in NO_TEXT or node.tag == "header" and not inside[node])
+        if kind or by_name and named and node not in holds and node.tag not in ("html", "body"):
             node.drop = True
         if node.drop:
             node.parts = [] if by_name or node.tag in NO_TEXT else node.parts

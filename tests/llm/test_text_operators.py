@@ -37,6 +37,25 @@ def test_article_without_the_rest(junk, around):
     assert html_density.main_text(page(*around, after=junk)) == want
 
 
+@pytest.mark.parametrize("around", [
+    ("<form id=aspnetForm><article>", "</article></form>"), ("<form><div>", "</div></form>"), ("<aside><article>", "</article></aside>"),
+    ("<form><nav><a href=/>Home</a></nav><main>", "</main><aside><article>A teaser</article></aside></form>"),
+    ("<header><main>", "</main></header><footer>Foot</footer>"),
+])
+def test_wrappers_of_whole_articles_stay(around):
+    assert html_density.main_text(page(*around)) == "\n".join(ARTICLE)
+    side = "<aside><article>Teaser of another text</article></aside><form>Name</form>"
+    assert html_density.main_text(page("<article>", "</article>", after=side)) == "\n".join(ARTICLE)
+
+
+def test_anchors_inside_articles_stay():
+    parts = ("<h2 id='related-work'>Related work</h2><section id='search-and-sorting'><p>Text of a section with quite a few words in it.</p></section>"
+             "<p id='form-validation'>Validation of forms is text as well.</p><p class='related' id=x>Read on</p>")
+    for tag in ("article", "main"):
+        assert html_density.main_text(page(f"<{tag}>", f"{parts}</{tag}>")) == "\n".join([
+            *ARTICLE, "Related work", "Text of a section with quite a few words in it.", "Validation of forms is text as well."])
+
+
 def test_blocks_references_and_white_space():
     assert html_density.main_text("<p>a\n b&nbsp;&#x63;<br>d</p><ul><li>e<li>f</ul>") == "a b c d\ne\nf"
     assert html_density.main_text("<p title='a>b'>x</p>y &amp") == "x\ny &"
