@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.textwork import LOWER, built, map_batches, pick, texts
+from coppice.llm.textwork import LOWER, UPPER, built, map_batches, pick, texts
 from coppice.session import store_columns
 
 #: Pieces that one task packs together: a bound on its memory, not on the work.
@@ -29,8 +29,9 @@ PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Token ids, as little-endian bytes, of chunks between white space, remembered up to a bound.
 
-    The tokenizer drops white space, never joins what it separates and ignores
-    the case of letters, so a text's ids are those of its chunks in order.
+    The tokenizer finds its added tokens in the text as it stands. In what is
+    between them it drops white space, never joins what it separates and
+    ignores the case of letters, so those ids are those of its chunks in order.
     """
 
     #: Chunks that are remembered; those not met since half of it filled up are forgotten.
@@ -45,6 +46,10 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Longer tokens first, as where several begin at one place.
+        added = sorted(((t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda x: (-len(x[0]), x))
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added}
+        self.at_added = re.compile(b"(" + b"|".join(re.escape(token) for token, _ in added) + b")") if added else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -54,7 +59,8 @@ class WordIds:
             if (ids := self.older.get(c)) is not None:
                 known[c] = ids
             else:
-                text = c.decode("utf-8", "surrogatepass")
+                # Another spelling of an added token is no such token, so it must not become one by lower-casing.
+                text = (c.translate(UPPER) if self.at_added and self.at_added.search(c) else c).decode("utf-8", "surrogatepass")
                 (plain if text.isalpha() else other).append((c, text))
         if plain:  # each is one word of the tokenizer, so its last token is the only one that ends a word
             ids = np.array(self.tokenizer.encode(" ".join(t for _, t in plain), add_special_tokens=False).ids, "<u4")
@@ -70,12 +76,20 @@ class WordIds:
 
     def ids(self, batch: list[bytes | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
-        chunks = [self._STOP.sub(rb" \1", t.translate(LOWER)).split() if t else [] for t in batch]
+        whole = [t or b"" for t in batch]
+        # Plain parts and, between each two of them, an added token.
+        parts = [self.at_added.split(t) if self.at_added and self.at_added.search(t) else [t] for t in whole]
+        chunks = [[self._STOP.sub(rb" \1", p.translate(LOWER)).split() for p in x[::2]] for x in parts]
         if len(self.known) > self.LIMIT // 2:
             self.older, self.known = self.known, {}
         known = self.known
-        self._encode(list({c for part in chunks for c in part if c not in known}))
-        return [b"".join(map(known.__getitem__, part)) for part in chunks]
+        self._encode(list({c for x in chunks for plain in x for c in plain if c not in known}))
+        return [b"".join(map(known.__getitem__, x[0])) if len(x) == 1 else self._between(x, part) for x, part in zip(chunks, parts)]
+
+    def _between(self, chunks: list[list[bytes]], parts: list[bytes]) -> bytes:
+        """The ids of plain parts with the added tokens between them."""
+        plain = [b"".join(map(self.known.__getitem__, x)) for x in chunks]
+        return plain[0] + b"".join(self.added[token] + ids for token, ids in zip(parts[1::2], plain[1:]))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1,

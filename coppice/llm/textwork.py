@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 _UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+UPPER = bytes.maketrans(_UPPER.lower(), _UPPER)
 
 
 def col(name: str) -> Column:
@@ -40,10 +41,16 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]],
         for batch in batches:
             for columns in work(batch):
                 yield pa.RecordBatch.from_pydict(columns)
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory of batches that are done back to the machine."""
+    pa.default_memory_pool().release_unused()
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; null gives none."""
     return text.translate(LOWER).split() if text else []
@@ -100,6 +107,17 @@ def slices(data: list[bytes | None], limit: int) -> Iterator[slice]:
         yield slice(first, len(data))
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """Consecutive slices of a string column and their UTF-8 bytes; only one slice is copied at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(sizes):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield slice(first, stop), texts(column.slice(first, stop - first))
+        first = stop
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """64-bit values in few bytes: equal places of all values stand together, then zstandard."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()

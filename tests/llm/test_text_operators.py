@@ -227,6 +227,30 @@ def test_packing(spark, capacity, block, monkeypatch):
     assert packing.pack_documents(docs.where("false"), path, capacity).count() == 0
 
 
+def test_ids_with_added_tokens_in_all_spellings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(9)
+    parts = ["<|startoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|endoftext|", "<|", "|>", "a", "Don't", "É", "ß", " ", "\n", ".", ",", "12", "İ"]
+    made = ["".join(r.choices(parts, k=r.randrange(1, 8))) for _ in range(4000)] + ["", "<|endoftext|>", "x<|ENDOFTEXT|>y<|endoftext|>Z"]
+    got = words.ids([t.encode() for t in made])
+    for text, ids in zip(made, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_short_items_stand_as_words():
+    pieces = decontaminate.Pieces(([("a", "two words"), ("b", "x" * 30 + " end"), ("c", "é"), ("d", "(k)")], 25, 40))
+    find = lambda text: [(pieces.items[n][0], d, end) for n, d, end in pieces.find(text)]
+    assert find("here two words, and two words") == [("a", 0, 14)]
+    assert find("two wordsx and xtwo words") == [] and find("two word") == []
+    assert find("two words") == [("a", 0, 9)] and find("y" + "x" * 30 + " end") == []
+    assert find("cafe é") == [("c", 0, 6)] and find("café") == [] and find("a(k)b") == [("d", 0, 4)]
+
+
 def test_sum_of_squares_rule():
     r = np.random.default_rng(4)
     for _ in range(30):
