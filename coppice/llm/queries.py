@@ -94,7 +94,7 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit_languages(docs.where(id_hash_mod("doc_id", 4) != 2))
     found = language.identify(docs, model)
-    return found.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 as held_out", "lang_pred",
+    return found.selectExpr("doc_id", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, true) as held_out", "lang_pred",
                             "score", "accepted")
 
 
