@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.textwork import built, map_batches, pick, texts
+from coppice.llm.textwork import built, col, map_batches, pick, release, text_slices
 
 #: Characters of items per block; all rows are searched once for each block.
 BLOCK_CHARS = 16_000_000
 #: One error is allowed for so many characters of an item.
 CHARS_PER_ERROR = 25
-#: Shorter items must be the whole text; within longer ones they would stand by chance.
+#: Shorter items must stand without errors, as words of their own; with errors they would stand by chance.
 SHORTEST = 40
+#: Bytes of text that a task copies at a time.
+AT_ONCE = 2_000_000
 
 
 def normal(text: str | None) -> str:
@@ -61,18 +63,24 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     return best
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit of the part goes on outside of it."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (
+        end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 class Pieces:
     """The pieces of a block of items, ready to search."""
 
     def __init__(self, block: tuple[list[tuple[object, str]], int, int]):
         items, chars_per_error, shortest = block
         self.items = [(key, text, len(text) // chars_per_error) for key, text in items]
-        self.whole: dict[str, list[int]] = {}
+        self.exact: set[int] = set()
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
             if len(text) < shortest:
-                self.whole.setdefault(text, []).append(n)
-                continue
+                self.exact.add(n)
+                budget = 0
             for at, piece in pieces_of(text, budget):
                 owners.setdefault(piece, []).append((n, at))
         self.automaton = None
@@ -84,11 +92,15 @@ class Pieces:
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """Item number, distance and end of the best place of each item that stands in ``text``."""
-        found = {n: (0, len(text)) for n in self.whole.get(text, ())}
+        found: dict[int, tuple[int, int]] = {}
         windows: dict[int, list[int]] = {}
         if self.automaton:
             for end, (length, where) in self.automaton.iter(text):
                 for n, at in where:
+                    if n in self.exact:
+                        if n not in found and stands_alone(text, end + 1 - length, end + 1):
+                            found[n] = 0, end + 1
+                        continue
                     windows.setdefault(n, []).append(end + 1 - length - at)
         for n, starts in windows.items():
             _, item, budget = self.items[n]
@@ -129,8 +141,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     Case and white space do not matter. Returns one row per document row and
     item found in it: ``doc_id``, ``item_id``, ``distance`` (smallest edit
     distance to a part of the text) and ``end`` (where the first such part ends
-    in the normalised text). Items shorter than ``shortest`` must be the whole
-    text. Items go to the executors in blocks of ``block_chars`` characters;
+    in the normalised text). Items shorter than ``shortest`` must stand without
+    errors and not inside a word. Items go to the executors in blocks of ``block_chars`` characters;
     the whole texts of all documents are searched for each block. Null or empty
     texts and items match nothing; repeated rows and items give rows each;
     other columns are not read. No items or documents give no rows.
@@ -146,7 +158,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         def work(batch, held=held):
             pieces = built(held, Pieces)
             row, hits = [], []
-            for i, text in enumerate(texts(batch.column(1))):
+            whole = (t for _, part in text_slices(batch.column(1), AT_ONCE) for t in part)
+            for i, text in enumerate(whole):
                 if text:
                     for n, distance, end in pieces.find(normal(text.decode("utf-8", "surrogatepass"))):
                         row.append(i)
@@ -169,17 +182,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id",
                item_text: str = "text", chars_per_error: int = CHARS_PER_ERROR, shortest: int = SHORTEST,
                block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows in which no benchmark item stands, with all their columns as they were."""
-    at = docs.columns.index(text_column)
+    """The rows in which no benchmark item stands, with all their columns as they were.
+
+    Null and empty texts stay; an empty benchmark keeps all rows. Repeated rows
+    are decided alike. Only the text leaves the JVM, so other columns may have
+    any name and type.
+    """
     for items in _blocks(benchmark, item_column, item_text, block_chars):
         held = docs.sparkSession.sparkContext.broadcast((items, chars_per_error, shortest))
 
-        def run(batches, held=held):
-            pieces = built(held, Pieces)
-            for batch in batches:
-                yield batch.filter(pa.array([
-                    not (t and pieces.find(normal(t.decode("utf-8", "surrogatepass"))))
-                    for t in texts(batch.column(at))], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.where(_clean(held)(col(text_column)))
     return docs
+
+
+def _clean(held):
+    """The condition that a text holds no item of a broadcast block."""
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        pieces, keep = built(held, Pieces), []
+        for _, part in text_slices(column, AT_ONCE):
+            keep += [not (t and pieces.find(normal(t.decode("utf-8", "surrogatepass")))) for t in part]
+        release()
+        return pa.array(keep, pa.bool_())
+
+    return clean

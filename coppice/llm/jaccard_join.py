@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from coppice.llm.components import components
 from coppice.llm.textwork import (
-    WordHashes, col, mixed, pick, slices, split_words, squeeze, squeeze_sorted, texts, unsqueeze, unsqueeze_sorted,
+    WordHashes, col, mixed, pick, release, split_words, squeeze, squeeze_sorted, text_slices, unsqueeze, unsqueeze_sorted,
 )
 from coppice.session import store_columns
 
@@ -51,6 +51,7 @@ PROFILE = 512
 #: Bits of the filter that keeps rows which cannot meet a join out of its shuffle.
 FILTER_BITS = 24
 _WORDS = WordHashes()
+_WORDS.LIMIT = 120_000
 # Odd multipliers of the rolling combination.
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(64 - COUNT_BITS)
@@ -96,10 +97,10 @@ def _frequencies(rows: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            data = texts(batch.column(0))
-            for part in slices(data, AT_ONCE):
-                if found := shingles(data[part], width):
+            for _, data in text_slices(batch.column(0), AT_ONCE):
+                if found := shingles(data, width):
                     total += np.bincount((np.concatenate(found) >> _TOP).astype(np.int64), minlength=len(total))
+            release()
         parts = [squeeze(total[i : i + part_size]) for i in range(0, len(total), part_size)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int64()), "counts": pa.array(parts, pa.binary())})
 
@@ -130,11 +131,10 @@ def _regions(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     def route(batches):
         frequency = held.value
         for batch in batches:
-            data = texts(batch.column(1))
-            for part in slices(data, AT_ONCE):
+            for part, data in text_slices(batch.column(1), AT_ONCE):
                 known: dict[bytes, tuple[int, int]] = {}
                 keys, owner, described = [], [], []
-                for found in shingles(data[part], width):
+                for found in shingles(data, width):
                     distinct = np.unique(found)
                     n = len(distinct)
                     name = _digest(distinct) if n else None
@@ -149,7 +149,7 @@ def _regions(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0)[part.start : part.stop], "cls": pa.array([x for x, _ in described], pa.binary()),
                     "n": pa.array([n for _, n in described], pa.int64()),
-                    "text_name": pa.array([xxhash.xxh3_128_digest(t or b"") for t in data[part]], pa.binary()),
+                    "text_name": pa.array([xxhash.xxh3_128_digest(t or b"") for t in data], pa.binary()),
                     "bucket": pa.nulls(count, pa.int64())} | {c: pa.nulls(count, pa.binary()) for c in blobs})
                 if not keys:
                     continue
@@ -241,18 +241,24 @@ def _sets(rows: DataFrame, documents: DataFrame, members: DataFrame, width: int)
 
     def describe(batches):
         pack = zstandard.ZstdCompressor(level=3)
+        sent: set[bytes] = set()  # by this task, so that copies of a set leave it once
         for batch in batches:
-            data = [t for t in texts(batch.column(0)) if t]
-            if data:
-                may = _may_contain(held.value, pa.array([xxhash.xxh3_128_digest(t) for t in data])).to_pylist()
-                data = [t for t, m in zip(data, may) if m]
-            for part in slices(data, AT_ONCE):
-                found = [np.unique(x) for x in shingles(data[part], width)]
-                once = {_digest(x): (len(x), _profile(x), t) for t, x in zip(data[part], found) if len(x)}
+            for _, data in text_slices(batch.column(0), AT_ONCE):
+                data = {xxhash.xxh3_128_digest(t): t for t in data if t}
+                if data:
+                    may = _may_contain(held.value, pa.array(list(data), pa.binary())).to_pylist()
+                    data = [t for t, m in zip(data.values(), may) if m]
+                found = [np.unique(x) for x in shingles(data, width)] if data else []
+                once = {_digest(x): (len(x), _profile(x), t) for t, x in zip(data, found) if len(x)}
+                once = {name: x for name, x in once.items() if name not in sent}
+                if len(sent) > 100_000:
+                    sent.clear()
+                sent.update(once)
                 yield pa.RecordBatch.from_pydict({
                     "cls": pa.array(list(once), pa.binary()), "n": pa.array([x[0] for x in once.values()], pa.int64()),
                     "profile": pa.array([x[1] for x in once.values()], pa.binary()),
                     "packed": pa.array([pack.compress(x[2]) for x in once.values()], pa.binary())})
+            release()
 
     found = rows.select("text").mapInArrow(describe, "cls binary, n long, profile binary, packed binary")
     return store_columns(found.groupBy("cls").agg(

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coppice.llm.textwork import built, map_batches, pick, texts
+from coppice.llm.textwork import built, col, map_batches, pick, release, text_slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: The language of a text without letters.
 UNKNOWN = "und"
+#: Bytes of text that a task copies at a time.
+AT_ONCE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -121,8 +123,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
     def work(batch):
         ready = built(held, _Compressors)
-        found = [ready.predict(t) for t in (None if b is None else b.decode("utf-8", "surrogatepass")
-                                            for b in texts(batch.column(1)))]
+        found = [ready.predict(None if b is None else b.decode("utf-8", "surrogatepass"))
+                 for _, part in text_slices(batch.column(1), AT_ONCE) for b in part]
         yield {"doc_id": batch.column(0), "lang_pred": pa.array([x[0] for x in found], pa.string()),
                "score": pa.array([x[1] for x in found], pa.float64()),
                "accepted": pa.array([x[0] != UNKNOWN and x[1] >= model.params.margin for x in found], pa.bool_())}
@@ -133,17 +135,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """The rows whose language is accepted, with all their columns as they were."""
+    """The rows whose language is accepted, with all their columns as they were.
+
+    Rows with a null or empty text or one without letters go, and all rows if
+    the model has no language. Repeated rows are decided alike. Only the text
+    leaves the JVM, so other columns may have any name and type.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_column)
 
-    def run(batches):
-        for batch in batches:
-            ready = built(held, _Compressors)
-            keep = []
-            for b in texts(batch.column(at)):
+    @F.arrow_udf("boolean")
+    def accepted(column: pa.Array) -> pa.Array:
+        ready, keep = built(held, _Compressors), []
+        for _, part in text_slices(column, AT_ONCE):
+            for b in part:
                 lang, score = ready.predict(None if b is None else b.decode("utf-8", "surrogatepass"))
                 keep.append(lang != UNKNOWN and score >= model.params.margin)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
+        return pa.array(keep, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accepted(col(text_column)))
