@@ -83,16 +83,21 @@ def id_hash_mod(name: str, modulus: int) -> Column:
     return F.crc32(col(name).cast("string").cast("binary")) % modulus
 
 
-_BUILT: dict = {}
+_BUILT: list = []
 
 
 def built(held, make):
-    """``make`` of a broadcast value, kept in this worker for as long as the same broadcast is used."""
+    """``make`` of a broadcast value, kept in this worker until another one is built.
+
+    A worker outlives its stage, so what earlier stages built, caches included,
+    would else stay in memory next to it.
+    """
     value = held.value
-    entry = _BUILT.get(make)
-    if entry is None or entry[0] is not value:
-        entry = _BUILT[make] = value, make(value)
-    return entry[1]
+    if not _BUILT or _BUILT[0] is not make or _BUILT[1] is not value:
+        _BUILT.clear()
+        release()
+        _BUILT[:] = make, value, make(value)
+    return _BUILT[2]
 
 
 def slices(data: list[bytes | None], limit: int) -> Iterator[slice]:
