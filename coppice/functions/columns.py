@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coppice.functions.schema import quote
+
 # Part of the date -> (period, step between phases).
 SEASON_PARTS = {
     "day_of_week": (6, 1),
@@ -22,7 +24,8 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def col(value: Column | str) -> Column:
-    return value if isinstance(value, Column) else F.col(value)
+    """An expression, or a column by its plain name, whatever characters that has."""
+    return value if isinstance(value, Column) else F.col(quote(value))
 
 
 def to_moment(value: Column | str, type_name: str) -> Column:
@@ -88,7 +91,7 @@ def add_up(columns: list[str]) -> Column:
     """Sum across columns of one row; null if any part is null."""
     if not columns:
         raise ValueError("nothing to add")
-    parts = [F.col(c) for c in columns]
+    parts = [col(c) for c in columns]
     while len(parts) > 1:  # pairwise, so that the expression stays shallow for hundreds of columns
         parts = [reduce(lambda a, b: a + b, parts[i : i + 2]) for i in range(0, len(parts), 2)]
     return parts[0]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coppice.functions import columns as X
 from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, distinct_names, quote, require, tag_name
 from coppice.operators.lookup import (
     SALT,
@@ -24,7 +25,7 @@ from coppice.operators.lookup import (
     small_levels,
     take_small,
 )
-from coppice.operators.steps import Fitted, Step
+from coppice.operators.steps import Fitted, Found, Needs, Step
 from coppice.session import keep_methods_compiled
 
 
@@ -81,11 +82,14 @@ class FittedOrdinal(Fitted):
         source = source or self.output_columns[0]
         require(df, [source], NUMERIC)
         by_code = KeyedTable(self.table.frame, ("code",), self.table.small, self.table.hot)
-        return attach(df, by_code, {"code": F.col(source).cast("bigint")}, {"level": into or self.column})
+        return attach(df, by_code, {"code": X.col(source).cast("bigint")}, {"level": into or self.column})
 
     def extend(self, df: DataFrame) -> FittedOrdinal:
         """Append the levels of ``df`` not seen so far, after the known ones."""
-        counts = count_keys(df, {"level": self.column})
+        return self.extend_counted(count_keys(df, {"level": self.column}))
+
+    def extend_counted(self, counts: DataFrame) -> FittedOrdinal:
+        """Append the levels of ``counts`` (``level`` and weight) not seen so far."""
         known = self.table.frame.select(F.col("level").alias("known"))
         unseen = counts.join(
             F.broadcast(known) if self.table.small else known,
@@ -119,6 +123,18 @@ class Ordinal(Step):
     def fit(self, df: DataFrame) -> FittedOrdinal:
         return self.fit_many([self], df)[0]
 
+    def needs(self, df: DataFrame) -> Needs:
+        require(df, [self.column], CATEGORICAL)
+        return Needs(keys={self.column: F.col(quote(self.column))})
+
+    def build(self, found: Found) -> FittedOrdinal:
+        rows = found.small.get(self.column)
+        few = None if rows is None else [{"level": r["level"], WEIGHT: r[WEIGHT]} for r in rows]
+        table, n = _coded(found.levels(self.column).select("level", WEIGHT), 0, few)
+        if n == 0:
+            raise ValueError(f"no rows to learn the levels of {self.column} from")
+        return FittedOrdinal(self.column, table, n)
+
     @classmethod
     def fit_many(cls, steps: Sequence[Ordinal], df: DataFrame) -> list[FittedOrdinal]:
         columns = [s.column for s in steps]
@@ -148,7 +164,7 @@ class FittedOneHot(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.column], CATEGORICAL)
         flags = {
-            name: F.when(F.col(self.column) == F.lit(level), 1).otherwise(0)
+            name: F.when(X.col(self.column) == F.lit(level), 1).otherwise(0)
             for name, level in zip(self.output_columns, self.levels)
         }
         keep_methods_compiled(df.sparkSession)

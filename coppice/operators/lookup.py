@@ -155,7 +155,7 @@ def count_levels(df: DataFrame, columns: Sequence[str], extra: Sequence[Column]
     ``extra`` are further aggregates per level.
     """
     keys = [F.col(f"__key_{i}") for i in range(len(columns))]
-    keyed = df.select("*", *(F.col(c).alias(f"__key_{i}") for i, c in enumerate(columns)))
+    keyed = df.select("*", *(col(c).alias(f"__key_{i}") for i, c in enumerate(columns)))
     counted = keyed.groupingSets([[k] for k in keys], *keys).agg(
         F.grouping_id().alias("__set"), F.count(F.lit(1)).alias(WEIGHT), *extra
     )

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
-from coppice.functions.schema import NUMERIC, require
+from coppice.functions.schema import NUMERIC, quote, require
 from coppice.operators.lookup import WEIGHT, KeyedTable, attach, freeze
-from coppice.operators.steps import Fitted, Step
+from coppice.operators.steps import Fitted, Found, Needs, Step
 
 # Attributes of the area reachable from a place, and travel times in seconds.
 PLACE_ATTRIBUTES = ("area", "reachfactor", "total_pop")
@@ -28,7 +28,7 @@ def latlon_flags(df: DataFrame, latitude: str, longitude: str) -> DataFrame:
 
 
 def distinct_places(df: DataFrame, latitude: str, longitude: str) -> DataFrame:
-    keys = [F.col(latitude).cast("double").alias("latitude"), F.col(longitude).cast("double").alias("longitude")]
+    keys = [X.col(latitude).cast("double").alias("latitude"), X.col(longitude).cast("double").alias("longitude")]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
@@ -59,7 +59,7 @@ class FittedPlace(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.latitude, self.longitude], NUMERIC)
-        on = {"latitude": F.col(self.latitude).cast("double"), "longitude": F.col(self.longitude).cast("double")}
+        on = {"latitude": X.col(self.latitude).cast("double"), "longitude": X.col(self.longitude).cast("double")}
         values = {c: c for c in place_columns()} | {"known": "__known"}
         df = attach(df, self.table, on, values)
         if self.on_missing == "error":
@@ -90,10 +90,23 @@ class PlaceFeatures(Step):
     def output_columns(self) -> list[str]:
         return place_columns()
 
+    def needs(self, df: DataFrame) -> Needs:
+        """Both coordinates as one text, which doubles survive unchanged; null if one is null."""
+        require(df, [self.latitude, self.longitude], NUMERIC)
+        parts = [F.col(quote(c)).cast("double").cast("string") for c in (self.latitude, self.longitude)]
+        return Needs(keys={"place": F.concat(parts[0], F.lit(" "), parts[1])})
+
+    def build(self, found: Found) -> FittedPlace:
+        parts = F.split("level", " ")
+        return self._joined(found.levels("place").select(
+            parts[0].cast("double").alias("latitude"), parts[1].cast("double").alias("longitude"), WEIGHT))
+
     def fit(self, df: DataFrame) -> FittedPlace:
         require(df, [self.latitude, self.longitude], NUMERIC)
+        return self._joined(distinct_places(df, self.latitude, self.longitude))
+
+    def _joined(self, needed: DataFrame) -> FittedPlace:
         entries = self.places.select("latitude", "longitude", *place_columns(), F.lit(True).alias("known"))
-        needed = distinct_places(df, self.latitude, self.longitude)
         table = freeze(needed.join(entries, ["latitude", "longitude"], "left"), ["latitude", "longitude"], given=True)
         given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
         verdict = table.frame.agg(

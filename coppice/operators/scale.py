@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
-from coppice.functions.schema import CATEGORICAL, NUMERIC, require
+from coppice.functions.schema import CATEGORICAL, NUMERIC, quote, require
 from coppice.operators.lookup import WEIGHT, KeyedTable, attach, freeze
-from coppice.operators.steps import Fitted, Stateless, Step
+from coppice.operators.steps import Fitted, Found, Needs, Stateless, Step
 
 
 def _spread(column: str):
@@ -20,11 +20,11 @@ def _spread(column: str):
 
 def mean_std(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """``(group, mean, stddev)`` rows; without a group the single row ``all``."""
-    statistics = [F.mean(column).cast("double").alias("mean"), _spread(column).alias("stddev")]
+    statistics = [F.mean(X.col(column)).cast("double").alias("mean"), _spread(X.col(column)).alias("stddev")]
     if group is None:
         return df.agg(*statistics).select(F.lit("all").alias("group"), "mean", "stddev")
     require(df, [group], CATEGORICAL)
-    return df.groupBy(F.col(group).alias("group")).agg(*statistics, F.count(F.lit(1)).alias(WEIGHT))
+    return df.groupBy(X.col(group).alias("group")).agg(*statistics, F.count(F.lit(1)).alias(WEIGHT))
 
 
 @dataclass(frozen=True)
@@ -52,14 +52,14 @@ class FittedZScore(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.column], NUMERIC)
         df, mean, stddev = self._with_statistics(df)
-        scaled = df.withColumn(self.output_columns[0], (F.col(self.column).cast("double") - mean) / stddev)
+        scaled = df.withColumn(self.output_columns[0], (X.col(self.column).cast("double") - mean) / stddev)
         return scaled.drop("__mean", "__stddev")
 
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
         source = source or self.output_columns[0]
         require(df, [source], NUMERIC)
         df, mean, stddev = self._with_statistics(df)
-        return df.withColumn(into or self.column, F.col(source) * stddev + mean).drop("__mean", "__stddev")
+        return df.withColumn(into or self.column, X.col(source) * stddev + mean).drop("__mean", "__stddev")
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,24 @@ class ZScore(Step):
     def output_columns(self) -> list[str]:
         return [f"zscore_{self.column}" + (f"_by_{self.group}" if self.group else "")]
 
+    def needs(self, df: DataFrame) -> Needs:
+        """The column may be one that an earlier step adds, so ``df`` must have it."""
+        value = F.col(quote(self.column)).cast("double")
+        wanted = {f"mean {self.column}": (value, F.mean), f"stddev {self.column}": (value, F.stddev_samp)}
+        if self.group is None:
+            return Needs(totals=wanted)
+        require(df, [self.group], CATEGORICAL)
+        return Needs(keys={self.group: F.col(quote(self.group))}, per_level=wanted)
+
+    def build(self, found: Found) -> FittedZScore:
+        mean, stddev = f"mean {self.column}", f"stddev {self.column}"
+        if self.group is None:
+            return FittedZScore(self.column, None, found.totals[mean], found.totals[stddev] or 1.0)
+        table = found.levels(self.group).select(
+            F.col("level").alias("group"), F.col(found.place[mean]).alias("mean"),
+            F.coalesce(found.place[stddev], F.lit(1.0)).alias("stddev"), WEIGHT)
+        return FittedZScore(self.column, self.group, table=freeze(table, ["group"]))
+
     def fit(self, df: DataFrame) -> FittedZScore:
         require(df, [self.column], NUMERIC)
         table = mean_std(df, self.column, self.group)
@@ -103,16 +121,16 @@ class Ratio(Stateless):
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, self.input_columns, NUMERIC)
-        return df.withColumn(self.output_columns[0], X.ratio(F.col(self.column).cast("double"), self.base))
+        return df.withColumn(self.output_columns[0], X.ratio(X.col(self.column).cast("double"), self.base))
 
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
         source = source or self.output_columns[0]
         require(df, [source, self.base], NUMERIC)
-        return df.withColumn(into or self.column, F.col(source) * F.coalesce(F.col(self.base), F.lit(1.0)))
+        return df.withColumn(into or self.column, X.col(source) * F.coalesce(X.col(self.base), F.lit(1.0)))
 
 
 def negative_count(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(column) < 0).alias("negatives"))
+    return df.agg(F.count_if(X.col(column) < 0).alias("negatives"))
 
 
 @dataclass(frozen=True)
@@ -125,12 +143,12 @@ class FittedLog(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.column], NUMERIC)
-        return df.withColumn(self.output_columns[0], F.log1p(F.col(self.column).cast("double")))
+        return df.withColumn(self.output_columns[0], F.log1p(X.col(self.column).cast("double")))
 
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
         source = source or self.output_columns[0]
         require(df, [source], NUMERIC)
-        return df.withColumn(into or self.column, F.expm1(source))
+        return df.withColumn(into or self.column, F.expm1(X.col(source)))
 
 
 @dataclass(frozen=True)
@@ -147,9 +165,18 @@ class Log(Step):
     def output_columns(self) -> list[str]:
         return [f"log1p_{self.column}"]
 
+    def needs(self, df: DataFrame) -> Needs:
+        require(df, [self.column], NUMERIC)
+        return Needs(totals={f"negative {self.column}": (F.col(quote(self.column)) < 0, F.count_if)})
+
+    def build(self, found: Found) -> FittedLog:
+        return self._checked(found.totals[f"negative {self.column}"])
+
     def fit(self, df: DataFrame) -> FittedLog:
         require(df, [self.column], NUMERIC)
-        negatives = negative_count(df, self.column).first()[0]
+        return self._checked(negative_count(df, self.column).first()[0])
+
+    def _checked(self, negatives: int) -> FittedLog:
         if negatives:
             raise ValueError(f"column {self.column} has {negatives} negative values")
         return FittedLog(self.column)

@@ -39,7 +39,7 @@ MATRIX_WIDTH = 1000
 
 
 def min_value(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.min(column).alias("min"))
+    return df.agg(F.min(X.col(column)).alias("min"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     require(df, columns, NUMERIC + CATEGORICAL)
     df = df.select(*(F.col(quote(c)) for c in columns))
     names = [c for c in columns if c in columns_of(df, NUMERIC)]
-    values = [_number(c) for c in names]
+    values = [number(c) for c in names]
     for c in columns_of(df, CATEGORICAL):
         fitted = OneHot(c).fit(df)
         names += fitted.output_columns
@@ -160,7 +160,8 @@ def _gramian(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _number(column: str) -> Column:
+def number(column: str) -> Column:
+    """A column as a double, null and NaN as 0."""
     value = F.col(quote(column)).cast("double")
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
@@ -175,11 +176,11 @@ def _numeric_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     if len(pairs) > 2 * len(names):
         place = {c: i for i, c in enumerate(names)}
         wanted = [(place[a], place[b]) for a, b in pairs]
-        found = _gramian(df, names, [_number(c) for c in names], wanted, None)
+        found = _gramian(df, names, [number(c) for c in names], wanted, None)
         return found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
     stats = df.agg(
-        *(F.stddev_pop(_number(c)).alias(f"s{i}") for i, c in enumerate(names)),
-        *(F.covar_pop(_number(a), _number(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)),
+        *(F.stddev_pop(number(c)).alias(f"s{i}") for i, c in enumerate(names)),
+        *(F.covar_pop(number(a), number(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)),
     )
     place = {c: i for i, c in enumerate(names)}
     rows = [
@@ -200,13 +201,13 @@ def _margins(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str])
     """
     totals = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.avg(_number(c)).alias(f"mean{i}") for i, c in enumerate(numeric)),
-        *(F.var_pop(_number(c)).alias(f"var{i}") for i, c in enumerate(numeric)),
+        *(F.avg(number(c)).alias(f"mean{i}") for i, c in enumerate(numeric)),
+        *(F.var_pop(number(c)).alias(f"var{i}") for i, c in enumerate(numeric)),
     ).first()
     n = totals["n"]
     narrow = df.select(
-        *categorical,
-        *((_number(c) - F.lit(totals[f"mean{i}"])).alias(f"__y{i}") for i, c in enumerate(numeric)),
+        *map(quote, categorical),
+        *((number(c) - F.lit(totals[f"mean{i}"])).alias(f"__y{i}") for i, c in enumerate(numeric)),
     )
     sums = [F.sum(f"__y{i}").alias(f"s{i}") for i in range(len(numeric))]
     rows = F.lit(float(max(n, 1)))
@@ -252,7 +253,7 @@ def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: Keyed
     place = {c: i for i, c in enumerate(names)}
     keys = [F.col(f"k{i}") for i in range(len(names))]
     joint = (
-        df.select(*(F.col(c).alias(f"k{place[c]}") for c in names))
+        df.select(*(X.col(c).alias(f"k{place[c]}") for c in names))
         .groupingSets([[keys[place[a]], keys[place[b]]] for a, b in pairs], *keys)
         .agg(F.grouping_id().alias("which"), F.count(F.lit(1)).alias("n_ab"))
     )
@@ -377,7 +378,7 @@ def pair_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
                 margins.frame.select(F.explode(F.array(*wanted)).alias("entry"))
                 .filter("entry is not null")
                 .groupBy("entry.col_a", "entry.col_b")
-                .agg(X.strongest("entry.corr").alias("corr"))
+                .agg(X.strongest(F.col("entry.corr")).alias("corr"))
             )
         if both_levels:
             parts.append(_level_pairs(df, both_levels, margins, n))

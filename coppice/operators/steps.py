@@ -8,14 +8,18 @@ A :class:`Step` is a description. ``fit`` looks at a table and returns a
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
 from coppice.functions.schema import quote, tag_name
+from coppice.operators.lookup import WEIGHT
+
+#: An expression per row and the aggregate function of it.
+Aggregated = tuple[Column, Callable[[Column], Column]]
 
 
 class Fitted(ABC):
@@ -31,7 +35,48 @@ class Fitted(ABC):
         raise TypeError(f"{type(self).__name__} has no inverse")
 
 
+@dataclass(frozen=True)
+class Needs:
+    """Aggregates that fitting a step takes, by names that mean the same in every step.
+
+    ``totals`` are over all rows, ``per_level`` over the rows of each level of
+    every one of ``keys``, whose values are texts or are read as such.
+    """
+
+    totals: Mapping[str, Aggregated] = field(default_factory=dict)
+    keys: Mapping[str, Column] = field(default_factory=dict)
+    per_level: Mapping[str, Aggregated] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Found:
+    """What was found for the needs of many steps: totals by name, and one row per key and level.
+
+    ``counted`` has ``column`` (the key), ``level``, the number of rows as
+    weight, and the aggregates under the names in ``place``; ``small`` the rows
+    of keys with few levels.
+    """
+
+    df: DataFrame
+    totals: Mapping[str, object]
+    counted: DataFrame | None
+    small: Mapping[str, list[dict]]
+    place: Mapping[str, str]
+
+    def levels(self, key: str) -> DataFrame:
+        """The levels of a key that stand for any row."""
+        return self.counted.where((F.col("column") == key) & (F.col(WEIGHT) > 0)).drop("column")
+
+
 class Step(ABC):
+    def needs(self, df: DataFrame) -> Needs:
+        """The aggregates that :meth:`build` takes; ``df`` is looked at for its schema only."""
+        return Needs()
+
+    def build(self, found: Found) -> Fitted:
+        """The fitted step from aggregates, without another look at the rows."""
+        raise TypeError(f"{type(self).__name__} does not say what it needs")
+
     @property
     @abstractmethod
     def input_columns(self) -> list[str]: ...
@@ -55,6 +100,9 @@ class Stateless(Step, Fitted):
     def fit(self, df: DataFrame) -> Fitted:
         return self
 
+    def build(self, found: Found) -> Fitted:
+        return self
+
 
 @dataclass(frozen=True)
 class Constant(Stateless):
@@ -97,7 +145,7 @@ class Keep(Stateless):
 
     def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
         if source is not None:
-            return df.withColumn(into or self.columns[0], F.col(source))
+            return df.withColumn(into or self.columns[0], X.col(source))
         return df
 
 

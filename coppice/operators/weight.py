@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from coppice.functions import columns as X
-from coppice.functions.schema import CATEGORICAL, TEMPORAL, require
+from coppice.functions.schema import CATEGORICAL, TEMPORAL, quote, require
 from coppice.operators.lookup import (
     WEIGHT,
     KeyedTable,
@@ -22,11 +22,11 @@ from coppice.operators.lookup import (
     local_frame,
     small_levels,
 )
-from coppice.operators.steps import Fitted, Step
+from coppice.operators.steps import Fitted, Found, Needs, Step
 
 
 def newest_date(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.max(column).alias("newest"))
+    return df.agg(F.max(X.col(column)).alias("newest"))
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class FittedDecay(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [self.column], TEMPORAL)
         newest = F.lit(self.newest).cast("timestamp")
-        moment = F.col(self.column).cast("timestamp")
+        moment = X.col(self.column).cast("timestamp")
         return df.withColumn(self.output_columns[0], X.decay(moment, newest, self.annual_rate, self.year_days))
 
 
@@ -67,9 +67,16 @@ class Decay(Step):
     def output_columns(self) -> list[str]:
         return [f"decay_{self.column}"]
 
+    def needs(self, df: DataFrame) -> Needs:
+        require(df, [self.column], TEMPORAL)
+        return Needs(totals={f"newest {self.column}": (F.col(quote(self.column)).cast("timestamp"), lambda c: F.max(c).cast("string"))})
+
+    def build(self, found: Found) -> FittedDecay:
+        return FittedDecay(self.column, float(self.annual_rate), found.totals[f"newest {self.column}"], self.year_days)
+
     def fit(self, df: DataFrame) -> FittedDecay:
         require(df, [self.column], TEMPORAL)
-        newest = newest_date(df.select(F.col(self.column).cast("timestamp").alias(self.column)), self.column)
+        newest = newest_date(df.select(X.col(self.column).cast("timestamp").alias(self.column)), self.column)
         return FittedDecay(
             self.column, float(self.annual_rate), newest.select(F.col("newest").cast("string")).first()[0], self.year_days
         )
@@ -86,7 +93,7 @@ class FittedBalance(Fitted):
         return [f"balance_{self.column}"]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        key = X.day_of(self.column) if self.by_day else F.col(self.column)
+        key = X.day_of(self.column) if self.by_day else X.col(self.column)
         return attach(df, self.table, {"key": key}, {"share": self.output_columns[0]})
 
 
@@ -111,6 +118,22 @@ class Balance(Step):
     def fit(self, df: DataFrame) -> FittedBalance:
         return self.fit_many([self], df)[0]
 
+    def _key(self, df: DataFrame) -> str:
+        text = isinstance(df.schema[self.column].dataType, StringType)
+        return self.column if text else f"day of {self.column}"
+
+    def needs(self, df: DataFrame) -> Needs:
+        require(df, [self.column], CATEGORICAL + TEMPORAL)
+        key = self._key(df)
+        return Needs(keys={key: F.col(quote(self.column)) if key == self.column else X.day_of(F.col(quote(self.column)))})
+
+    def build(self, found: Found) -> FittedBalance:
+        key = self._key(found.df)
+        level = F.col("level") if key == self.column else F.col("level").cast("date")
+        share = (F.lit(1.0) / F.col(WEIGHT)).alias("share")
+        return FittedBalance(self.column, key != self.column,
+                             freeze(found.levels(key).select(level.alias("key"), WEIGHT, share), ["key"]))
+
     @classmethod
     def fit_many(cls, steps: Sequence[Balance], df: DataFrame) -> list[FittedBalance]:
         require(df, [s.column for s in steps], CATEGORICAL + TEMPORAL)

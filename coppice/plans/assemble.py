@@ -6,16 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
 from coppice.functions.schema import quote
 from coppice.operators.dates import Season
 from coppice.operators.encode import FittedOrdinal, Ordinal
-from coppice.operators.place import PlaceFeatures
+from coppice.operators.place import FittedPlace, PlaceFeatures
 from coppice.operators.scale import Log, Ratio, ZScore
-from coppice.operators.steps import Chain, Constant, Fitted, FittedChain, Keep, RowSum, Step
+from coppice.operators.lookup import WEIGHT
+from coppice.operators.steps import Chain, Constant, Fitted, FittedChain, Found, Keep, RowSum, Step
 from coppice.operators.weight import Balance, Decay
 from coppice.plans.roles import FeatureRoles, TargetRole, WeightRoles
 from coppice.session import keep_methods_compiled
@@ -63,11 +64,16 @@ def weight_steps(roles: WeightRoles) -> Chain:
     return Chain(tuple(steps))
 
 
-def refit_chain(chain: Chain, previous: FittedChain | None, df: DataFrame) -> FittedChain:
-    """Fit, but let categories keep the codes they had in ``previous`` and append new ones."""
+def build_chain(chain: Chain, found: Found, previous: FittedChain | None = None) -> FittedChain:
+    """Build all steps from what was found; categories keep the codes of ``previous`` and new ones are appended."""
     old = {s.column: s for s in previous.steps if isinstance(s, FittedOrdinal)} if previous else {}
-    known = {s: old[s.column].extend(df) for s in chain.steps if isinstance(s, Ordinal) and s.column in old}
-    return chain.fit(df, known)
+    fitted = []
+    for step in chain.steps:
+        if isinstance(step, Ordinal) and step.column in old:
+            fitted.append(old[step.column].extend_counted(found.levels(step.column).select("level", WEIGHT)))
+        else:
+            fitted.append(step.build(found))
+    return FittedChain(tuple(fitted))
 
 
 @dataclass(frozen=True)
@@ -132,30 +138,38 @@ def _finite(column: str) -> str:
     return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('infinity'))"
 
 
-def fit_vector(
-    source: DataFrame, table: DataFrame, features: FittedChain, ordered_categories: Sequence[str] = ()
-) -> FittedVector:
-    """Decide on missing-value indicators from one pass over the inputs.
-
-    ``ordered_categories`` are columns whose codes are split on as numbers.
+def missing_probes(df: DataFrame, roles: FeatureRoles) -> dict[str, Column]:
+    """For every feature column that may have missing values, the condition that a row has one.
 
     All seasonal terms are missing where the date is, so the date alone is
     looked at. Whole numbers that cannot be null need no look.
     """
+    fields = {f.name: f for f in df.schema.fields}
+    may = [c for c in roles.numeric if fields[c].nullable or isinstance(fields[c].dataType, FractionalType)]
+    probes = {c: F.expr(f"NOT {_finite(c)}") for c in may}
+    if roles.date and fields[roles.date].nullable:
+        probes[roles.date] = F.col(quote(roles.date)).isNull()
+    return probes
+
+
+def fit_vector(features: FittedChain, missing: Sequence[str], ordered_categories: Sequence[str] = ()) -> FittedVector:
+    """Lay out the vector; ``missing`` are the columns with missing values at fit.
+
+    ``ordered_categories`` are columns whose codes are split on as numbers. What
+    is missing among the features of places is seen from their table.
+    """
     coded = [s for s in features.steps if isinstance(s, FittedOrdinal)]
     codes = {s.output_columns[0]: s.num_classes for s in coded}
     ordered = tuple(s.output_columns[0] for s in coded if s.column in ordered_categories)
-    seasons = [s for s in features.steps if isinstance(s, Season)]
-    seasonal = [c for s in seasons for c in s.output_columns]
+    seasonal = [c for s in features.steps if isinstance(s, Season) for c in s.output_columns]
     numeric = [c for c in features.output_columns if c not in codes and c not in seasonal]
     if not numeric and not codes and not seasonal:
         raise ValueError("no usable feature columns")
-    fractional = {f.name for f in table.schema.fields if isinstance(f.dataType, FractionalType)}
-    nullable = {f.name for f in source.schema.fields if f.nullable} | (set(table.columns) - set(source.columns))
-    probes = {c: F.expr(f"NOT {_finite(c)}") for c in numeric if c in nullable or c in fractional}
-    probes |= {s.column: F.col(s.column).isNull() for s in seasons if s.column in nullable}
-    missing = []
-    if probes:
-        counts = table.agg(*(F.count_if(p).alias(f"n{i}") for i, p in enumerate(probes.values()))).first()
-        missing = [c for i, c in enumerate(probes) if counts[i]]
-    return FittedVector(tuple(numeric), tuple(seasonal), tuple(missing), tuple(codes), tuple(codes.values()), ordered)
+    indicated = list(missing)
+    for step in features.steps:
+        if isinstance(step, FittedPlace):
+            probes = [F.count_if(F.expr(f"NOT {_finite(c)}")).alias(c) for c in step.output_columns]
+            counts = step.table.frame.agg(*probes).first().asDict()
+            indicated += [c for c in step.output_columns if counts[c]]
+    indicated = [c for c in [*numeric, *(s.column for s in features.steps if isinstance(s, Season))] if c in indicated]
+    return FittedVector(tuple(numeric), tuple(seasonal), tuple(indicated), tuple(codes), tuple(codes.values()), ordered)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -15,22 +15,27 @@ from coppice.functions.schema import quote
 from coppice.operators.dates import conform_date
 from coppice.operators.encode import FittedOrdinal
 from coppice.operators.lookup import local_frame
-from coppice.operators.steps import FittedChain, select_columns
+from coppice.operators.scale import FittedLog
+from coppice.operators.steps import FittedChain, Step, select_columns
 from coppice.plans.assemble import (
     FittedVector,
+    build_chain,
     feature_steps,
     fit_vector,
-    refit_chain,
+    missing_probes,
     target_steps,
     weight_steps,
 )
-from coppice.plans.contract import check_columns, needs_of
-from coppice.plans.roles import ModelRoles, Roles, infer_model_roles
+from coppice.plans.contract import check_columns, feature_needs, needs_of, target_needs
+from coppice.plans.roles import ModelRoles, Roles, TargetRole, feature_roles, weight_roles
+from coppice.plans.survey import Survey, centred, choose_target, scaled_targets, target_totals
 from coppice.session import checkpoint_root, store_columns
 
 logger = logging.getLogger(__name__)
 
-LABEL, WEIGHT, SCORE = "__label", "__row_weight", "__score"
+LABEL, WEIGHT, SCORE, COPIES = "__label", "__row_weight", "__score", "__copies"
+#: Partitions of the rows to train on, unless given: at least so many, and one for so many rows.
+LEAST_PARTITIONS, ROWS_PER_PARTITION = 32, 500_000
 
 
 @dataclass(frozen=True)
@@ -40,8 +45,8 @@ class TrainParams:
     ``multiclass`` is ``forest``, or ``one_vs_rest`` for boosted trees per
     class. Rows are dealt to ``partitions`` by a hash of their values and
     sorted there, so a model depends on the rows and these parameters, not on
-    files or the size of the cluster; take as many as partitions of the input
-    fit in memory. Categories are nominal, and the trainer keeps statistics for
+    files or the size of the cluster; without a number there is one for each
+    500,000 rows, 32 at least. Categories are nominal, and the trainer keeps statistics for
     each of their levels; ``ordered_categories`` are split on by level order.
     """
 
@@ -51,9 +56,13 @@ class TrainParams:
     bins: int = 64
     seed: int = 7
     multiclass: str = "forest"
-    partitions: int = 32
+    partitions: int | None = None
     ordered_categories: tuple[str, ...] = ()
 
+    def draws_rows(self, num_classes: int | None) -> bool:
+        """Whether the trainer draws rows at random, so that equal rows must stay apart."""
+        return num_classes is not None and num_classes > 2 and self.multiclass == "forest"
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -102,9 +111,10 @@ def train(
     ``previous`` keeps an earlier model's roles and category codes. Rows whose
     label or weight is null are left out and counted in ``dropped_rows``.
 
-    Fitting reads ``df`` about a dozen times, a few columns each. Set
-    ``store_input`` if ``df`` is more than a scan, a join say: the columns
-    with a role are then computed once and read from the shared folder.
+    ``df`` is read three times: for the totals, for counts and aggregates per
+    level, and for the rows to train on. Set ``store_input`` if ``df`` is more
+    than a scan, a join say: the columns with a role are then computed once and
+    read from the shared folder.
     """
     params = params or TrainParams()
     roles.require_features()
@@ -115,51 +125,80 @@ def train(
         place = [roles.latitude, roles.longitude] if roles.is_spatial else []
         date = [roles.date] if roles.date else []
         df = store_columns(select_columns(df, [*roles.features, roles.target, *date, *place, *(roles.groups or ())]))
+    if model_roles is None and previous:
+        model_roles = previous.model_roles
+    undecided = model_roles is None and not roles.target_is_categorical
     if model_roles is None:
-        model_roles = previous.model_roles if previous else infer_model_roles(roles, df)
+        target_role = TargetRole(roles.target, is_categorical=roles.target_is_categorical)
+        model_roles = ModelRoles(feature_roles(roles, df), target_role, weight_roles(roles))
     ok, messages = check_columns(df, needs_of(model_roles, prediction=False))
     if not ok:
         raise ValueError("\n".join(messages))
 
-    df = select_columns(df, [column for column, _, _ in needs_of(model_roles, prediction=False)])
-    # A null label is no class, and is left out before anything is fitted.
-    label = F.col(quote(model_roles.target.column))
-    unlabelled = df.filter(label.isNull()).count()
-    df = df.filter(label.isNotNull())
-    steps = feature_steps(model_roles.feature, places)
-    features = refit_chain(steps, previous.features if previous else None, df)
-    target = refit_chain(target_steps(model_roles.target), previous.target if previous else None, df)
-    weight = weight_steps(model_roles.weight).fit(df)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        weighted = weight.transform(target.transform(rows))
-        return weighted.select(
-            "*",
-            F.col(quote(target.output_columns[-1])).cast("double").alias(LABEL),
-            F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT),
-        )
-
-    usable = F.col(LABEL).isNotNull() & F.col(WEIGHT).isNotNull()
-    dropped = labelled(df).agg(F.count_if(~usable)).first()[0]
-    dropped += unlabelled
-    if dropped:
-        logger.warning("%d rows without a label or weight are not used for training", dropped)
-    vector = fit_vector(df, features.transform(df), features, params.ordered_categories)
-
-    # One plan: features, label and weight are columns of the same rows.
-    by = [F.col(quote(c)) for c in df.columns]
-    df = df.repartition(params.partitions, *by).sortWithinPartitions(*by)
-    ready = vector.transform(features.transform(labelled(df).filter(usable))).select("features", LABEL, WEIGHT)
+    # A null label is no class, so rows without a label are left out of what is fitted.
+    label = model_roles.target.column
+    surveyed = df if model_roles.target.is_categorical else FittedLog(label).transform(df)
+    survey = Survey(surveyed, label)
+    steps, weights = feature_steps(model_roles.feature, places), weight_steps(model_roles.weight)
+    wanted: list[Step] = [*steps.steps, *weights.steps, *([] if undecided else target_steps(model_roles.target).steps)]
+    probes = missing_probes(df, model_roles.feature)
+    others = {f"missing {c}": F.count_if(survey.labelled & probe) for c, probe in probes.items()}
+    totals = survey.totals(wanted, others | (target_totals(roles, df) if undecided else {}))
+    if undecided:
+        log = totals["lowest"] is not None and totals["lowest"] >= 0
+        wanted += scaled_targets(roles, df, log)
+    with survey.levels(wanted, {}, centred(roles, totals) if undecided else {}, totals) as found:
+        if undecided:
+            found.totals[f"negative {label}"] = 0  # as the choice of the logarithm has looked at
+            model_roles = replace(model_roles, target=choose_target(roles, df, found))
+        features = build_chain(steps, found, previous.features if previous else None)
+        target = build_chain(target_steps(model_roles.target), found, previous.target if previous else None)
+        weight = build_chain(weights, found)
+    missing = [c for c in probes if totals[f"missing {c}"]]
+    vector = fit_vector(features, missing, params.ordered_categories)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
+
+    dealt = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"])
+    encoded = target.transform(features.transform(dealt))
+    encoded = encoded.withColumn(LABEL, F.col(quote(target.output_columns[-1])).cast("double")).filter(F.col(LABEL).isNotNull())
+    ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
     estimator = _estimator(params, num_classes, max(params.bins, vector.bins_needed))
     ready = ready.persist()
     try:
+        dropped = totals["n"] - (ready.agg(F.sum(COPIES)).first()[0] or 0)
+        if dropped:
+            logger.warning("%d rows without a label or weight are not used for training", dropped)
         model = estimator.fit(ready)
     finally:
         ready.unpersist()
     return Trained(roles, model_roles, features, vector, target, model, dropped)
 
 
+def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, params: TrainParams, num_classes: int | None,
+               n: int) -> DataFrame:
+    """The columns that features and label are made from, each row's weight and how many rows it stands for.
+
+    Rows equal in all these columns become one, with their weights added up:
+    counted map-side first, so a frequent row is no hot key. A trainer that
+    draws rows at random gets them one by one. Rows without a weight are left
+    out. Dealing goes by a hash of the values, so a model does not depend on
+    files or the size of the cluster.
+    """
+    needed = [*feature_needs(model_roles.feature), *target_needs(model_roles.target, prediction=False)]
+    keys = list(dict.fromkeys(column for column, _, _ in needed))
+    by = [F.col(quote(c)) for c in keys]
+    weighted = weight.transform(df).select(*by, F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT))
+    weighted = weighted.filter(F.col(WEIGHT).isNotNull())
+    if params.draws_rows(num_classes):
+        weighted, order = weighted.withColumn(COPIES, F.lit(1).cast("bigint")), [*by, F.col(WEIGHT)]
+    else:
+        # Decimals add up to the same sum in any order.
+        total = F.sum(F.col(WEIGHT).cast("decimal(28,18)")).cast("double")
+        weighted, order = weighted.groupBy(*by).agg(total.alias(WEIGHT), F.count(F.lit(1)).alias(COPIES)), by
+    partitions = params.partitions or max(LEAST_PARTITIONS, -(-n // ROWS_PER_PARTITION))
+    return weighted.repartition(partitions, *order).sortWithinPartitions(*order)
+
+
 def predict(trained: Trained, df: DataFrame, output_column: str | None = None) -> DataFrame:
     """Add the prediction, by default under the target's name. One lazy plan.
 

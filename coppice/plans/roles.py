@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.schema import CATEGORICAL, NUMERIC, TEMPORAL, columns_of
+from coppice.functions.schema import CATEGORICAL, NUMERIC, TEMPORAL, columns_of, quote
 from coppice.operators.lookup import local_frame
 from coppice.operators.stats import min_value, top_correlated
 
@@ -46,8 +46,7 @@ class Roles:
 
     def same_problem(self, other: Roles) -> bool:
         """Equal in everything but the features."""
-        names = [f.name for f in fields(self) if "feature" not in f.name]
-        return all(getattr(self, n) == getattr(other, n) for n in names)
+        return replace(self, features=None) == replace(other, features=None)
 
     def check_table(self, df: DataFrame, prediction: bool = False) -> None:
         """Raise ``ValueError`` if a column with a role is missing or the target has the wrong type."""
@@ -108,7 +107,7 @@ class ModelRoles:
 def feature_roles(roles: Roles, df: DataFrame) -> FeatureRoles:
     """Text features are categories, numeric ones numbers; other types are left out."""
     roles.require_features()
-    chosen = df.select(*roles.features)
+    chosen = df.select(*map(quote, roles.features))
     place = {"latitude": roles.latitude, "longitude": roles.longitude} if roles.is_spatial else {}
     return FeatureRoles(
         tuple(columns_of(chosen, CATEGORICAL)), tuple(columns_of(chosen, NUMERIC)), date=roles.date, **place
