@@ -366,3 +366,44 @@ def sample_to_cap(df: DataFrame, cap: int, key: Sequence[str], seed: int = 7) ->
     if rows <= cap:
         return df
     return df.filter(unit_hash(f"sample/{seed}", *key) < F.lit(cap / rows))
+
+
+#: Bits of a hash that one pass of :func:`sample_exactly` looks at, and bits of the hash.
+DRAW_BITS, HASH_BITS = 16, 52
+
+
+def sample_exactly(df: DataFrame, cap: int, key: Sequence[str], seed: int = 7) -> DataFrame:
+    """The ``cap`` rows with the smallest hashes of key and seed; all rows if there are no more.
+
+    The bound is found by counting hashes by their first 16 bits, then within
+    the range that holds the last row by the next 16, and so on: two narrow
+    passes for up to billions of rows, and a filter, without a sort. Only rows
+    that share the very last hash, of a repeated key say, are put in order, by
+    a hash of their values; rows equal in all columns stand for each other.
+    """
+    draw = (unit_hash(f"sample/{seed}", *key) * F.lit(float(1 << HASH_BITS))).cast("bigint")
+    low, shift, wanted, rest = 0, HASH_BITS, cap, df.select(draw.alias("draw"))
+    while shift and wanted > 0:
+        width = min(DRAW_BITS, shift)
+        shift -= width
+        counted = rest.groupBy(F.shiftrightunsigned("draw", shift).alias("part")).count()
+        parts = sorted((r["part"], r["count"]) for r in counted.collect())  # 2 ** 16 rows at most
+        if low == 0 and shift == HASH_BITS - width and sum(n for _, n in parts) <= cap:
+            return df
+        for part, n in parts:
+            if n > wanted:
+                break
+            wanted -= n
+            low = (part + 1) << shift
+        else:  # the last range is taken whole
+            break
+        if wanted == 0:
+            break
+        low = part << shift
+        rest = rest.filter(F.shiftrightunsigned("draw", shift) == part)
+    taken = df.filter(draw < F.lit(low))
+    if wanted <= 0 or cap <= 0:
+        return taken
+    tied = df.filter(draw == F.lit(low))
+    whole = F.xxhash64(*(col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()))
+    return taken.unionByName(tied.orderBy(whole).limit(wanted))

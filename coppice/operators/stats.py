@@ -17,7 +17,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DateType,
+    DecimalType,
+    FractionalType,
+    LongType,
+    NumericType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from coppice.functions import columns as X
 from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, quote, require
@@ -36,6 +49,8 @@ from coppice.session import materialise
 
 # Numbers that one pass correlates with each other by a matrix of this width; wider tables take several passes.
 MATRIX_WIDTH = 1000
+# Repeated digests of 16 bytes that are broadcast at most.
+MANY_DIGESTS = 1 << 20
 
 
 def min_value(df: DataFrame, column: str) -> DataFrame:
@@ -94,9 +109,42 @@ def degenerate_columns(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows))).filter("count <= 1")
 
 
+def row_digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row that agree for rows equal in ``columns``; empty if no column can be hashed.
+
+    Only plain types take part, with zeros of either sign alike; nested values
+    and texts with a collation of their own are left to a full comparison.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = []
+    for c in dict.fromkeys(columns):
+        if isinstance(kinds[c], FractionalType) and not isinstance(kinds[c], DecimalType):
+            plain.append(X.col(c) + F.lit(0.0))
+        elif isinstance(kinds[c], (NumericType, BinaryType, BooleanType, DateType, TimestampType, TimestampNTZType)) or kinds[c] == StringType():
+            plain.append(X.col(c))
+    return [F.xxhash64(F.lit(seed), *plain) for seed in ("a", "b")] if plain else []
+
+
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows that occur more than once, with their number."""
-    return df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    """The rows that occur more than once, with their number.
+
+    Digests are counted first: 16 bytes of a row are shuffled. Only rows whose
+    digest repeats are compared whole. Up to ``MANY_DIGESTS`` such digests are
+    broadcast, so that unique rows are not shuffled; beyond that, a semi-join
+    on digests picks the rows, with the bloom filter Spark puts before it.
+    """
+    columns = list(dict.fromkeys(columns or df.columns))
+    digest = row_digest(df, columns)
+    named = [X.col(c) for c in columns]
+    if digest:
+        names = ["__digest_a", "__digest_b"]
+        while any(n.lower() in (c.lower() for c in columns) for n in names):
+            names = [n + "_" for n in names]
+        keys = [d.alias(n) for d, n in zip(digest, names)]
+        repeated = materialise(df.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names))
+        few = repeated.limit(MANY_DIGESTS + 1).count() <= MANY_DIGESTS
+        df = df.select(*named, *keys).join(F.broadcast(repeated) if few else repeated, names, "left_semi")
+    return df.groupBy(*named).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
 def has_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> bool:

@@ -1,9 +1,11 @@
-"""Saved models and their call quota, as append-only Parquet below one folder.
-
-``models/<key>`` holds a trained model, ``registry`` one row per model and
-``calls`` one row per prediction call. Remaining calls are counted, never
-updated in place, so concurrent callers cannot lose an update; they can
-overshoot the quota by the calls in flight.
+"""Saved models and their call quota, as files below one folder.
+
+``models/<key>`` holds a trained model, ``registry/<key>.json`` its manifest
+and ``calls/<key>/<slot>`` a file of one byte for every prediction call. The
+manifest is written last and appears at once, so readers see whole models only.
+A call claims the next free slot by creating its file, which succeeds for one
+caller alone: callers that come together cannot use more calls than there are.
+A model has no more slots than its limit, and a check lists its own only.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from __future__ import annotations
 import json
 import secrets
 import string
+import uuid
 from collections.abc import Mapping
 from dataclasses import fields, is_dataclass
 from datetime import datetime, timezone
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import classification, regression
 from pyspark.sql import DataFrame, SparkSession
@@ -96,62 +101,119 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
     return Trained(model=model, **{k: _rebuild(v, open_table) for k, v in parts.items()})
 
 
+class Folder:
+    """The few file operations of the registry, on the driver, in any store that Spark's paths name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        root = self._path(folder)
+        self.files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = self.files.makeQualified(root).toString()
+        self.local = self.files.getUri().getScheme() == "file"
+
+    def _of(self, name: str):
+        return self._path(f"{self.root}/{name}")
+
+    def names(self, name: str) -> list[str]:
+        """What stands in a folder; nothing if there is none."""
+        where = self._of(name)
+        return [s.getPath().getName() for s in self.files.listStatus(where)] if self.files.exists(where) else []
+
+    def claim(self, name: str) -> bool:
+        """Create a file of one byte, as Spark's readers skip empty ones; False if it is there already. Of several callers one succeeds."""
+        where = self._of(name)
+        self.files.mkdirs(where.getParent())
+        if self.local:  # Hadoop's local file system looks first and creates then, so the machine's own call decides
+            try:
+                with open(unquote(urlparse(where.toString()).path), "xb") as out:
+                    out.write(b"1")
+            except FileExistsError:
+                return False
+            return True
+        try:
+            out = self.files.create(where, False)
+            out.write(49)
+            out.close()
+        except Py4JJavaError:
+            if self.files.exists(where):
+                return False
+            raise
+        return True
+
+    def publish(self, name: str, text: str) -> None:
+        """Write a file under a name that Spark's readers skip, then give it its own."""
+        where = self._of(name)
+        hidden = self._path(where.getParent(), f"_{uuid.uuid4().hex}")
+        self.files.mkdirs(where.getParent())
+        out = self.files.create(hidden, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if not self.files.rename(hidden, where):
+            raise OSError(f"cannot publish {name}")
+
+
 class Registry:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._files = Folder(spark, self.folder)
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _found(self, read, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            return read()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return local_frame(self.spark, [], schema)
 
     def models(self) -> DataFrame:
-        return self._table("registry", REGISTRY)
+        return self._found(lambda: self.spark.read.schema(REGISTRY).json(f"{self.folder}/registry"), REGISTRY)
 
     def calls(self) -> DataFrame:
-        return self._table("calls", CALLS)
+        """One row per call: the model and when its slot was claimed. File contents are not read."""
+        def read() -> DataFrame:
+            slots = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.folder}/calls")
+            return slots.select(F.element_at(F.split("path", "/"), -2).alias("model_key"), F.col("modificationTime").alias("called_at"))
 
-    def _append(self, name: str, schema: str, row: dict) -> None:
-        local_frame(self.spark, [row], schema).write.mode("append").parquet(f"{self.folder}/{name}")
+        return self._found(read, CALLS)
 
     def write_model(self, trained: Trained, created_at: datetime | None = None, call_limit: int = CALL_LIMIT) -> str:
-        """Save the model and list it; returns its key."""
+        """Save the model, then list it; returns its key. What fails on the way is never listed."""
         key = new_key()
-        while not self.models().filter(F.col("model_key") == key).isEmpty():
+        while not self._files.claim(f"keys/{key}"):
             key = new_key()
         save_trained(self.spark, trained, f"{self.folder}/models/{key}")
         role_values = {f.name: getattr(trained.roles, f.name) for f in fields(Roles)}
         for name in ("groups", "features"):
             role_values[name] = list(role_values[name]) if role_values[name] is not None else None
-        created = created_at or datetime.now(timezone.utc)
-        row = {"model_key": key, "created_at": created, "call_limit": call_limit, **role_values}
-        self._append("registry", REGISTRY, row)
+        created = (created_at or datetime.now(timezone.utc)).astimezone(timezone.utc)
+        row = {"model_key": key, "created_at": created.isoformat(timespec="microseconds"), "call_limit": call_limit, **role_values}
+        self._files.publish(f"registry/{key}.json", json.dumps(row))
         return key
 
-    def _known(self, key: str) -> None:
-        if self.models().filter(F.col("model_key") == key).isEmpty():
+    def _limit(self, key: str) -> int:
+        row = self.models().filter(F.col("model_key") == key).select("call_limit").first()
+        if row is None:
             raise KeyError(key)
+        return row["call_limit"]
 
     def read_model(self, key: str) -> Trained:
-        self._known(key)
+        self._limit(key)
         return load_trained(self.spark, f"{self.folder}/models/{key}")
 
     def remaining_calls(self, key: str) -> int:
-        self._known(key)
-        mine = F.col("model_key") == key
-        return quota(self.models().filter(mine), self.calls().filter(mine)).first()["remaining_calls"]
+        return self._limit(key) - len(self._files.names(f"calls/{key}"))
 
     def record_call(self, key: str) -> int:
         """Count one prediction; refuses with ``PermissionError`` once none is left."""
-        remaining = self.remaining_calls(key)
-        if remaining <= 0:
-            raise PermissionError(f"model {key} has no calls left")
-        self._append("calls", CALLS, {"model_key": key, "called_at": datetime.now(timezone.utc)})
-        return remaining - 1
+        limit = self._limit(key)
+        for slot in range(len(self._files.names(f"calls/{key}")), limit):
+            if self._files.claim(f"calls/{key}/{slot}"):
+                return limit - slot - 1
+        raise PermissionError(f"model {key} has no calls left")
 
     def list_models(self) -> DataFrame:
         return list_models(self.models(), self.calls())

@@ -178,3 +178,13 @@ def synth_spatial(spark, sf):
 def sample_capped(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return lookup.sample_to_cap(df, 20_000, ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "sample_exact",
+    f"""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+        ORDER BY {draw('sample/7', 'l_orderkey', 'l_linenumber')} LIMIT 20000""",
+)
+def sample_exact(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return lookup.sample_exactly(df, 20_000, ["l_orderkey", "l_linenumber"])

@@ -133,6 +133,28 @@ def registry_roundtrip(spark, sf):
     )
 
 
+@query("registry_price_model", "SELECT o_orderkey, TRUE AS same, TRUE AS whole, TRUE AS folded, 1 AS listed FROM orders JOIN customer ON o_custkey = c_custkey")
+def registry_price_model(spark, sf):
+    """The price model with its date, groups and logarithm, saved and loaded.
+
+    Emits for every order that the loaded model predicts the same, and of the
+    loaded model's importances that they add up to 1 and that no feature with a
+    tenth or less stands alone, with how many models are listed.
+    """
+    df = store_columns(order_rows(spark, sf))
+    trained = train(ORDER_ROLES, df, TrainParams(trees=5, partitions=8))
+    store = registry.Registry(spark, scratch_path(spark, "registry"))
+    loaded = store.read_model(store.write_model(trained))
+    both = predict(loaded, predict(trained, df, "before"), "after")
+    buckets = importance_table(loaded)
+    facts = buckets.agg(
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("whole"),
+        (F.coalesce(F.min(F.when(F.col("name") != "other features", F.col("importance"))), F.lit(1.0)) > 0.1).alias("folded"))
+    listed = store.models().agg(F.count(F.lit(1)).cast("int").alias("listed"))
+    same = F.col("before").eqNullSafe(F.col("after")).alias("same")
+    return both.select("o_orderkey", same).join(F.broadcast(facts)).join(F.broadcast(listed))
+
+
 QUOTA_SQL = f"""(SELECT model_key, 100 - count(c.ts) AS remaining_calls FROM {MODELS_SQL} m
                  LEFT JOIN (SELECT 'M' || user_id AS model_key, ts FROM events WHERE event_type = 'purchase') c
                  USING (model_key) GROUP BY model_key)"""

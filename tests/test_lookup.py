@@ -134,3 +134,21 @@ def test_array_values_are_not_broadcast(spark):
     assert lookup.take_small(entries) is None
     got = {r["k"]: r["v"] for r in lookup.dictionary_lookup(df, "k", entries, "v").collect()}
     assert got == {1: [1, 2], 2: [3], 3: None}
+
+
+@pytest.mark.parametrize("bits", [16, 3])
+@pytest.mark.parametrize("cap", [0, 1, 137, 999, 1000, 1001])
+def test_exact_sample(spark, monkeypatch, bits, cap):
+    monkeypatch.setattr(lookup, "DRAW_BITS", bits)
+    df = spark.range(1000).repartition(7).withColumn("draw", F.lit("x"))
+    got = sorted(r["id"] for r in lookup.sample_exactly(df, cap, ["id"]).collect())
+    hashes = df.select("id", lookup.unit_hash("sample/7", "id").alias("h")).orderBy("h").limit(cap).collect()
+    assert got == sorted(r["id"] for r in hashes) and len(got) == min(cap, 1000)
+
+
+def test_exact_sample_of_repeated_keys(spark):
+    df = spark.range(900).selectExpr("id % 3 AS k", "id")
+    assert [lookup.sample_exactly(df, cap, ["k"]).count() for cap in (1, 300, 450, 900, 0)] == [1, 300, 450, 900, 0]
+    once = {r["id"] for r in lookup.sample_exactly(df, 450, ["k"]).collect()}
+    assert once == {r["id"] for r in lookup.sample_exactly(df.repartition(5), 450, ["k"]).collect()}
+    assert lookup.sample_exactly(df.filter("false"), 5, ["k"]).isEmpty()

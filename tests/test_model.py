@@ -270,3 +270,50 @@ def test_predict_without_its_date(spark):
     trained = train(Roles(target="y", date="d", features=("x",)), df, FEW)
     with pytest.raises(ValueError, match="missing column d"):
         predict(trained, df.drop("d"))
+
+
+def test_concurrent_callers_share_the_quota_exactly(spark, learnable, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Registry(spark, str(tmp_path / "store with space"))
+    key = store.write_model(train(Roles(target="y", features=("v",)), learnable, FEW), call_limit=5)
+
+    def call(_):
+        try:
+            return store.record_call(key)
+        except PermissionError:
+            return None
+
+    with ThreadPoolExecutor(20) as pool:
+        got = list(pool.map(call, range(20)))
+    assert sorted(x for x in got if x is not None) == [0, 1, 2, 3, 4]
+    assert store.remaining_calls(key) == 0 and store.calls().filter(F.col("model_key") == key).count() == 5
+
+
+@pytest.mark.parametrize("dies_in", ["save_trained", "rename"])
+def test_a_model_that_fails_midway_is_not_listed(spark, learnable, tmp_path, monkeypatch, dies_in):
+    from coppice.plans import registry as module
+
+    store = Registry(spark, str(tmp_path / "store"))
+    trained = train(Roles(target="y", features=("v",)), learnable, FEW)
+    with monkeypatch.context() as patched:
+        if dies_in == "save_trained":
+            save = module.save_trained
+
+            def dying(*a):
+                save(*a)
+                raise RuntimeError("lost")
+
+            patched.setattr(module, "save_trained", dying)
+        else:
+            def hidden_only(self, name, text):
+                self.files.mkdirs(self._of(name).getParent())
+                self.files.create(self._path(self._of(name).getParent(), "_half"), False).close()
+                raise RuntimeError("lost")
+
+            patched.setattr(module.Folder, "publish", hidden_only)
+        with pytest.raises(RuntimeError):
+            store.write_model(trained)
+    assert store.models().isEmpty() and store.list_models().isEmpty()
+    key = store.write_model(trained)
+    assert [r["model_key"] for r in store.models().collect()] == [key]

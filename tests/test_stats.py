@@ -91,6 +91,20 @@ def test_top_correlated_is_the_most_correlated(spark):
     assert choice["is_categorical"] and not choice["log"]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_duplicates_by_digest(spark, monkeypatch, few):
+    """Zeros of either sign, NaN, nulls, nested values and clashing names; rows whose digests agree but values do not."""
+    monkeypatch.setattr(stats, "MANY_DIGESTS", few)
+    nan = float("nan")
+    rows = [(0.0, "a", [1]), (-0.0, "a", [1]), (nan, "b", [2]), (nan, "b", [2]), (None, None, None), (None, None, None), (1.0, "c", [1]), (1.0, "c", [2])]
+    df = spark.createDataFrame(rows, "x double, __digest_a string, l array<int>")
+    got = {(str(r["x"]), r["__digest_a"], r["copies"]) for r in stats.duplicate_rows(df).collect()}
+    assert {(x.replace("-", ""), s, n) for x, s, n in got} == {("0.0", "a", 2), ("nan", "b", 2), ("None", None, 2)}
+    assert stats.duplicate_rows(df, ["l"]).count() == 3
+    monkeypatch.setattr(stats, "row_digest", lambda df, columns: [F.lit(1), F.lit(2)])  # all digests agree
+    assert stats.duplicate_rows(df).count() == 3
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, None)], "n int, s string")
     assert stats.has_duplicates(df)
