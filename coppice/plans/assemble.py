@@ -108,6 +108,12 @@ class FittedVector(Fitted):
     def bins_needed(self) -> int:
         return max([n + 1 for c, n in zip(self.coded, self.levels) if c not in self.ordered], default=2)
 
+    @property
+    def nominal(self) -> dict[int, int]:
+        """Places of the codes that are categories, with their number of levels, unseen ones being one."""
+        first = len(self.feature_names) - len(self.coded)
+        return {first + i: n + 1 for i, (c, n) in enumerate(zip(self.coded, self.levels)) if c not in self.ordered}
+
     def transform(self, df: DataFrame) -> DataFrame:
         keep_methods_compiled(df.sparkSession)
         inputs = [f"CASE WHEN {_finite(c)} THEN CAST({quote(c)} AS DOUBLE) ELSE 0D END" for c in self.numeric]

@@ -26,6 +26,7 @@ from coppice.plans.assemble import (
     target_steps,
     weight_steps,
 )
+from coppice.plans.boosting import SoftmaxModel, SoftmaxTrees
 from coppice.plans.contract import check_columns, feature_needs, needs_of, target_needs
 from coppice.plans.roles import ModelRoles, Roles, TargetRole, feature_roles, weight_roles
 from coppice.plans.survey import Survey, centred, choose_target, scaled_targets, target_totals
@@ -42,8 +43,8 @@ LEAST_PARTITIONS, ROWS_PER_PARTITION = 32, 500_000
 class TrainParams:
     """How to train.
 
-    ``multiclass`` is ``forest``, or ``one_vs_rest`` for boosted trees per
-    class. Rows are dealt to ``partitions`` by a hash of their values and
+    ``multiclass`` is ``forest``, ``softmax`` for one boosted ensemble of all
+    classes, or ``one_vs_rest`` for boosted trees per class. Rows are dealt to ``partitions`` by a hash of their values and
     sorted there, so a model depends on the rows and these parameters, not on
     files or the size of the cluster; without a number there is one for each
     500,000 rows, 32 at least. Categories are nominal, and the trainer keeps statistics for
@@ -71,7 +72,7 @@ class Trained:
     features: FittedChain
     vector: FittedVector
     target: FittedChain
-    model: Model
+    model: Model | SoftmaxModel
     dropped_rows: int = 0
 
     @property
@@ -80,7 +81,11 @@ class Trained:
         return last.num_classes if isinstance(last, FittedOrdinal) else None
 
 
-def _estimator(params: TrainParams, num_classes: int | None, bins: int):
+def _estimator(params: TrainParams, num_classes: int | None, vector: FittedVector):
+    bins = max(params.bins, vector.bins_needed)
+    if num_classes is not None and num_classes > 2 and params.multiclass == "softmax":
+        return SoftmaxTrees(num_classes, vector.nominal, params.trees, params.depth, params.step, params.bins, label=LABEL,
+                            weight=WEIGHT, output=SCORE)
     shared = dict(
         featuresCol="features", labelCol=LABEL, predictionCol=SCORE, maxDepth=params.depth, maxBins=bins, seed=params.seed
     )
@@ -162,7 +167,7 @@ def train(
     encoded = target.transform(features.transform(dealt))
     encoded = encoded.withColumn(LABEL, F.col(quote(target.output_columns[-1])).cast("double")).filter(F.col(LABEL).isNotNull())
     ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
-    estimator = _estimator(params, num_classes, max(params.bins, vector.bins_needed))
+    estimator = _estimator(params, num_classes, vector)
     ready = ready.persist()
     try:
         dropped = totals["n"] - (ready.agg(F.sum(COPIES)).first()[0] or 0)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from coppice.operators import dates, encode, place, scale, steps, weight
 from coppice.operators.lookup import KeyedTable, local_frame, reopen
 from coppice.plans import assemble, roles as roles_module
+from coppice.plans.boosting import SoftmaxModel
 from coppice.plans.model import Trained
 from coppice.plans.roles import Roles
 
@@ -83,7 +84,10 @@ def save_trained(spark: SparkSession, trained: Trained, path: str) -> None:
         for name in ("roles", "model_roles", "features", "vector", "target", "dropped_rows")
     }
     parts["model"] = type(trained.model).__name__
-    trained.model.write().save(f"{path}/model")
+    if isinstance(trained.model, SoftmaxModel):
+        trained.model.save(spark, f"{path}/model")
+    else:
+        trained.model.write().save(f"{path}/model")
     for i, table in enumerate(tables):
         table.frame.write.parquet(f"{path}/table_{i}")
     local_frame(spark, [{"parts": json.dumps(parts)}], "parts string").write.parquet(f"{path}/parts")
@@ -92,8 +96,11 @@ def save_trained(spark: SparkSession, trained: Trained, path: str) -> None:
 def load_trained(spark: SparkSession, path: str) -> Trained:
     parts = json.loads(spark.read.parquet(f"{path}/parts").first()["parts"])
     kind = parts.pop("model")
-    loader = getattr(regression, kind, None) or getattr(classification, kind)
-    model = loader.load(f"{path}/model")
+    if kind == SoftmaxModel.__name__:
+        model = SoftmaxModel.load(spark, f"{path}/model")
+    else:
+        loader = getattr(regression, kind, None) or getattr(classification, kind)
+        model = loader.load(f"{path}/model")
 
     def open_table(i: int) -> DataFrame:
         return spark.read.parquet(f"{path}/table_{i}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from coppice.plans import registry
@@ -101,6 +103,30 @@ def split_multiclass(spark, sf):
     return predict(trained, df, "prediction").select("l_orderkey", "l_linenumber", "prediction")
 
 
+@query("split_softmax", majority_sql(SIZED))
+def split_softmax(spark, sf):
+    """One round of the softmax ensemble with one split per class: again the label with most weight."""
+    rows = table(spark, sf, "lineitem").withColumn("sized", F.expr(SIZED))
+    roles = Roles(target="sized", target_is_categorical=True, features=("l_linestatus",))
+    trained = train(roles, rows, replace(SPLIT, multiclass="softmax"))
+    return predict(trained, rows, "prediction").select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("softmax_multiclass", "SELECT l_orderkey, l_linenumber, TRUE AS known, TRUE AS better_than_forest FROM lineitem")
+def softmax_multiclass(spark, sf):
+    """Return flags by boosted trees of all classes, which are right for more rows than a forest of as many trees."""
+    df = table(spark, sf, "lineitem").withColumn("days", F.datediff("l_shipdate", F.lit("1992-01-01")))
+    roles = Roles(target="l_returnflag", target_is_categorical=True, features=("l_quantity", "l_extendedprice", "days", "l_linestatus"))
+    scored = df
+    for method in ("softmax", "forest"):
+        scored = predict(train(roles, df, TrainParams(trees=10, partitions=8, multiclass=method)), scored, method)
+    scored = store_columns(scored.select("l_orderkey", "l_linenumber", "l_returnflag", "softmax", "forest"))
+    right = [F.count_if(F.col(c) == F.col("l_returnflag")) for c in ("softmax", "forest")]
+    facts = scored.agg((right[0] >= right[1]).alias("better_than_forest"))
+    known = F.col("softmax").isin("A", "N", "R").alias("known")
+    return scored.select("l_orderkey", "l_linenumber", known).join(F.broadcast(facts))
+
+
 DISCOUNTED = "CASE WHEN l_quantity % 7 = 0 THEN NULL WHEN l_discount > 0.02 THEN 'yes' ELSE 'no' END"
 
 

@@ -87,7 +87,7 @@ def test_predictions_belong_to_their_rows(learnable, joins, request):
     assert scored.columns == [*learnable.columns, "prediction"]
 
 
-@pytest.mark.parametrize("method", ["forest", "one_vs_rest"])
+@pytest.mark.parametrize("method", ["forest", "one_vs_rest", "softmax"])
 def test_multiclass(learnable, method):
     params = TrainParams(trees=10, depth=4, multiclass=method)
     trained = train(Roles(target="kind", target_is_categorical=True, features=("c", "v")), learnable, params)
