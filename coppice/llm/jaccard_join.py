@@ -51,7 +51,7 @@ PROFILE = 512
 #: Bits of the filter that keeps rows which cannot meet a join out of its shuffle.
 FILTER_BITS = 24
 _WORDS = WordHashes()
-_WORDS.LIMIT = 120_000
+_WORDS.LIMIT = 60_000
 # Odd multipliers of the rolling combination.
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(64 - COUNT_BITS)
@@ -99,7 +99,7 @@ def _frequencies(rows: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             for _, data in text_slices(batch.column(0), AT_ONCE):
                 if found := shingles(data, width):
-                    total += np.bincount((np.concatenate(found) >> _TOP).astype(np.int64), minlength=len(total))
+                    np.add.at(total, (np.concatenate(found) >> _TOP).astype(np.int64), 1)
             release()
         parts = [squeeze(total[i : i + part_size]) for i in range(0, len(total), part_size)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int64()), "counts": pa.array(parts, pa.binary())})
@@ -113,7 +113,8 @@ def _frequencies(rows: DataFrame, width: int) -> np.ndarray:
     out = np.zeros(1 << COUNT_BITS, np.int64)
     for r in parts:
         out[r["part"] * part_size : (r["part"] + 1) * part_size] = unsqueeze(r["counts"])
-    return out
+    # Only their order counts, and equal counts must stay equal, so dense ranks do.
+    return np.unique(out, return_inverse=True)[1].astype(np.uint32)
 
 
 def _regions(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -169,8 +170,11 @@ def _regions(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
                     "id": pa.nulls(len(out), batch.column(0).type), "cls": pa.nulls(len(out), pa.binary()),
                     "n": pa.nulls(len(out), pa.int64()), "text_name": pa.nulls(len(out), pa.binary())} | {
                     k: pa.array(x, t) for k, x, t in zip(("bucket", *blobs), zip(*out), (pa.int64(), *[pa.binary()] * 4))})
+                del keys, owner, out, known, number, order, names, sizes
+            release()
 
     def meet(key, table):
+        release()
         keys, names, sizes = [], [], []
         for row in table.to_pylist():
             at = unsqueeze(row["owner"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -46,9 +47,21 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]],
     return df.mapInArrow(run, schema)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def release() -> None:
-    """Give memory of batches that are done back to the machine."""
+    """Give memory of batches that are done back to the machine.
+
+    An executor has several workers that wait for work while others run, and
+    each would else keep the most it ever had.
+    """
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def split_words(text: bytes | None) -> list[bytes]:
