@@ -276,6 +276,7 @@ def _chosen(table: DataFrame, names: DataFrame) -> DataFrame:
     def keep(batches):
         for batch in batches:
             yield batch.filter(_may_contain(held.value, batch.column("cls")))
+            release()
 
     return table.mapInArrow(keep, table.schema)
 
@@ -303,6 +304,7 @@ def _screened(members: DataFrame, pivots: DataFrame, sets: DataFrame, reach: int
         F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"), F.col("profile").alias("pivot_profile"))
 
     def screen(key, members, pivots):
+        release()
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if members.num_rows and pivots.num_rows:
             grid, sizes = _profiles(members["profile"]), members["n"].to_numpy()
@@ -334,6 +336,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
             reach = batch.column("reach").to_numpy()
             keep = _reaches(_profiles(batch.column("profile_a")), _profiles(batch.column("profile_b")), sizes, reach)
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "reach")})
+            release()
 
     near = store_columns(joined.mapInArrow(bound, "a binary, b binary, reach int"))
     ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls")))
@@ -347,23 +350,26 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
 
         def of(name, data):
             if name not in kept:
-                if len(kept) > 500:
+                if len(kept) >= 100 or sum(x.nbytes for x in kept.values()) > AT_ONCE:
                     kept.clear()
                 kept[name] = np.unique(shingles([unpack.decompress(data)], width)[0])
             return kept[name]
 
-        for batch in batches:
-            common, every = [], []
-            for row in batch.to_pylist():
-                x, y = of(row["a"], row["text_a"]), of(row["b"], row["text_b"])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(both)
-                every.append(len(x) + len(y) - both)
-            common, every = np.array(common, np.int64), np.array(every, np.int64)
-            keep = pa.array(100 * common >= batch.column("reach").to_numpy() * every)
-            yield pa.RecordBatch.from_pydict({
-                "a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep),
-                "common": pa.array(common).filter(keep), "all": pa.array(every).filter(keep)})
+        for whole_batch in batches:
+            for first in range(0, whole_batch.num_rows, 500):  # so that few packed texts are copied at a time
+                batch = whole_batch.slice(first, 500)
+                common, every = [], []
+                for row in batch.to_pylist():
+                    x, y = of(row["a"], row["text_a"]), of(row["b"], row["text_b"])
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    common.append(both)
+                    every.append(len(x) + len(y) - both)
+                common, every = np.array(common, np.int64), np.array(every, np.int64)
+                keep = pa.array(100 * common >= batch.column("reach").to_numpy() * every)
+                yield pa.RecordBatch.from_pydict({
+                    "a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep),
+                    "common": pa.array(common).filter(keep), "all": pa.array(every).filter(keep)})
+            release()
 
     return store_columns(whole.mapInArrow(compare, "a binary, b binary, common long, all long"))
 
