@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.textwork import LOWER, UPPER, built, map_batches, pick, texts
+from coppice.llm.textwork import LOWER, UPPER, built, map_batches, pick, text_slices
 from coppice.session import store_columns
 
 #: Pieces that one task packs together: a bound on its memory, not on the work.
 BLOCK_TOKENS, BLOCK_PIECES = 4096 * 8192, 500_000
-#: Texts that are tokenised in one call.
-AT_ONCE = 1000
+#: Bytes of text that are tokenised in one call.
+AT_ONCE = 4_000_000
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,7 +35,7 @@ class WordIds:
     """
 
     #: Chunks that are remembered; those not met since half of it filled up are forgotten.
-    LIMIT = 800_000
+    LIMIT = 600_000
     _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\t-\r]|$)")
 
     def __init__(self, content: str):
@@ -106,9 +106,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def work(batch):
         words = built(held, WordIds)
         row, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32")}
-        whole = texts(batch.column(1))
-        for first in range(0, len(whole), AT_ONCE):
-            for i, ids in enumerate(words.ids(whole[first : first + AT_ONCE]), first):
+        for texts_of, data in text_slices(batch.column(1), AT_ONCE):
+            for i, ids in enumerate(words.ids(data), texts_of.start):
                 ids += end
                 for n, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
