@@ -24,7 +24,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -493,13 +492,14 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     held = _filter_of(unsure.select(name.alias("cls")))
     named = marked.withColumn(mark + "name", F.unhex(F.lpad(F.hex(F.xxhash64(col(id_column), F.col(mark))), 16, "0")))
 
-    def part(wanted: bool):
-        def run(batches):
-            for batch in batches:
-                may = _may_contain(held.value, batch.column(batch.schema.get_field_index(mark + "name")))
-                yield batch.filter(may if wanted else pc.invert(may))
+    @F.arrow_udf("boolean")
+    def may(names: pa.Array) -> pa.Array:
+        found = _may_contain(held.value, names)
+        release()
+        return found
 
-        return named.mapInArrow(run, named.schema)
+    def part(wanted: bool):  # only the names leave the JVM
+        return named.where(may(F.col(mark + "name")) == F.lit(wanted))
 
     maybe = part(True).join(unsure, col(id_column).eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left")
     single = maybe.where(F.col("stays").isNull())
