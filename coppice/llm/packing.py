@@ -21,8 +21,8 @@ from coppice.session import store_columns
 
 #: Pieces that one task packs together: a bound on its memory, not on the work.
 BLOCK_TOKENS, BLOCK_PIECES = 4096 * 8192, 500_000
-#: Bytes of text that are tokenised in one call.
-AT_ONCE = 4_000_000
+#: Bytes of text that are tokenised in one call: its chunks stand in memory as objects, many times its size.
+AT_ONCE = 500_000
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,7 +35,7 @@ class WordIds:
     """
 
     #: Chunks that are remembered; those not met since half of it filled up are forgotten.
-    LIMIT = 600_000
+    LIMIT = 400_000
     _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\t-\r]|$)")
 
     def __init__(self, content: str):
