@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coppice.functions import columns as X
 from coppice.functions.schema import NUMERIC, quote, require
 from coppice.operators.lookup import WEIGHT, KeyedTable, attach, freeze
+from coppice.operators.nearest import nearest_places
 from coppice.operators.steps import Fitted, Found, Needs, Step
 
 # Attributes of the area reachable from a place, and travel times in seconds.
@@ -74,13 +75,16 @@ class PlaceFeatures(Step):
     """Twelve features per (latitude, longitude) from ``places``.
 
     ``places`` has ``latitude``, ``longitude`` and :func:`place_columns`. A
-    place without an entry is an error, or null with ``on_missing="null"``.
+    place without an entry is an error, or null with ``on_missing="null"``. With
+    ``tolerance_m`` the nearest entry within so many metres counts, else only
+    one with the very same coordinates.
     """
 
     latitude: str
     longitude: str
     places: DataFrame
     on_missing: str = "error"
+    tolerance_m: float | None = None
 
     @property
     def input_columns(self) -> list[str]:
@@ -107,7 +111,13 @@ class PlaceFeatures(Step):
 
     def _joined(self, needed: DataFrame) -> FittedPlace:
         entries = self.places.select("latitude", "longitude", *place_columns(), F.lit(True).alias("known"))
-        table = freeze(needed.join(entries, ["latitude", "longitude"], "left"), ["latitude", "longitude"], given=True)
+        on = ["latitude", "longitude"]
+        if self.tolerance_m is not None:
+            found = nearest_places(needed, entries, self.tolerance_m, on)
+            where = [F.col("place.latitude").alias("__lat"), F.col("place.longitude").alias("__lon")]
+            entries = entries.withColumnsRenamed({"latitude": "__lat", "longitude": "__lon"})
+            entries = found.select(*on, *where).join(entries, ["__lat", "__lon"]).drop("__lat", "__lon")
+        table = freeze(needed.join(entries, on, "left"), on, given=True)
         given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
         verdict = table.frame.agg(
             F.count_if(given & ~X.valid_place("latitude", "longitude")).alias("invalid"),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
-from coppice.operators import dates, encode, place, scale, steps, weight
+from coppice.operators import dates, encode, nearest, place, scale, steps, weight
 from coppice.queries.base import query, r, rounded, table
 from coppice.queries.profiles import DOCS, labelled
 
@@ -384,3 +384,46 @@ def location_features(spark, sf):
     )
     fitted = place.PlaceFeatures("lat", "lon", places_of(spark, sf), on_missing="null").fit(df)
     return fitted.transform(df).drop("lat", "lon")
+
+
+def spread_sql(key: str) -> str:
+    """Places all over the globe, some of them null."""
+    return (f"CASE WHEN {key} % 11 <> 3 THEN (({key} * 7919) % 17000) / 100.0::DOUBLE - 85 END AS latitude, "
+            f"(({key} * 104729) % 36000) / 100.0::DOUBLE - 180 AS longitude")
+
+
+def spread(df, key: str):
+    k = F.col(key).cast("bigint")
+    return df.select(
+        key,
+        F.when(k % 11 != 3, (k * 7919) % 17000 / F.lit(100.0) - 85).alias("latitude"),
+        ((k * 104729) % 36000 / F.lit(100.0) - 180).alias("longitude"),
+    )
+
+
+REACH_KM = 800
+
+
+def on_sphere_sql(source: str, key: str) -> str:
+    return f"""(SELECT {key}, cos(radians(latitude)) * cos(radians(longitude)) AS x,
+                       cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z
+                FROM (SELECT {key}, {spread_sql(key)} FROM {source}) WHERE latitude IS NOT NULL)"""
+
+
+@query(
+    "nearest_place",
+    f"""WITH pairs AS (SELECT c_custkey, s_suppkey, floor(asin(least(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)
+                              + (c.z - s.z) * (c.z - s.z)) / 2, 1.0)) * {2000 * nearest.EARTH_M!r}::DOUBLE + 0.5) AS mm
+                       FROM {on_sphere_sql("customer", "c_custkey")} c, {on_sphere_sql("supplier", "s_suppkey")} s),
+             best AS (SELECT c_custkey, arg_min(s_suppkey, (mm, s_suppkey)) AS s_suppkey, min(mm) AS mm FROM pairs
+                      WHERE mm <= {REACH_KM * 10**6} GROUP BY c_custkey)
+        SELECT customer.c_custkey, s_suppkey AS nearest_supplier, {r("mm / 1000", 3)} AS metres
+        FROM customer LEFT JOIN best ON customer.c_custkey = best.c_custkey""",
+)
+def nearest_place(spark, sf):
+    customers = spread(table(spark, sf, "customer"), "c_custkey")
+    suppliers = spread(table(spark, sf, "supplier"), "s_suppkey")
+    found = nearest.attach_nearest(
+        customers, "latitude", "longitude", suppliers, REACH_KM * 1000.0, "s_suppkey", "nearest_supplier", "metres"
+    )
+    return found.select("c_custkey", "nearest_supplier", rounded("metres", 3).alias("metres"))
