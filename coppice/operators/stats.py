@@ -9,13 +9,14 @@ sums per level are enough, and those are aggregated map-side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
@@ -33,9 +34,9 @@ from pyspark.sql.types import (
 )
 
 from coppice.functions import columns as X
-from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, quote, require
-from coppice.operators.encode import OneHot
+from coppice.functions.schema import CATEGORICAL, NUMERIC, columns_of, distinct_names, quote, require, tag_name
 from coppice.operators.lookup import (
+    SALT,
     WEIGHT,
     KeyedTable,
     attach,
@@ -49,6 +50,8 @@ from coppice.session import materialise
 
 # Numbers that one pass correlates with each other by a matrix of this width; wider tables take several passes.
 MATRIX_WIDTH = 1000
+# Levels of one side that a task pairs with as many of another.
+LEVEL_BLOCK = 512
 # Repeated digests of 16 bytes that are broadcast at most.
 MANY_DIGESTS = 1 << 20
 
@@ -161,48 +164,128 @@ def fill_null_zero(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every pair ``(col_a, col_b, corr)`` of numbers and of indicators of levels.
 
-    Nulls and NaN count as 0. Indicators come from one array per row and the
-    matrix from blocks of ``MATRIX_WIDTH`` columns, so width has no limit but
-    the rows of the result, which are its square.
+    Nulls and NaN count as 0, a constant gives NaN, the diagonal is 1. Pairs
+    of numbers come from blocks of ``MATRIX_WIDTH`` columns; pairs with levels
+    from sums per level and joint counts, as rows that are made in tasks, so
+    the number of levels has no limit but the rows of the result, which are
+    its square. A table without rows has no entries.
     """
+    columns = list(dict.fromkeys(columns))
     require(df, columns, NUMERIC + CATEGORICAL)
     df = df.select(*(F.col(quote(c)) for c in columns))
-    names = [c for c in columns if c in columns_of(df, NUMERIC)]
-    values = [number(c) for c in names]
-    for c in columns_of(df, CATEGORICAL):
-        fitted = OneHot(c).fit(df)
-        names += fitted.output_columns
-        level = F.col(quote(c))
-        values += [F.when(level == F.lit(v), 1.0).otherwise(0.0) for v in fitted.levels]
-    everything = range(len(names))
-    return _gramian(df, names, values, [(i, j) for i in everything for j in everything], 1.0)
-
-
-def _gramian(
-    df: DataFrame, names: Sequence[str], values: Sequence[Column], wanted: Sequence[tuple[int, int]], same: float | None
-) -> DataFrame:
+    numeric, categorical = columns_of(df, NUMERIC), columns_of(df, CATEGORICAL)
+    parts = []
+    if numeric:
+        everything = list(range(len(numeric)))
+        parts.append(_gramian(df, numeric, [number(c) for c in numeric], {i: everything for i in everything}, 1.0))
+    if categorical:
+        margins, n = _margins(df, categorical, numeric)
+        ranked, sizes = _ranked(margins)
+        named = _named(ranked)
+        if numeric:
+            levels = attach(margins.frame.drop(SALT, WEIGHT), named, {"column": "column", "level": "level"}, {"name": "__name"})
+            found = [F.struct(F.lit(c).alias("number"), F.col(f"r{i}").alias("corr")) for i, c in enumerate(numeric)]
+            mixed = levels.select(F.col("__name").alias("level"), F.inline(F.array(*found)))
+            parts.append(_both_ways(mixed, "level", "number"))
+        parts.append(_level_matrix(df, categorical, named, sizes, n))
+    entry = F.coalesce("corr", F.lit(float("nan"))).alias("corr")
+    return reduce(DataFrame.unionByName, parts).select("col_a", "col_b", entry)
+
+
+def _both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Each pair as two entries of a symmetric matrix."""
+    there = F.struct(F.col(a).alias("col_a"), F.col(b).alias("col_b"), "corr")
+    back = F.struct(F.col(b).alias("col_a"), F.col(a).alias("col_b"), "corr")
+    return pairs.select(F.inline(F.array(there, back)))
+
+
+def _named(ranked: KeyedTable) -> KeyedTable:
+    """Add the ``name`` of each level's indicator; names that would repeat within a column get a number."""
+    if ranked.small:
+        rows = [r.asDict() for r in ranked.frame.collect()]
+        rows.sort(key=lambda r: (r["column"], r["level"]))
+        names = distinct_names(f"onehot_{r['column']}_is_{tag_name(r['level'])}" for r in rows)
+        schema = StructType(ranked.frame.schema.fields + [StructField("name", StringType())])
+        return KeyedTable(local_frame(ranked.frame.sparkSession, [{**r, "name": x} for r, x in zip(rows, names)], schema), ranked.keys, True)
+    plain = F.concat(F.lit("onehot_"), "column", F.lit("_is_"), X.tag_text("level"))
+    turn = F.row_number().over(Window.partitionBy("column", "__plain").orderBy("level"))
+    again = F.row_number().over(Window.partitionBy("__name").orderBy("__turn", "column", "level"))
+    named = (
+        ranked.frame.withColumn("__plain", plain)
+        .withColumn("__turn", turn)
+        .withColumn("__name", F.when(F.col("__turn") == 1, F.col("__plain")).otherwise(F.concat_ws("_", "__plain", "__turn")))
+        # A numbered name may be that of another level: its rank is its own.
+        .withColumn("name", F.when(again == 1, F.col("__name")).otherwise(F.concat_ws("_", "__name", "column", "rank")))
+    )
+    return freeze(named.select(*(c for c in ranked.frame.columns if c != SALT), "name"), ["column", "level"])
+
+
+def _level_matrix(df: DataFrame, columns: Sequence[str], named: KeyedTable, sizes: dict[str, int], n: int) -> DataFrame:
+    """Phi coefficients of all pairs of levels, those that never meet included.
+
+    Levels have places, and blocks of ``LEVEL_BLOCK`` places meet each other:
+    a task holds pairs of two blocks, whatever the number of levels.
+    """
+    ends = [sum(sizes.get(c, 0) for c in columns[:i]) for i in range(len(columns) + 1)]
+    before = F.create_map(*(F.lit(x) for pair in zip(columns, ends) for x in pair))
+    place = (before[F.col("column")] + F.col("rank")).cast("bigint")
+    levels = named.frame.select(place.alias("place"), "name", "share")
+    blocks = F.sequence(F.lit(0), F.lit(ends[-1] // LEVEL_BLOCK))
+    own = F.floor(F.col("place") / LEVEL_BLOCK).cast("int")
+
+    def side(tag: str, block: str, other: str) -> DataFrame:
+        mine = levels.select(*(F.col(c).alias(f"{c}_{tag}") for c in levels.columns), own.alias(block), F.explode(blocks).alias(other))
+        return mine.filter("block_a <= block_b")
+
+    pairs = side("a", "block_a", "block_b").join(side("b", "block_b", "block_a"), ["block_a", "block_b"]).filter("place_a <= place_b")
+    n_ab = F.lit(0).cast("bigint").alias("n_ab")
+    counted = pairs.withColumn("n_ab", n_ab)
+    if len(columns) > 1:
+        cells = _joint_counts(df, list(combinations(columns, 2)))
+        for tag in "ab":
+            found = {"rank": f"rank_{tag}"}
+            cells = attach(cells, named, {"column": f"col_{tag}", "level": f"level_{tag}"}, found)
+            cells = cells.withColumn(f"place_{tag}", (before[F.col(f"col_{tag}")] + F.col(f"rank_{tag}")).cast("bigint"))
+        counted = pairs.join(cells.select("place_a", "place_b", "n_ab"), ["place_a", "place_b"], "left")
+    share_a, share_b = F.col("share_a"), F.col("share_b")
+    together = F.coalesce("n_ab", F.lit(0)) / F.lit(float(max(n, 1)))
+    spread = F.sqrt(share_a * (1 - share_a) * share_b * (1 - share_b))
+    phi = F.when(F.col("place_a") == F.col("place_b"), 1.0).otherwise(F.try_divide(together - share_a * share_b, spread))
+    entries = counted.withColumn("corr", phi)
+    apart = _both_ways(entries.filter("place_a < place_b"), "name_a", "name_b")
+    same = entries.filter("place_a = place_b").select(F.col("name_a").alias("col_a"), F.col("name_b").alias("col_b"), "corr")
+    return apart.unionByName(same)
+
+
+def _gramian(df: DataFrame, names: Sequence[str], values: Sequence[Column], wanted: Mapping[int, Sequence[int]], same: float | None) -> DataFrame:
     """Pearson of the ``wanted`` pairs of positions, NaN for a constant; ``same`` is that of a column with itself.
 
     Columns are taken in pairs of blocks; a block pair is one pass with a
-    matrix of bounded width on the driver.
+    matrix of bounded width on the driver, which sends it back a row at a time.
     """
     half = MATRIX_WIDTH // 2
-    by_blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, j in wanted:
-        by_blocks.setdefault(tuple(sorted((i // half, j // half))), []).append((i, j))
+    by_blocks: dict[tuple[int, int], dict[int, list[int]]] = {}
+    for i, others in wanted.items():
+        for j in others:
+            by_blocks.setdefault(tuple(sorted((i // half, j // half))), {}).setdefault(i, []).append(j)
+    label = F.array(*map(F.lit, names))
     parts = []
-    for blocks, pairs in by_blocks.items():
+    for blocks, rows in by_blocks.items():
         taken = [i for b in dict.fromkeys(blocks) for i in range(b * half, min((b + 1) * half, len(names)))]
         place = {i: k for k, i in enumerate(taken)}
         vectors = df.select(array_to_vector(F.array(*(values[i] for i in taken))).alias("v"))
         if vectors.isEmpty():
             continue
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        entries = [
-            {"col_a": names[i], "col_b": names[j], "corr": same if i == j and same is not None else float(matrix[place[i], place[j]])}
-            for i, j in pairs
-        ]
-        parts.append(local_frame(df.sparkSession, entries, "col_a string, col_b string, corr double"))
+        if same is not None:
+            np.fill_diagonal(matrix, same)
+        lines = [{"i": i, "others": js, "found": matrix[place[i], [place[j] for j in js]].tolist()} for i, js in rows.items()]
+        local = local_frame(df.sparkSession, lines, "i int, others array<int>, found array<double>")
+        parts.append(
+            local.select("i", F.explode(F.arrays_zip("others", "found")).alias("e")).select(
+                label[F.col("i")].alias("col_a"), label[F.col("e.others")].alias("col_b"), F.col("e.found").alias("corr")
+            )
+        )
     if not parts:
         return local_frame(df.sparkSession, [], "col_a string, col_b string, corr double")
     return reduce(DataFrame.unionByName, parts)
@@ -223,7 +306,9 @@ def _numeric_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     if len(pairs) > 2 * len(names):
         place = {c: i for i, c in enumerate(names)}
-        wanted = [(place[a], place[b]) for a, b in pairs]
+        wanted: dict[int, list[int]] = {}
+        for a, b in pairs:
+            wanted.setdefault(place[a], []).append(place[b])
         found = _gramian(df, names, [number(c) for c in names], wanted, None)
         return found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
     stats = df.agg(
@@ -288,15 +373,8 @@ def level_correlation(df: DataFrame, categorical: Sequence[str], numeric: Sequen
     return margins.frame.select("column", "level", F.inline(F.array(*pairs)))
 
 
-def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: KeyedTable, n: int) -> DataFrame:
-    """Strongest phi coefficient of each pair of categorical columns.
-
-    Pairs of levels that occur together come from the joint counts. Of those
-    that never do, phi is ``-sqrt(odds_a * odds_b)``, so for a level of A only
-    the commonest level of B it never meets can matter. Ranking B's levels by
-    odds, that is the first rank missing among the ranks the level meets: an
-    anti-join of "the rank after one it meets" against the ranks it meets.
-    """
+def _joint_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows ``(col_a, col_b, level_a, level_b, n_ab)`` of the levels that occur together; null is no level."""
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     place = {c: i for i, c in enumerate(names)}
     keys = [F.col(f"k{i}") for i in range(len(names))]
@@ -315,11 +393,23 @@ def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: Keyed
             keys[place[b]].alias("level_b"),
         )
         sides.append(F.when(hit, row))
-    cells = (
+    return (
         joint.select(F.coalesce(*sides).alias("cell"), "n_ab")
         .select("cell.*", "n_ab")
         .filter("level_a is not null and level_b is not null")
     )
+
+
+def _level_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], margins: KeyedTable, n: int) -> DataFrame:
+    """Strongest phi coefficient of each pair of categorical columns.
+
+    Pairs of levels that occur together come from the joint counts. Of those
+    that never do, phi is ``-sqrt(odds_a * odds_b)``, so for a level of A only
+    the commonest level of B it never meets can matter. Ranking B's levels by
+    odds, that is the first rank missing among the ranks the level meets: an
+    anti-join of "the rank after one it meets" against the ranks it meets.
+    """
+    cells = _joint_counts(df, pairs)
     ranked, sizes = _ranked(margins)
     cells = attach(
         cells, margins, {"column": "col_a", "level": "level_a"}, {"share": "p_a", "odds": "odds_a"}

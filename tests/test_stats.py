@@ -2,10 +2,12 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.operators import stats
+from coppice.functions.schema import distinct_names, tag_name
+from coppice.operators import lookup, stats
 from coppice.plans.roles import Roles, column_roles, target_choice
 
 
@@ -149,3 +151,24 @@ def test_wide_correlation(spark, monkeypatch):
         monkeypatch.setattr(stats, "MATRIX_WIDTH", width)
         for r in stats.collapsed_correlation(df, names).collect():
             assert r["corr"] == pytest.approx(want.loc[r["col_a"], r["col_b"]])
+
+
+def test_matrix_of_many_levels(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(draw.choice([None, *"abc"]), f"v{draw.randint(0, 39)}" + draw.choice("!?"), draw.choice([1.0, 2.0, None]), 7) for _ in range(300)]
+    df = spark.createDataFrame(rows, "few string, `a.many` string, number double, same int")
+    plain = {"number": [r[2] or 0.0 for r in rows], "same": [r[3] for r in rows]}
+    for k, c in enumerate(["few", "a.many"]):
+        levels = sorted({r[k] for r in rows} - {None})
+        names = distinct_names(f"onehot_{c}_is_{tag_name(v)}" for v in levels)
+        plain |= {name: [float(r[k] == v) for r in rows] for name, v in zip(names, levels)}
+    want = pd.DataFrame(plain).corr()
+    for small in (4096, 8):
+        monkeypatch.setattr(lookup, "SMALL_ROWS", small)
+        monkeypatch.setattr(stats, "LEVEL_BLOCK", 512 if small > 8 else 16)
+        found = stats.correlation_matrix(df, ["few", "a.many", "number", "same"]).collect()
+        assert len(found) == len(plain) ** 2 == len({tuple(r)[:2] for r in found})
+        for r in found:
+            expected = 1.0 if r["col_a"] == r["col_b"] else want.loc[r["col_a"], r["col_b"]]
+            assert r["corr"] == pytest.approx(expected, abs=1e-9, nan_ok=True)
+    assert stats.correlation_matrix(df.limit(0), ["few", "number"]).isEmpty()
