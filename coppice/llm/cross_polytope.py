@@ -23,12 +23,13 @@ CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
 
 @dataclass(frozen=True)
 class SearchParams:
-    """``tables`` hash tables, each probed at ``probes`` axes of the query."""
+    """``tables`` hash tables, each probed at ``probes`` axes of the query; a candidate stands under 1 to ``places`` axes."""
 
     k: int = 20
     tables: int = 8
     probes: int = 12
     seed: int = 7
+    places: int = 16
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -63,6 +64,13 @@ def axes(rotation: np.ndarray, count: int) -> np.ndarray:
     return top
 
 
+def nearest_first(rotation: np.ndarray, count: int) -> np.ndarray:
+    """Those of :func:`axes` by distance."""
+    found = axes(rotation, count)
+    along = np.take_along_axis(rotation, found // 2, axis=1) * (1 - 2 * (found % 2))
+    return np.take_along_axis(found, np.argsort(-along, axis=1, kind="stable"), axis=1)
+
+
 def _blobs(vectors: np.ndarray) -> pa.Array:
     return pa.array([v.tobytes() for v in np.ascontiguousarray(vectors, "<f8")], pa.binary())
 
@@ -74,8 +82,30 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0))
 
 
-def _hashed(rows: DataFrame, params: SearchParams, probes: int) -> DataFrame:
-    """One row per vector and bucket: ``bucket``, ``vec_id`` and the vector as bytes."""
+def typical_norm(rows: DataFrame) -> float:
+    """The median length of the vectors, nearly; 0 if there are none."""
+    square = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda total, x: total + x * x)
+    return rows.agg(F.percentile_approx(F.sqrt(square), 0.5, 10_000)).first()[0] or 0.0
+
+
+def places_of(norms: np.ndarray, typical: float, most: int) -> np.ndarray:
+    """Axes that a candidate stands under: the square of its length over the typical one.
+
+    A long vector can have a large inner product with queries of quite other
+    directions, so it must be met from farther away.
+    """
+    if not 0 < typical < np.inf:
+        return np.ones(len(norms), np.int64)
+    ratio = np.minimum(norms / typical, most)
+    return np.clip(np.floor(ratio * ratio + 1e-5), 1, most).astype(np.int64)
+
+
+def _hashed(rows: DataFrame, params: SearchParams, typical: float | None = None) -> DataFrame:
+    """One row per vector and bucket: ``bucket``, ``vec_id`` and the vector as bytes.
+
+    Queries stand under all axes that they probe, candidates, for which the
+    ``typical`` length is given, under as many as their length asks for.
+    """
 
     def work(batch):
         vectors = batch.column(1)
@@ -87,13 +117,21 @@ def _hashed(rows: DataFrame, params: SearchParams, probes: int) -> DataFrame:
             raw = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
             scale = np.abs(raw).max(axis=1, keepdims=True)  # keeps the norm within range
             unit = raw / scale
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            norm = np.linalg.norm(unit, axis=1, keepdims=True)
+            unit /= norm
             blobs, ids = _blobs(raw), batch.column(0).take(pa.array(at))
+            if typical is None:
+                count = np.full(len(raw), params.probes)
+            else:
+                with np.errstate(over="ignore"):
+                    count = places_of((scale * norm)[:, 0], typical, params.places)
             for t in range(params.tables):
-                found = axes(rotated(unit, t, params.seed), probes)
-                for p in range(found.shape[1]):
-                    bucket = (np.int64(size) << 32) + (t << 20) + found[:, p]
-                    yield {"bucket": pa.array(bucket, pa.int64()), "vec_id": ids, "blob": blobs}
+                near = nearest_first(rotated(unit, t, params.seed), int(count.max()))
+                for p in range(near.shape[1]):
+                    here = np.flatnonzero(count > p)
+                    bucket = (np.int64(size) << 32) + (t << 20) + near[here, p]
+                    chosen = pa.array(here)
+                    yield {"bucket": pa.array(bucket, pa.int64()), "vec_id": ids.take(chosen), "blob": blobs.take(chosen)}
 
     kind = rows.schema["vec_id"].dataType.simpleString()
     return map_batches(rows.select("vec_id", F.col("vector").cast("array<double>")), work,
@@ -177,21 +215,21 @@ def nearest(vectors: DataFrame, is_query, params: SearchParams | None = None, id
 
     ``is_query`` is a condition on ``vec_id``; all other rows, and the queries
     except a row's own id, are candidates. Every vector stands in every table
-    under its nearest axis. Queries that meet fewer than ``k`` candidates are
+    under its nearest axis, and under more the longer it is against the median
+    of all, so that recall holds for vectors of unequal length too. Queries that meet fewer than ``k`` candidates are
     compared with all rows, in blocks. Returns ``query_id``, ``rank`` from 1,
     ``vec_id`` and ``score`` (inner product of the vectors as given, in double
     precision); equal scores go to the smaller id.
 
-    Hashing sees directions only, so for vectors of different norms recall
-    holds for those of similar norm. Rows with a null id, and null, empty or
+    Rows with a null id, and null, empty or
     zero vectors or such with null or non-finite components take no part;
     vectors of another length are no candidates. Repeated ids count once, with
     their best score. Other columns are not read; no rows give no rows.
     """
     params = params or SearchParams()
     rows = usable(pick(vectors, vec_id=id_column, vector=vector_column))
-    queries = store_columns(_hashed(rows.where(is_query), params, params.probes))
-    candidates = store_columns(_hashed(rows, params, 1))
+    queries = store_columns(_hashed(rows.where(is_query), params))
+    candidates = store_columns(_hashed(rows, params, typical_norm(rows)))
     found = store_columns(_ranked(_cells(queries, candidates, params.k, _blocks_of(queries, candidates)), params.k))
     full = found.where(F.col("rank") == params.k).select("query_id")
     # What is left has fewer than k candidates: it meets one table's buckets as a whole, which are all rows.

@@ -75,3 +75,22 @@ def test_copies_of_an_id_take_one_place(spark, copies, k, probes):
         best = sorted((-score[np.ix_(ids == q, ids == i)].max(), i) for i in range(40) if i != q)[:k]
         assert [i for i, _ in found[q]] == [i for _, i in best]
         assert [s for _, s in found[q]] == pytest.approx([-s for s, _ in best], abs=1e-12)
+
+
+@pytest.mark.parametrize("spread", [0.25, 0.5, 1.0])
+def test_recall_of_unequal_norms(spark, spread):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    long = np.exp(spread * np.random.default_rng(1).standard_normal(len(e)))
+    ids, vectors = e["vec_id"].to_numpy(), np.stack(e["embedding"]).astype(float) * long[:, None]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    got = cross_polytope.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    want = brute(ids, vectors, np.flatnonzero(ids % 20 == 0), 20)
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    hits = sum((q, i) in found for q, best in want.items() for i, _ in best)
+    assert len(got) == 20 * len(want) and hits >= 0.93 * len(got)
+
+
+def test_places_follow_the_length():
+    places = cross_polytope.places_of
+    assert places(np.array([0.1, 0.99, 1.0, 1.5, 2.0, 3.0, 9.0, np.inf]), 1.0, 16).tolist() == [1, 1, 1, 2, 4, 9, 16, 16]
+    assert places(np.array([1.0, 5.0]), 0.0, 16).tolist() == places(np.array([1.0, 5.0]), np.inf, 16).tolist() == [1, 1]
