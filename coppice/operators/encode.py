@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,8 +192,8 @@ class OneHot(Step):
     """One 0/1 column per level; all are 0 for null and for a level unseen at fit.
 
     The columns are part of the schema, so the driver holds all levels: more
-    than ``max_levels`` are an error. Raise it, or use :class:`Ordinal`, whose
-    codes are one column for any number of levels.
+    than ``max_levels`` are an error. Use :class:`OneHotVector` then, which
+    has the same indicators in one column for any number of levels.
     """
 
     column: str
@@ -215,3 +217,63 @@ class OneHot(Step):
         if not rows:
             raise ValueError(f"no levels in column {self.column}")
         return FittedOneHot(self.column, tuple(sorted(r["level"] for r in rows)), self.on_invalid)
+
+
+@dataclass(frozen=True)
+class FittedOneHotVector(Fitted):
+    ordinal: FittedOrdinal
+    on_invalid: str = "error"
+
+    @property
+    def output_columns(self) -> list[str]:
+        return [f"onehot_{self.ordinal.column}"]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        column, output, size = self.ordinal.column, self.output_columns[0], self.ordinal.num_classes
+        require(df, [column], CATEGORICAL)
+        codes = local_frame(df.sparkSession, [{"__code": float(size - 1)}], "__code double")
+        # A code beyond the levels is kept as a vector of zeros.
+        encoder = OneHotEncoder(inputCol="__code", outputCol=output, handleInvalid="keep").fit(codes)
+        coded = attach(df.drop(output), self.ordinal.table, {"level": column}, {"code": "__code"})
+        coded = coded.withColumn("__code", F.coalesce(F.col("__code"), F.lit(size)).cast("double"))
+        return encoder.transform(coded).drop("__code")
+
+    def inverse(self, df: DataFrame, source: str | None = None, into: str | None = None) -> DataFrame:
+        source = source or self.output_columns[0]
+        require(df, [source], (VectorUDT,))
+        vector = F.unwrap_udt(X.col(source))
+        # Entries of a sparse vector, or all values of a dense one.
+        places = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+        marked = F.filter(F.arrays_zip(places.alias("place"), vector["values"].alias("value")), lambda x: x["value"] != 0)
+        single = (F.size(marked) == 1) & (F.get(marked, F.lit(0))["value"] == 1)
+        code = F.when(single, F.get(marked, F.lit(0))["place"].cast("bigint"))
+        if self.on_invalid != "null":
+            fault = F.raise_error(F.lit("exactly one indicator must be 1")).cast("bigint")
+            code = F.when(F.coalesce(single, F.lit(False)), code).otherwise(fault)
+        by_code = KeyedTable(self.ordinal.table.frame, ("code",), self.ordinal.table.small, self.ordinal.table.hot)
+        return attach(df, by_code, {"code": code}, {"level": into or self.ordinal.column})
+
+
+@dataclass(frozen=True)
+class OneHotVector(Step):
+    """One sparse vector with a 0/1 entry per level; all are 0 for null and for a level unseen at fit.
+
+    Levels and codes are a keyed table, so neither the schema nor the driver
+    grows with their number.
+    """
+
+    column: str
+    on_invalid: str = "error"
+
+    @property
+    def input_columns(self) -> list[str]:
+        return [self.column]
+
+    @property
+    def output_columns(self) -> list[str]:
+        return [f"onehot_{self.column}"]
+
+    def fit(self, df: DataFrame) -> FittedOneHotVector:
+        require(df, [self.column], CATEGORICAL)
+        known = df.filter(F.col(quote(self.column)).isNotNull())
+        return FittedOneHotVector(Ordinal(self.column).fit(known), self.on_invalid)

@@ -299,7 +299,7 @@ def one_hot_decode(spark, sf):
 def one_hot_decode_wide(spark, sf):
     """As many levels as rows."""
     df = table(spark, sf, "customer").select("c_custkey", "c_name")
-    fitted = encode.OneHot("c_name").fit(df)
+    fitted = encode.OneHotVector("c_name").fit(df)
     return fitted.inverse(fitted.transform(df).drop("c_name")).select("c_custkey", "c_name")
 
 

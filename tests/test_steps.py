@@ -1,11 +1,13 @@
 import math
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
 from coppice.functions import schema as S
 from coppice.operators import dates, encode, place, scale, steps, weight
+from coppice.queries import REGISTERED as QUERIES
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -141,6 +143,37 @@ def test_one_hot_of_many_levels(spark):
     assert same_rows(fitted.inverse(fitted.transform(df).drop("p")).select("id", "p"), df)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_one_hot_vector(spark, large, request):
+    if large:
+        request.getfixturevalue("tiny_tables")
+    df = spark.createDataFrame([("a b",), ("a_b",), (None,), ("c",)], "p string")
+    fitted = encode.OneHotVector("p").fit(df)
+    out = fitted.transform(df.union(spark.createDataFrame([("new",)], "p string")))
+    got = {r["p"]: r["onehot_p"].toArray().tolist() for r in out.collect()}
+    assert got == {"a b": [1, 0, 0], "a_b": [0, 1, 0], "c": [0, 0, 1], None: [0, 0, 0], "new": [0, 0, 0]}
+    with pytest.raises(Exception, match="exactly one indicator"):
+        fitted.inverse(out.drop("p")).collect()
+    lenient = encode.OneHotVector("p", on_invalid="null").fit(df)
+    back = lenient.inverse(out, into="again")
+    assert {r["p"]: r["again"] for r in back.collect()} == {"a b": "a b", "a_b": "a_b", "c": "c", None: None, "new": None}
+    dense = [([0.0, 1.0, 0.0], "a_b"), ([1.0, 1.0, -1.0], None), ([0.0, 0.0, 2.0], None)]
+    rows = spark.createDataFrame([(Vectors.dense(v), want) for v, want in dense], ["onehot_p", "want"])
+    assert [r["p"] for r in lenient.inverse(rows).orderBy("want").collect()] == [None, None, "a_b"]
+
+
+def test_one_hot_vector_of_more_levels_than_columns_can_be(spark):
+    df = spark.range(30_000).selectExpr("id", "concat('level ', id) as p")
+    fitted = encode.OneHotVector("p").fit(df)
+    assert same_rows(fitted.inverse(fitted.transform(df).drop("p")).select("id", "p"), df)
+
+
+def test_one_hot_decode_wide_has_no_limit_on_levels(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    assert same_rows(QUERIES["one_hot_decode_wide"].run(spark, str(tmp_path)), rows)
+
+
 def test_row_sum_of_many_columns(spark):
     names = [f"c{i}" for i in range(700)]
     df = spark.range(3).select(*((F.col("id") + i).alias(c) for i, c in enumerate(names)))
