@@ -35,8 +35,8 @@ from coppice.session import checkpoint_root, store_columns
 logger = logging.getLogger(__name__)
 
 LABEL, WEIGHT, SCORE, COPIES = "__label", "__row_weight", "__score", "__copies"
-#: Partitions of the rows to train on, unless given: at least so many, and one for so many rows.
-LEAST_PARTITIONS, ROWS_PER_PARTITION = 32, 500_000
+#: Partitions of the rows to train on: at least so many, unless given, and one for so many rows and values of features.
+LEAST_PARTITIONS, ROWS_PER_PARTITION, VALUES_PER_PARTITION = 32, 500_000, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ class TrainParams:
     ``multiclass`` is ``forest``, ``softmax`` for one boosted ensemble of all
     classes, or ``one_vs_rest`` for boosted trees per class. Rows are dealt to ``partitions`` by a hash of their values and
     sorted there, so a model depends on the rows and these parameters, not on
-    files or the size of the cluster; without a number there is one for each
-    500,000 rows, 32 at least. Categories are nominal, and the trainer keeps statistics for
+    files or the size of the cluster; there are at least so many, 32 without a number, and
+    one for each 500,000 rows or 2^25 values of features. Categories are nominal, and the trainer keeps statistics for
     each of their levels; ``ordered_categories`` are split on by level order.
     """
 
@@ -163,7 +163,7 @@ def train(
     vector = fit_vector(features, missing, params.ordered_categories)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
 
-    dealt = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"])
+    dealt = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"], len(vector.feature_names))
     encoded = target.transform(features.transform(dealt))
     encoded = encoded.withColumn(LABEL, F.col(quote(target.output_columns[-1])).cast("double")).filter(F.col(LABEL).isNotNull())
     ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
@@ -180,14 +180,15 @@ def train(
 
 
 def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, params: TrainParams, num_classes: int | None,
-               n: int) -> DataFrame:
+               n: int, width: int = 1) -> DataFrame:
     """The columns that features and label are made from, each row's weight and how many rows it stands for.
 
     Rows equal in all these columns become one, with their weights added up:
     counted map-side first, so a frequent row is no hot key. A trainer that
     draws rows at random gets them one by one. Rows without a weight are left
     out. Dealing goes by a hash of the values, so a model does not depend on
-    files or the size of the cluster.
+    files or the size of the cluster. A partition gets at most 500,000 of the ``n`` rows,
+    and fewer of those with many (``width``) features.
     """
     needed = [*feature_needs(model_roles.feature), *target_needs(model_roles.target, prediction=False)]
     keys = list(dict.fromkeys(column for column, _, _ in needed))
@@ -200,7 +201,8 @@ def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, para
         # Decimals add up to the same sum in any order.
         total = F.sum(F.col(WEIGHT).cast("decimal(28,18)")).cast("double")
         weighted, order = weighted.groupBy(*by).agg(total.alias(WEIGHT), F.count(F.lit(1)).alias(COPIES)), by
-    partitions = params.partitions or max(LEAST_PARTITIONS, -(-n // ROWS_PER_PARTITION))
+    most = min(ROWS_PER_PARTITION, max(1, VALUES_PER_PARTITION // max(1, width)))
+    partitions = max(params.partitions or LEAST_PARTITIONS, -(-n // most))
     return weighted.repartition(partitions, *order).sortWithinPartitions(*order)
 
 

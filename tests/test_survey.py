@@ -93,3 +93,5 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     weight = weight_steps(model_roles.weight).fit(rows)
     for n, expected in [(100, 32), (40_000_000, 80)]:
         assert dealt_rows(rows, model_roles, weight, TrainParams(), None, n).rdd.getNumPartitions() == expected
+    for params, width, expected in [(TrainParams(partitions=8), 1, 80), (TrainParams(partitions=100), 1, 100), (TrainParams(partitions=8), 128, 153)]:
+        assert dealt_rows(rows, model_roles, weight, params, None, 40_000_000, width).rdd.getNumPartitions() == expected
