@@ -4,23 +4,27 @@ In every round each class gets a tree, fitted to the gradients of the softmax
 loss. The trees of a round grow level by level: tasks add up gradients per
 (class, node, feature, bin) over their rows, Spark sums these histograms by
 key, and the best split of each node comes back, so what reaches the driver
-does not depend on the number of rows, bins or features.
+does not depend on the number of rows, bins or features. Rows in the same bins
+are one to a tree: Spark adds up their weights once, and the rounds read these
+cells.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.operators.lookup import local_frame
-from coppice.session import store_columns
+from coppice.session import materialise, store_columns
 
 #: Rounds after which the scores are written, which cuts their lineage.
 STORE_EVERY = 10
@@ -28,6 +32,10 @@ STORE_EVERY = 10
 LEAST_CURVATURE = 1e-12
 #: Accuracy of the quantiles that bound the bins of a number.
 QUANTILE_ACCURACY = 10_000
+#: Most cells and values of them in a partition, and least number of partitions unless given.
+CELLS_PER_PARTITION, VALUES_PER_PARTITION, LEAST_PARTITIONS = 1 << 17, 1 << 24, 32
+#: Leaves that one machine word tells apart.
+WORD = 64
 
 
 @dataclass
@@ -54,23 +62,58 @@ class Tree:
             self.left.append(0)
             self.value.append(value)
 
-    def places(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row."""
-        feature, limit, left = np.array(self.feature), np.array(self.limit), np.array(self.left)
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins)) if feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(rows):
-            here = at[rows]
-            value = bins[rows, feature[here]]
-            goes_left = value <= limit[here]
-            for node in np.unique(here):
-                if self.levels[node] is not None:
-                    mine = here == node
-                    goes_left[mine] = np.isin(value[mine], self.levels[node])
-            at[rows] = left[here] + ~goes_left
-            rows = rows[feature[at[rows]] >= 0]
+    def leaves(self, node: int = 0) -> list[int]:
+        """The leaves below a node, from left to right."""
+        if self.feature[node] < 0:
+            return [node]
+        return self.leaves(self.left[node]) + self.leaves(self.left[node] + 1)
+
+    def goes_left(self, node: int, value: np.ndarray) -> np.ndarray:
+        return value <= self.limit[node] if self.levels[node] is None else np.isin(value, self.levels[node])
+
+
+class Places:
+    """Finds the leaf of many rows.
+
+    Every bin of a feature rules out the leaves on the other side of the splits
+    on it, as bits of a word; what no feature of a row rules out is its leaf.
+    """
+
+    def __init__(self, tree: Tree, sizes: tuple[int, ...]):
+        self.tree, self.leaves = tree, np.array(tree.leaves())
+        self.words: dict[int, np.ndarray] = {}
+        if len(self.leaves) > WORD:
+            return
+        bit = {leaf: 1 << i for i, leaf in enumerate(self.leaves.tolist())}
+        everything = sum(bit.values())
+        for node, feature in enumerate(tree.feature):
+            if feature >= 0:
+                left, right = (sum(bit[leaf] for leaf in tree.leaves(tree.left[node] + side)) for side in (0, 1))
+                kept = np.where(tree.goes_left(node, np.arange(sizes[feature])), np.uint64(everything & ~right), np.uint64(everything & ~left))
+                self.words[feature] = self.words[feature] & kept if feature in self.words else kept
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of every row, as its place among ``leaves``; ``bins`` has one row per feature."""
+        if len(self.leaves) > WORD:
+            return np.searchsorted(np.sort(self.leaves), self._walk(bins))
+        left = None
+        for feature, words in self.words.items():
+            here = words[bins[feature]]
+            left = here if left is None else left & here
+        return np.zeros(bins.shape[1], np.int64) if left is None else np.bitwise_count(left - np.uint64(1))
+
+    def _walk(self, bins: np.ndarray) -> np.ndarray:
+        tree, at = self.tree, np.zeros(bins.shape[1], np.int64)
+        for node, feature in enumerate(tree.feature):  # children stand behind their parents
+            if feature >= 0:
+                rows = np.flatnonzero(at == node)
+                at[rows] = tree.left[node] + ~tree.goes_left(node, bins[feature, rows])
         return at
 
+    def order(self) -> np.ndarray:
+        """The nodes that the places of :meth:`of` stand for."""
+        return self.leaves if len(self.leaves) <= WORD else np.sort(self.leaves)
+
 
 @dataclass(frozen=True)
 class Bins:
@@ -79,6 +122,40 @@ class Bins:
     bounds: tuple[tuple[float, ...] | None, ...]
     sizes: tuple[int, ...]
 
+    @classmethod
+    def fit(cls, table: DataFrame, nominal: dict[int, int], wanted: int) -> Bins:
+        """Bins for the column ``x`` of features, ``wanted`` at most for a number."""
+        width = table.select(F.max(F.size("x"))).first()[0] or 0
+        numbers = [i for i in range(width) if i not in nominal]
+        shares = [k / wanted for k in range(1, wanted)]
+        found = table.agg(*(F.percentile_approx(F.col("x")[i], shares, QUANTILE_ACCURACY).alias(str(i)) for i in numbers)).first() if numbers else {}
+        bounds = tuple(tuple(sorted(set(found[str(i)]))) if i not in nominal else None for i in range(width))
+        return cls(bounds, tuple(nominal[i] if b is None else len(b) + 1 for i, b in enumerate(bounds)))
+
+    def cells(self, table: DataFrame, keys: str, sums: dict[str, Column], partitions: int | None, more: int) -> DataFrame:
+        """``bins``, the columns of ``keys`` (DDL) and ``sums`` over the rows that agree in both, stored.
+
+        Cells are dealt by a hash of their values and sorted, so that what is
+        drawn for them does not depend on files or the size of the cluster. ``more`` is
+        the number of values that a trainer will add to each.
+        """
+        width, names = len(self.sizes), [k.split()[0] for k in keys.split(", ")]
+        others = [f for f in table.schema.fields if f.name != "x"]
+
+        def binned(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    found = self.of(_matrix(batch.column("x"), width))
+                    yield pa.RecordBatch.from_arrays([_lists(found), *(batch.column(f.name) for f in others)], ["bins", *(f.name for f in others)])
+
+        schema = ", ".join(["bins array<int>", *(f"{f.name} {f.dataType.simpleString()}" for f in others)])
+        summed = table.mapInArrow(binned, schema).groupBy("bins", *names).agg(*(c.alias(n) for n, c in sums.items())).persist()
+        most = min(CELLS_PER_PARTITION, max(1, VALUES_PER_PARTITION // (width + more)))
+        dealt = summed.repartition(max(partitions or LEAST_PARTITIONS, -(-summed.count() // most)), "bins", *names)
+        cells = materialise(dealt.sortWithinPartitions("bins", *names))  # the many small jobs on them plan fast without their lineage
+        summed.unpersist()
+        return cells
+
     def of(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(rows.shape, np.int32)
         for i, (bounds, size) in enumerate(zip(self.bounds, self.sizes)):
@@ -98,6 +175,10 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
+def _by_feature(found: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(found.T, dtype=np.intp)
+
+
 def _softmax(scores: np.ndarray) -> np.ndarray:
     power = np.exp(scores - scores.max(axis=1, keepdims=True))
     return power / power.sum(axis=1, keepdims=True)
@@ -117,23 +198,24 @@ class SoftmaxTrees:
     label: str = "label"
     weight: str = "weight"
     output: str = "prediction"
+    partitions: int | None = None
 
     def fit(self, rows: DataFrame) -> SoftmaxModel:
         """Train on all rows; ``rows`` should be persisted, as it is read twice."""
         table = rows.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("int").alias("label"),
                             F.col(self.weight).cast("double").alias("weight"))
-        bins = self._bins(table)
+        bins = Bins.fit(table, self.nominal, self.bins)
         width, classes = len(bins.sizes), self.classes
+        # Decimals add up to the same sum in any order.
+        total = F.sum(F.col("weight").cast("decimal(28,18)")).cast("double")
+        cells = bins.cells(table, "label int", {"weight": total}, self.partitions, classes)
 
         def start(batches):
             for batch in batches:
-                n = batch.num_rows
-                found = bins.of(_matrix(batch.column(0), width)) if n else np.zeros((0, width), np.int32)
-                yield pa.RecordBatch.from_pydict({"bins": _lists(found), "label": batch.column(1), "weight": batch.column(2),
-                                                  "scores": _lists(np.zeros((n, classes)))})
+                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(np.zeros((batch.num_rows, classes)))], [*batch.schema.names, "scores"])
 
         schema = "bins array<int>, label int, weight double, scores array<double>"
-        state = table.mapInArrow(start, schema).persist()
+        state = cells.mapInArrow(start, schema).persist()
         trees: list[list[Tree]] = []
         gains = np.zeros(width)
         for number in range(self.rounds):
@@ -143,11 +225,12 @@ class SoftmaxTrees:
                 break
 
             def advance(batches, grown=grown):
+                places = [Places(tree, bins.sizes) for tree in grown]
                 for batch in batches:
                     if batch.num_rows:
-                        found, scores = _matrix(batch.column(0), width), _matrix(batch.column(3), classes).copy()
-                        for k, tree in enumerate(grown):
-                            scores[:, k] += np.array(tree.value)[tree.places(found)]
+                        found, scores = _by_feature(_matrix(batch.column(0), width)), _matrix(batch.column(3), classes).copy()
+                        for k, (tree, place) in enumerate(zip(grown, places)):
+                            scores[:, k] += np.array(tree.value)[place.order()][place.of(found)]
                         yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(scores)], names=batch.schema.names)
 
             following = state.mapInArrow(advance, schema)
@@ -161,14 +244,6 @@ class SoftmaxTrees:
         total = gains.sum()
         return SoftmaxModel(bins, trees, gains / total if total else gains, self.features, self.output)
 
-    def _bins(self, table: DataFrame) -> Bins:
-        width = table.select(F.max(F.size("x"))).first()[0] or 0
-        numbers = [i for i in range(width) if i not in self.nominal]
-        shares = [k / self.bins for k in range(1, self.bins)]
-        found = table.agg(*(F.percentile_approx(F.col("x")[i], shares, QUANTILE_ACCURACY).alias(str(i)) for i in numbers)).first() if numbers else {}
-        bounds = tuple(tuple(sorted(set(found[str(i)]))) if i not in self.nominal else None for i in range(width))
-        return Bins(bounds, tuple(self.nominal[i] if b is None else len(b) + 1 for i, b in enumerate(bounds)))
-
     def _grow(self, state: DataFrame, bins: Bins, gains: np.ndarray) -> list[Tree]:
         trees = [Tree() for _ in range(self.classes)]
         active = [[0] for _ in range(self.classes)]
@@ -193,19 +268,20 @@ class SoftmaxTrees:
 
         def histograms(batches):
             sums: dict[int, np.ndarray] = {}
+            places = [Places(tree, bins.sizes) for tree in trees]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 found, scores = _matrix(batch.column(0), width), _matrix(batch.column(3), classes)
                 label, weight = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 chance = _softmax(scores)
-                cells = found + starts[:-1]
+                cells, by_feature = found + starts[:-1], _by_feature(found)
                 for k, (tree, nodes) in enumerate(zip(trees, active)):
                     if not nodes:
                         continue
                     slot = np.full(len(tree.feature), -1)
                     slot[nodes] = np.arange(len(nodes))
-                    at = slot[tree.places(found)]
+                    at = slot[places[k].order()][places[k].of(by_feature)]
                     here = at >= 0
                     cell = (at[here, None] * total + cells[here]).ravel()
                     gradient = weight * (chance[:, k] - (label == k))
@@ -260,22 +336,28 @@ class SoftmaxModel:
         self.featureImportances = DenseVector(importances)
         self.features, self.output = features, output
 
+    @cached_property
+    def _places(self) -> list[list[Places]]:
+        return [[Places(tree, self.bins.sizes) for tree in grown] for grown in self.trees]
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        found = self.bins.of(rows)
+        found = _by_feature(self.bins.of(rows))
         out = np.zeros((len(rows), len(self.trees[0])))
-        for grown in self.trees:
-            for k, tree in enumerate(grown):
-                out[:, k] += np.array(tree.value)[tree.places(found)]
+        for grown, places in zip(self.trees, self._places):
+            for k, (tree, place) in enumerate(zip(grown, places)):
+                out[:, k] += np.array(tree.value)[place.order()][place.of(found)]
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        held = df.sparkSession.sparkContext.broadcast((self.bins, self.trees, self.featureImportances.toArray(), self.features, self.output))
+        kind, parts = type(self), (self.bins, self.trees, self.featureImportances.toArray(), self.features, self.output)
+        held = df.sparkSession.sparkContext.broadcast(parts)
 
         @F.arrow_udf("double")
-        def predicted(x: pa.Array) -> pa.Array:
-            model = SoftmaxModel(*held.value)
-            rows = _matrix(x, len(model.bins.sizes))
-            return pa.array(model.scores(rows).argmax(axis=1).astype(float) if len(rows) else np.zeros(0))
+        def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = kind(*held.value)
+            for x in batches:
+                rows = _matrix(x, len(model.bins.sizes))
+                yield pa.array(model.scores(rows).argmax(axis=1).astype(float) if len(rows) else np.zeros(0))
 
         return df.withColumn(self.output, predicted(vector_to_array(self.features)))
 

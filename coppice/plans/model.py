@@ -85,7 +85,7 @@ def _estimator(params: TrainParams, num_classes: int | None, vector: FittedVecto
     bins = max(params.bins, vector.bins_needed)
     if num_classes is not None and num_classes > 2 and params.multiclass == "softmax":
         return SoftmaxTrees(num_classes, vector.nominal, params.trees, params.depth, params.step, params.bins, label=LABEL,
-                            weight=WEIGHT, output=SCORE)
+                            weight=WEIGHT, output=SCORE, partitions=params.partitions)
     shared = dict(
         featuresCol="features", labelCol=LABEL, predictionCol=SCORE, maxDepth=params.depth, maxBins=bins, seed=params.seed
     )
