@@ -6,7 +6,7 @@ import logging
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from coppice.plans.assemble import (
 )
 from coppice.plans.boosting import SoftmaxModel, SoftmaxTrees
 from coppice.plans.contract import check_columns, feature_needs, needs_of, target_needs
+from coppice.plans.forest import ForestTrees
 from coppice.plans.roles import ModelRoles, Roles, TargetRole, feature_roles, weight_roles
 from coppice.plans.survey import Survey, centred, choose_target, scaled_targets, target_totals
 from coppice.session import checkpoint_root, store_columns
@@ -61,7 +62,7 @@ class TrainParams:
     ordered_categories: tuple[str, ...] = ()
 
     def draws_rows(self, num_classes: int | None) -> bool:
-        """Whether the trainer draws rows at random, so that equal rows must stay apart."""
+        """Whether the trainer draws rows at random, so that rows of unequal weight must stay apart."""
         return num_classes is not None and num_classes > 2 and self.multiclass == "forest"
 
 
@@ -86,6 +87,9 @@ def _estimator(params: TrainParams, num_classes: int | None, vector: FittedVecto
     if num_classes is not None and num_classes > 2 and params.multiclass == "softmax":
         return SoftmaxTrees(num_classes, vector.nominal, params.trees, params.depth, params.step, params.bins, label=LABEL,
                             weight=WEIGHT, output=SCORE, partitions=params.partitions)
+    if num_classes is not None and num_classes > 2 and params.multiclass == "forest":
+        return ForestTrees(num_classes, vector.nominal, params.trees, params.depth, params.bins, params.seed, label=LABEL,
+                           weight=WEIGHT, copies=COPIES, output=SCORE, partitions=params.partitions)
     shared = dict(
         featuresCol="features", labelCol=LABEL, predictionCol=SCORE, maxDepth=params.depth, maxBins=bins, seed=params.seed
     )
@@ -94,8 +98,6 @@ def _estimator(params: TrainParams, num_classes: int | None, vector: FittedVecto
         return GBTRegressor(**boosted)
     if num_classes <= 2:
         return GBTClassifier(**boosted)
-    if params.multiclass == "forest":
-        return RandomForestClassifier(**shared, numTrees=params.trees, weightCol=WEIGHT)
     if params.multiclass == "one_vs_rest":
         binary = GBTClassifier(**boosted)
         return OneVsRest(classifier=binary, featuresCol="features", labelCol=LABEL, predictionCol=SCORE, weightCol=WEIGHT)
@@ -184,8 +186,8 @@ def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, para
     """The columns that features and label are made from, each row's weight and how many rows it stands for.
 
     Rows equal in all these columns become one, with their weights added up:
-    counted map-side first, so a frequent row is no hot key. A trainer that
-    draws rows at random gets them one by one. Rows without a weight are left
+    counted map-side first, so a frequent row is no hot key. For a trainer that
+    draws rows at random, only rows of the same weight do. Rows without a weight are left
     out. Dealing goes by a hash of the values, so a model does not depend on
     files or the size of the cluster. A partition gets at most 500,000 of the ``n`` rows,
     and fewer of those with many (``width``) features.
@@ -196,7 +198,8 @@ def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, para
     weighted = weight.transform(df).select(*by, F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT))
     weighted = weighted.filter(F.col(WEIGHT).isNotNull())
     if params.draws_rows(num_classes):
-        weighted, order = weighted.withColumn(COPIES, F.lit(1).cast("bigint")), [*by, F.col(WEIGHT)]
+        each = weighted.groupBy(*by, F.col(WEIGHT).alias("__each")).agg(F.count(F.lit(1)).alias(COPIES))
+        weighted, order = each.withColumn(WEIGHT, F.col("__each") * F.col(COPIES)).drop("__each"), [*by, F.col(WEIGHT)]
     else:
         # Decimals add up to the same sum in any order.
         total = F.sum(F.col(WEIGHT).cast("decimal(28,18)")).cast("double")

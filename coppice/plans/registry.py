@@ -29,6 +29,7 @@ from coppice.operators import dates, encode, place, scale, steps, weight
 from coppice.operators.lookup import KeyedTable, local_frame, reopen
 from coppice.plans import assemble, roles as roles_module
 from coppice.plans.boosting import SoftmaxModel
+from coppice.plans.forest import ForestModel
 from coppice.plans.model import Trained
 from coppice.plans.roles import Roles
 
@@ -96,8 +97,9 @@ def save_trained(spark: SparkSession, trained: Trained, path: str) -> None:
 def load_trained(spark: SparkSession, path: str) -> Trained:
     parts = json.loads(spark.read.parquet(f"{path}/parts").first()["parts"])
     kind = parts.pop("model")
-    if kind == SoftmaxModel.__name__:
-        model = SoftmaxModel.load(spark, f"{path}/model")
+    own = {c.__name__: c for c in (SoftmaxModel, ForestModel)}
+    if kind in own:
+        model = own[kind].load(spark, f"{path}/model")
     else:
         loader = getattr(regression, kind, None) or getattr(classification, kind)
         model = loader.load(f"{path}/model")

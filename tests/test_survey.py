@@ -95,3 +95,14 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
         assert dealt_rows(rows, model_roles, weight, TrainParams(), None, n).rdd.getNumPartitions() == expected
     for params, width, expected in [(TrainParams(partitions=8), 1, 80), (TrainParams(partitions=100), 1, 100), (TrainParams(partitions=8), 128, 153)]:
         assert dealt_rows(rows, model_roles, weight, params, None, 40_000_000, width).rdd.getNumPartitions() == expected
+
+
+def test_rows_to_draw_from_are_counted(spark):
+    rows = spark.range(6000).selectExpr("cast(id % 2 as double) as v", "concat('k', id % 3) as y", "concat('g', cast(id >= 5400 as int)) as g")
+    roles = Roles(target="y", target_is_categorical=True, features=("v",), groups=("g",))
+    model_roles = ModelRoles(feature_roles(roles, rows), TargetRole("y", is_categorical=True), weight_roles(roles))
+    weight = weight_steps(model_roles.weight).fit(rows)
+    dealt = dealt_rows(rows, model_roles, weight, TrainParams(partitions=2), 3, 6000).collect()
+    # two numbers, three classes and one weight per class and group
+    assert sorted(r[COPIES] for r in dealt) == [100] * 6 + [900] * 6
+    assert sum(r[WEIGHT] for r in dealt) == pytest.approx(weight.transform(rows).agg(F.sum(weight.output_columns[-1])).first()[0])
