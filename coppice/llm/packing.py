@@ -13,16 +13,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.textwork import LOWER, UPPER, built, map_batches, pick, text_slices
+from coppice.llm.textwork import UPPER, built, column_slices, map_batches, pick
 from coppice.session import store_columns
 
 #: Pieces that one task packs together: a bound on its memory, not on the work.
 BLOCK_TOKENS, BLOCK_PIECES = 4096 * 8192, 500_000
-#: Bytes of text that are tokenised in one call: its chunks stand in memory as objects, many times its size.
-AT_ONCE = 500_000
+#: Bytes of text that are tokenised in one call; only its distinct chunks stand in memory as objects.
+AT_ONCE = 2_000_000
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,8 +36,8 @@ class WordIds:
     """
 
     #: Chunks that are remembered; those not met since half of it filled up are forgotten.
-    LIMIT = 400_000
-    _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\t-\r]|$)")
+    LIMIT = 200_000
+    _STOP = {"pattern": r"([a-z])([.,])([\x20\t-\r]|$)", "replacement": r"\1 \2\3"}
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
@@ -63,7 +64,7 @@ class WordIds:
                 text = (c.translate(UPPER) if self.at_added and self.at_added.search(c) else c).decode("utf-8", "surrogatepass")
                 (plain if text.isalpha() else other).append((c, text))
         if plain:  # each is one word of the tokenizer, so its last token is the only one that ends a word
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in plain), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
             if len(cuts) == len(plain) + 1 and cuts[-1] == len(data):
@@ -71,25 +72,41 @@ class WordIds:
             else:
                 other += plain
         if other:
-            found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
             known.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(other, found))
 
-    def ids(self, batch: list[bytes | None]) -> list[bytes]:
+    def ids(self, batch: pa.Array | list[bytes | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
-        whole = [t or b"" for t in batch]
+        whole = pc.fill_null(pa.array(batch, pa.binary()) if isinstance(batch, list) else pc.cast(batch, pa.binary()), b"")
         # Plain parts and, between each two of them, an added token.
-        parts = [self.at_added.split(t) if self.at_added and self.at_added.search(t) else [t] for t in whole]
-        chunks = [[self._STOP.sub(rb" \1", p.translate(LOWER)).split() for p in x[::2]] for x in parts]
+        split = {}
+        if self.at_added:
+            found = [pc.match_substring(whole, token) for token in self.added]
+            split = {i: self.at_added.split(whole[i].as_py()) for i in np.flatnonzero(np.any([x.to_numpy(zero_copy_only=False) for x in found], axis=0))}
+        if not split:
+            return self._plain(whole)
+        at, parts = 0, []
+        for i, x in split.items():
+            parts += [*whole[at:i].to_pylist(), *x[::2]]
+            at = i + 1
+        ids = iter(self._plain(pa.array([*parts, *whole[at:].to_pylist()], pa.binary())))
+        return [next(ids) + b"".join(self.added[token] + next(ids) for token in split.get(i, ())[1::2]) for i in range(len(whole))]
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text without added tokens."""
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts.view(pa.string())), **self._STOP)
+        split = pc.ascii_split_whitespace(lower)
+        chunks = split.flatten().dictionary_encode()
+        distinct = pc.cast(chunks.dictionary, pa.binary()).to_pylist()
         if len(self.known) > self.LIMIT // 2:
             self.older, self.known = self.known, {}
         known = self.known
-        self._encode(list({c for x in chunks for plain in x for c in plain if c not in known}))
-        return [b"".join(map(known.__getitem__, x[0])) if len(x) == 1 else self._between(x, part) for x, part in zip(chunks, parts)]
-
-    def _between(self, chunks: list[list[bytes]], parts: list[bytes]) -> bytes:
-        """The ids of plain parts with the added tokens between them."""
-        plain = [b"".join(map(self.known.__getitem__, x)) for x in chunks]
-        return plain[0] + b"".join(self.added[token] + ids for token, ids in zip(parts[1::2], plain[1:]))
+        self._encode([c for c in distinct if c not in known])
+        ids = pa.array(map(known.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(chunks.indices)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1,
@@ -106,7 +123,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def work(batch):
         words = built(held, WordIds)
         row, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32")}
-        for texts_of, data in text_slices(batch.column(1), AT_ONCE):
+        for texts_of, data in column_slices(batch.column(1), AT_ONCE):
             for i, ids in enumerate(words.ids(data), texts_of.start):
                 ids += end
                 for n, at in enumerate(range(0, len(ids) // 4, capacity)):

@@ -125,17 +125,23 @@ def slices(data: list[bytes | None], limit: int) -> Iterator[slice]:
         yield slice(first, len(data))
 
 
-def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[bytes | None]]]:
-    """Consecutive slices of a string column and their UTF-8 bytes; only one slice is copied at a time."""
+def column_slices(column: pa.Array, limit: int) -> Iterator[tuple[slice, pa.Array]]:
+    """Consecutive slices of a string column of at most ``limit`` bytes, or of one longer text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends, first = np.cumsum(sizes, dtype=np.int64), 0
     while first < len(sizes):
         before = ends[first - 1] if first else 0
         stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield slice(first, stop), texts(column.slice(first, stop - first))
+        yield slice(first, stop), column.slice(first, stop - first)
         first = stop
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """The same slices with their UTF-8 bytes; only one slice is copied at a time."""
+    for part, data in column_slices(column, limit):
+        yield part, texts(data)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """64-bit values in few bytes: equal places of all values stand together, then zstandard."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()

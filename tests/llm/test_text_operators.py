@@ -242,6 +242,32 @@ def test_ids_with_added_tokens_in_all_spellings():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_whole_columns():
+    """Only distinct chunks become objects, and white space, nulls and stops stay where the tokenizer has them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(4)
+    parts = ["a", "Be", "é", "É", "word", ".", ",", "..", ".,", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "'s", "7"]
+    made = [None, "", " ", *("".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(3000)), "a.", "a. ", " a,", None]
+    column = pa.array(["cut off", *made]).slice(1)
+    for text, ids in zip(made, words.ids(column), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert words.ids(column.slice(0, 0)) == []
+    long = b"two words, " * 50_000
+    tracemalloc.start()
+    words.ids([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(long)
+
+
 def test_short_items_stand_as_words():
     pieces = decontaminate.Pieces(([("a", "two words"), ("b", "x" * 30 + " end"), ("c", "é"), ("d", "(k)")], 25, 40))
     find = lambda text: [(pieces.items[n][0], d, end) for n, d, end in pieces.find(text)]
