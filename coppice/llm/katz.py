@@ -16,14 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.textwork import (
-    WordHashes, built, map_batches, mixed, pick, slices, split_words, squeeze, squeeze_sorted, texts, unsqueeze,
-    unsqueeze_sorted,
-)
+from coppice.llm.textwork import column_slices, map_batches, mixed, pick, squeeze, squeeze_sorted, texts, unsqueeze, unsqueeze_sorted
 from coppice.session import store_columns
 
 #: A space cannot stand in a word.
@@ -35,18 +33,45 @@ DISCOUNTED = 5
 #: Bytes of text that a task holds as numbers at a time.
 AT_ONCE = 5_000_000
 _SMOOTH = 0.1
-_WORDS = WordHashes()
 _SHIFT = np.uint64(21)
 #: Set in the number of a word that is not broadcast, and in the key of a pair with such a word.
 _TOP = np.uint64(1 << 63)
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    return [*split_words(text), END]
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, ascending; the place of each token among them; how many tokens a text has, its end included.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; only distinct ones become objects.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    coded = split.flatten().dictionary_encode()
+    words, borders = coded.dictionary, split.offsets.to_numpy()
+    numbers = coded.indices.to_numpy()
+    real = (pc.binary_length(words).to_numpy() > 0)[numbers]  # white space at a border leaves an empty word there
+    numbers, lengths = numbers[real], np.diff(np.concatenate([[0], np.cumsum(real)])[borders]) + 1
+    tokens = np.full(len(numbers) + len(lengths), len(words))
+    inside = np.ones(len(tokens), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    tokens[inside] = numbers
+    hashes, place = np.unique(_ids([*texts(words), END]), return_inverse=True)
+    return hashes, place[tokens], lengths
 
 
 def _ids(words: list[bytes]) -> np.ndarray:
-    return _WORDS.of(words) | _TOP
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | _TOP
+
+
+def _grouped(numbers: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of numbers under ``below``, ascending, where each begins in their order, how often it occurs, and that order."""
+    bits = len(numbers).bit_length()
+    if below << bits < 1 << 63:  # sorting values is several times as fast as sorting places
+        both = np.sort((numbers << bits) | np.arange(len(numbers)))
+        order, numbers = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[starts], starts, np.diff(starts, append=len(numbers)), order
 
 
 def _pair_keys(before: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -91,13 +116,14 @@ def _counted(before: np.ndarray, codes: np.ndarray, counts: np.ndarray | None =
     return before[starts], codes[starts], total.astype(np.int64)
 
 
-def _tables(rows: DataFrame, work, buckets: int) -> DataFrame:
-    """Keys and counts of every batch, added up per bucket and stored: ``bucket``, ``keys``, ``counts``."""
+def _tables(rows: DataFrame, buckets: int) -> DataFrame:
+    """Words and counts of every batch, added up per bucket and stored: ``bucket``, ``keys``, ``counts``."""
 
     def count(batch):
-        data = texts(batch.column(0))
-        for part in slices(data, AT_ONCE):
-            keys, counts = np.unique(work(data[part]), return_counts=True)
+        for _, data in column_slices(batch.column(0), AT_ONCE):
+            keys, tokens, _ = _tokens(data)
+            counts = np.bincount(tokens, minlength=len(keys))
+            keys, counts = keys[counts > 0], counts[counts > 0]
             split = _by_bucket(keys, buckets)
             yield {"bucket": pa.array([b for b, _ in split], pa.int64()),
                    "keys": pa.array([squeeze_sorted(keys[at]) for _, at in split], pa.binary()),
@@ -145,34 +171,27 @@ class Classes:
         return np.concatenate([[self.rare], self.counts + _SMOOTH]) / self.floor
 
 
-class _Coder:
-    """Numbers of words, remembered up to a bound."""
-
-    LIMIT = 250_000
-
-    def __init__(self, classes: Classes):
-        self.classes, self.known = classes, {}
+class _Coded:
+    """Texts as numbers: distinct ``codes`` of words and the begin, ascending, each token's place among them, and its predecessor's."""
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            hashes, held = _ids(new), self.classes.hashes
-            at = np.searchsorted(held, hashes)
-            fits = at < len(held)
-            fits[fits] = held[at[fits]] == hashes[fits]
-            other = np.uint64(0) if self.classes.merged else hashes
-            known.update(zip(new, np.where(fits, (at + 1).astype(np.uint64), other).tolist()))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __init__(self, column: pa.Array, classes: Classes):
+        self.hashes, self.tokens, self.lengths = _tokens(column)
+        held, begin = classes.hashes, np.uint64(len(classes.hashes) + 1)
+        at = np.searchsorted(held, self.hashes)
+        fits = at < len(held)
+        fits[fits] = held[at[fits]] == self.hashes[fits]
+        codes = np.where(fits, (at + 1).astype(np.uint64), np.uint64(0) if classes.merged else self.hashes)
+        self.codes, place = np.unique(np.append(codes, begin), return_inverse=True)
+        self.places = place[self.tokens]
+        self.before = np.empty_like(self.places)
+        self.before[1:] = self.places[:-1]
+        self.before[np.cumsum(self.lengths) - self.lengths] = place[-1]
 
-    def before(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The number of the word before each token."""
-        before = np.empty_like(codes)
-        before[1:] = codes[:-1]
-        before[np.cumsum(lengths) - lengths] = len(self.classes.hashes) + 1
-        return before
+    def pairs(self):
+        """The distinct pairs in ascending order of (``before``, ``codes``), and for each where its tokens begin, their number and their order."""
+        size = len(self.codes)
+        found, starts, runs, order = _grouped(self.before * size + self.places, size * size)
+        return self.codes[found // size], self.codes[found % size], starts, runs, order
 
 
 @dataclass(frozen=True)
@@ -218,7 +237,7 @@ def fit(docs: DataFrame, text_column: str = "text", frequent: int | None = None)
     spark = docs.sparkSession
     rows = pick(docs, text=text_column)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = _tables(rows, lambda data: _ids([w for t in data for w in _tokens(t)]), buckets)
+    words = _tables(rows, buckets)
 
     def total(batch):
         counts = [unsqueeze(x) for x in texts(batch.column(2))]
@@ -263,12 +282,8 @@ def _pair_tables(rows: DataFrame, held, buckets: int) -> DataFrame:
     names = ("bucket", "before", "codes", "counts")
 
     def count(batch):
-        coder = built(held, _Coder)
-        data = texts(batch.column(0))
-        for part in slices(data, AT_ONCE):
-            tokens = [_tokens(t) for t in data[part]]
-            codes = coder.codes([w for t in tokens for w in t])
-            before, codes, counts = _counted(coder.before(codes, np.array([len(t) for t in tokens])), codes)
+        for _, data in column_slices(batch.column(0), AT_ONCE):
+            before, codes, _, counts, _ = _Coded(data, held.value).pairs()
             split = _split(_pair_buckets(before, _pair_keys(before, codes), buckets))
             rows = [(b, squeeze_sorted(before[at]), squeeze(codes[at]), squeeze(counts[at])) for b, at in split]
             yield {k: pa.array(x, t) for k, x, t in zip(names, zip(*rows), kinds)}
@@ -419,40 +434,40 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         logs = spark.sparkContext.broadcast((own, np.log10(model.unseen)))
 
     def route(batch):
-        coder, (own, back) = built(held, _Coder), logs.value
-        data = texts(batch.column(1))
-        for part in slices(data, AT_ONCE):
-            tokens = [_tokens(t) for t in data[part]]
-            lengths = np.array([len(t) for t in tokens])
-            words = [w for t in tokens for w in t]
-            codes = coder.codes(words)
-            before = coder.before(codes, lengths)
-            doc = np.repeat(np.arange(len(tokens)), lengths)
+        own, back = logs.value
+        for part, data in column_slices(batch.column(1), AT_ONCE):
+            coded = _Coded(data, held.value)
+            lengths = coded.lengths
+            docs = len(lengths)
+            codes, before = coded.codes[coded.places], coded.codes[coded.before]
+            doc = np.repeat(np.arange(docs), lengths)
             rare, known = np.flatnonzero((codes == 0) | (codes >= _TOP)), np.flatnonzero((codes > 0) & (codes < _TOP))
-            base = np.bincount(doc[known], own[codes[known].astype(np.int64)], len(tokens))
+            base = np.bincount(doc[known], own[codes[known].astype(np.int64)], docs)
             weighed = np.flatnonzero(before < _TOP)
             ids = batch.column(0)[part.start : part.stop]
             table = pa.table({
                 "doc_id": ids, "n_tokens": pa.array(lengths, pa.int64()),
-                "n_known": pa.array(np.bincount(doc[known], minlength=len(tokens)).astype(np.int64)), "base": pa.array(base),
-                "score": pa.array(base + np.bincount(doc[weighed], back[before[weighed].astype(np.int64)], len(tokens)))})
+                "n_known": pa.array(np.bincount(doc[known], minlength=docs).astype(np.int64)), "base": pa.array(base),
+                "score": pa.array(base + np.bincount(doc[weighed], back[before[weighed].astype(np.int64)], docs))})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
             head = sink.getvalue().to_pybytes()
             # The same rows of the same task give the same name when a task runs again.
-            name = xxhash.xxh3_128_digest(head + b"".join(xxhash.xxh3_64_digest(t or b"") for t in data[part]))
-            rows = [(int.from_bytes(name[:4], "little") % buckets, name, len(tokens), head, None, None, None, None)]
-            pairs, single = _pair_keys(before, codes), _ids([words[i] for i in rare])
-            for alone, keys, at, home in ((False, pairs, doc, np.where(before >= _TOP, before, pairs)),
-                                          (True, single, doc[rare], single)):
-                order = np.argsort(keys, kind="stable")
-                distinct, starts, runs = np.unique(keys[order], return_index=True, return_counts=True)
-                at, home = at[order], home[order[starts]]
+            name = xxhash.xxh3_128_digest(head + coded.hashes[coded.tokens].tobytes())
+            rows = [(int.from_bytes(name[:4], "little") % buckets, name, docs, head, None, None, None, None)]
+            first, second, *groups = coded.pairs()
+            pairs = _pair_keys(first, second)
+            single, *singles = _grouped(coded.tokens[rare], len(coded.hashes))
+            single = coded.hashes[single]
+            for alone, keys, (starts, runs, order), owner, home in ((False, pairs, groups, doc, np.where(first >= _TOP, first, pairs)),
+                                                                    (True, single, singles, doc[rare], single)):
+                at, up = owner[order], np.argsort(keys, kind="stable")
+                distinct, starts, runs, home = keys[up], starts[up], runs[up], home[up]
                 for b, where in _by_bucket(home, buckets):
                     places = np.repeat(starts[where] - np.cumsum(runs[where]) + runs[where], runs[where])
                     places += np.arange(len(places))
-                    rows.append((b, name, len(tokens), None, alone, squeeze_sorted(distinct[where]), squeeze(runs[where].astype(np.int64)),
+                    rows.append((b, name, docs, None, alone, squeeze_sorted(distinct[where]), squeeze(runs[where].astype(np.int64)),
                                  squeeze(at[places].astype(np.int64))))
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), *[pa.binary()] * 3)
@@ -498,14 +513,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def evaluate(key, positions, stored):
         classes = weights.value[0]
         (have, counts), pairs, back = lookup(stored)
-        out = []
-        for row in positions.to_pylist():
+        out, name, sums = [], None, None
+        for row in positions.sort_by("name").to_pylist():
             if row["head"] is not None:
                 out.append((row["name"], row["head"], None))
                 continue
+            if row["name"] != name:
+                if name is not None:
+                    out.append((name, None, squeeze(sums.ravel())))
+                name, sums = row["name"], np.zeros((3, row["docs"]))
             keys, runs = unsqueeze_sorted(row["keys"], np.uint64), unsqueeze(row["runs"])
             places = unsqueeze(row["places"])
-            sums = np.zeros((3, row["docs"]))
             if row["alone"]:
                 r = found(have, keys, counts)
                 base = np.log10((r + _SMOOTH) / classes.floor)
@@ -515,7 +533,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             for total, x in zip(sums, values):
                 if not np.isscalar(x):
                     total += np.bincount(places, np.repeat(x.astype(float), runs), row["docs"])
-            out.append((row["name"], None, squeeze(sums.ravel())))
+        if name is not None:
+            out.append((name, None, squeeze(sums.ravel())))
         return pa.table({"name": pa.array([x[0] for x in out], pa.binary()), "head": pa.array([x[1] for x in out], pa.binary()),
                          "sums": pa.array([x[2] for x in out], pa.binary())})
 

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from coppice.llm import katz
@@ -78,6 +80,23 @@ def test_as_plain_version(spark, corpus, frequent, at_once, monkeypatch):
         assert got[i][3:] == pytest.approx(want[3:], rel=1e-9)
 
 
+def test_only_distinct_words_become_objects(monkeypatch):
+    hashed = []
+    ids = katz._ids
+    monkeypatch.setattr(katz, "_ids", lambda words: hashed.append(len(words)) or ids(words))
+    made = ["cut off", None, "", " ", "A  a\tb ", "\x0b\x0cB\x1cb\u00a0É\n", "two words " * 1000]
+    hashes, tokens, lengths = katz._tokens(pa.array(made).slice(1))
+    words = [[w.lower() if w.isascii() else w for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in made[1:]]
+    words[4] = ["b\x1cb\u00a0É"]
+    assert lengths.tolist() == [len(x) + 1 for x in words]
+    assert hashes[tokens].tolist() == ids([w.encode() for x in words for w in [*x, " end"]]).tolist()
+    assert sum(hashed) < 10
+    numbers = np.array([5, 0, 5, 3, 5])
+    for below in (6, 1 << 62):
+        found, starts, runs, order = katz._grouped(numbers, below)
+        assert (found.tolist(), starts.tolist(), runs.tolist(), order.tolist()) == ([0, 3, 5], [0, 1, 2], [1, 1, 3], [1, 3, 0, 2, 4])
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (None, "a b"), (2, None)], "doc_id long, text string")
     model = katz.fit(docs)
