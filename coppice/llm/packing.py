@@ -23,7 +23,9 @@ from coppice.session import store_columns
 #: Pieces that one task packs together: a bound on its memory, not on the work.
 BLOCK_TOKENS, BLOCK_PIECES = 4096 * 8192, 500_000
 #: Bytes of text that are tokenised in one call; only its distinct chunks stand in memory as objects.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
+#: Chunks that the tokenizer gets in one call; what it returns of each takes about a kilobyte.
+CHUNKS_AT_ONCE = 8_000
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -101,7 +103,9 @@ class WordIds:
         if len(self.known) > self.LIMIT // 2:
             self.older, self.known = self.known, {}
         known = self.known
-        self._encode([c for c in distinct if c not in known])
+        new = [c for c in distinct if c not in known]
+        for first in range(0, len(new), CHUNKS_AT_ONCE):
+            self._encode(new[first : first + CHUNKS_AT_ONCE])
         ids = pa.array(map(known.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(chunks.indices)
         _, ends, data = ids.buffers()
         cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
