@@ -113,18 +113,6 @@ def built(held, make):
     return _BUILT[2]
 
 
-def slices(data: list[bytes | None], limit: int) -> Iterator[slice]:
-    """Consecutive slices of at most ``limit`` bytes, or of one longer text."""
-    first = size = 0
-    for i, text in enumerate(data):
-        if i > first and size + len(text or b"") > limit:
-            yield slice(first, i)
-            first, size = i, 0
-        size += len(text or b"")
-    if first < len(data):
-        yield slice(first, len(data))
-
-
 def column_slices(column: pa.Array, limit: int) -> Iterator[tuple[slice, pa.Array]]:
     """Consecutive slices of a string column of at most ``limit`` bytes, or of one longer text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
