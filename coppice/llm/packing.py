@@ -23,7 +23,7 @@ from coppice.session import store_columns
 #: Pieces that one task packs together: a bound on its memory, not on the work.
 BLOCK_TOKENS, BLOCK_PIECES = 4096 * 8192, 500_000
 #: Bytes of text that are tokenised in one call; only its distinct chunks stand in memory as objects.
-AT_ONCE = 1_000_000
+AT_ONCE = 2_000_000
 #: Chunks that the tokenizer gets in one call; what it returns of each takes about a kilobyte.
 CHUNKS_AT_ONCE = 8_000
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
@@ -37,8 +37,8 @@ class WordIds:
     ignores the case of letters, so those ids are those of its chunks in order.
     """
 
-    #: Chunks that are remembered; those not met since half of it filled up are forgotten.
-    LIMIT = 200_000
+    #: Chunks that are remembered, as Arrow arrays; beyond it, those met since it was last reached stay, half of it at most.
+    LIMIT = 600_000
     _STOP = {"pattern": r"([a-z])([.,])([\x20\t-\r]|$)", "replacement": r"\1 \2\3"}
 
     def __init__(self, content: str):
@@ -53,29 +53,27 @@ class WordIds:
         added = sorted(((t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda x: (-len(x[0]), x))
         self.added = {token: np.array([i], "<u4").tobytes() for token, i in added}
         self.at_added = re.compile(b"(" + b"|".join(re.escape(token) for token, _ in added) + b")") if added else None
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.chunks, self.found = pa.array([], pa.binary()), pa.array([], pa.large_binary())
+        self.met = np.zeros(0, bool)
 
-    def _encode(self, chunks: list[bytes]) -> None:
-        known, plain, other = self.known, [], []
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        out, plain, other = {}, [], []
         for c in chunks:
-            if (ids := self.older.get(c)) is not None:
-                known[c] = ids
-            else:
-                # Another spelling of an added token is no such token, so it must not become one by lower-casing.
-                text = (c.translate(UPPER) if self.at_added and self.at_added.search(c) else c).decode("utf-8", "surrogatepass")
-                (plain if text.isalpha() else other).append((c, text))
+            # Another spelling of an added token is no such token, so it must not become one by lower-casing.
+            text = (c.translate(UPPER) if self.at_added and self.at_added.search(c) else c).decode("utf-8", "surrogatepass")
+            (plain if text.isalpha() else other).append((c, text))
         if plain:  # each is one word of the tokenizer, so its last token is the only one that ends a word
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
             if len(cuts) == len(plain) + 1 and cuts[-1] == len(data):
-                known.update((c, data[a:b]) for (c, _), a, b in zip(plain, cuts, cuts[1:]))
+                out.update((c, data[a:b]) for (c, _), a, b in zip(plain, cuts, cuts[1:]))
             else:
                 other += plain
         if other:
             found = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(other, found))
+            out.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(other, found))
+        return [out[c] for c in chunks]
 
     def ids(self, batch: pa.Array | list[bytes | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
@@ -99,14 +97,21 @@ class WordIds:
         lower = pc.replace_substring_regex(pc.ascii_lower(texts.view(pa.string())), **self._STOP)
         split = pc.ascii_split_whitespace(lower)
         chunks = split.flatten().dictionary_encode()
-        distinct = pc.cast(chunks.dictionary, pa.binary()).to_pylist()
-        if len(self.known) > self.LIMIT // 2:
-            self.older, self.known = self.known, {}
-        known = self.known
-        new = [c for c in distinct if c not in known]
+        distinct = pc.cast(chunks.dictionary, pa.binary())
+        at = pc.index_in(distinct, value_set=self.chunks)
+        new = distinct.filter(at.is_null())
+        at, fresh = at.fill_null(-1).to_numpy(zero_copy_only=False).copy(), len(self.chunks)
+        at[at < 0] = np.arange(fresh, fresh + len(new))
         for first in range(0, len(new), CHUNKS_AT_ONCE):
-            self._encode(new[first : first + CHUNKS_AT_ONCE])
-        ids = pa.array(map(known.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(chunks.indices)
+            found = self._encode(new[first : first + CHUNKS_AT_ONCE].to_pylist())
+            self.found = pa.concat_arrays([self.found, pa.array(found, pa.large_binary())])
+        self.chunks = pa.concat_arrays([self.chunks, new])
+        self.met = np.append(self.met, np.ones(len(new), bool))
+        self.met[at] = True
+        ids = self.found.take(pa.array(at).take(chunks.indices))
+        if len(self.chunks) > self.LIMIT:
+            stay = pa.array(np.flatnonzero(self.met)[-(self.LIMIT // 2) :])
+            self.chunks, self.found, self.met = self.chunks.take(stay), self.found.take(stay), np.zeros(len(stay), bool)
         _, ends, data = ids.buffers()
         cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
         data = memoryview(data or b"")

@@ -206,6 +206,27 @@ def pieces_of(rows, capacity):
     return sorted(out, key=repr)
 
 
+def test_words_met_again_are_tokenised_once(monkeypatch):
+    monkeypatch.setattr(packing.WordIds, "LIMIT", 100)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    texts = [" ".join(f"{c}word{i}" for i in range(n)).encode() for c, n in (("a", 40), ("b", 40), ("c", 20), ("d", 90))]
+    plain, sent = [words.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts], []
+    tokenizer = words.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, chunks, **options):
+            sent.extend(chunks)
+            return tokenizer.encode_batch_fast(chunks, **options)
+
+    words.tokenizer = Counted()
+    for i in (0, 1, 2, 0, 1, 3, 2, 1, 0):
+        assert np.frombuffer(words.ids([texts[i]])[0], "<u4").tolist() == plain[i]
+        if i == 3:
+            assert len(sent) == 190  # no word twice, as 100 are remembered
+    assert len(words.chunks) <= 100
+
+
 @pytest.mark.parametrize("capacity, block", [(4096, None), (64, 2000)])
 def test_packing(spark, capacity, block, monkeypatch):
     if block:
