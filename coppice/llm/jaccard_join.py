@@ -12,7 +12,7 @@ any pivot form one region, and if some member is beyond 2 t of all pivots, those
 without a pivot within t form another. This is no Voronoi partition: members are
 not dealt to their nearest pivot. There are no windows after that, because pairs
 that are connected already are not compared, so their distances are not known.
-From then on pivots, which have met all members, leave their region, and 4 times
+From then on pivots, which have met all members, leave their region, and 16 times
 as many are drawn, until few members are outside its largest connected part or
 it is small. A large region of unlinked members is thus screened pair by pair,
 with profiles; its work grows with the square of its members. No link is lost.
@@ -39,8 +39,8 @@ from coppice.session import store_columns
 AT_ONCE = 2_000_000
 #: Members up to which a region is joined directly.
 SMALL_REGION = 24
-#: Pivots of a region at first; 4 times as many at each further level.
-FIRST_PIVOTS = 4
+#: Pivots of a region at first, and how many times as many at each further level.
+FIRST_PIVOTS, MORE_PIVOTS = 4, 16
 #: Members of a region that one task compares with the pivots at a time.
 BLOCK = 4096
 #: The frequency table that orders shingles has 2 ** COUNT_BITS cells, whatever the input.
@@ -270,8 +270,10 @@ def _sets(rows: DataFrame, documents: DataFrame, members: DataFrame, width: int)
 
 def _chosen(table: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of ``table`` whose ``cls`` may be among ``names``, without a shuffle."""
-    held = _filter_of(names)
+    return _among(table, _filter_of(names))
 
+
+def _among(table: DataFrame, held) -> DataFrame:
     def keep(batches):
         for batch in batches:
             yield batch.filter(_may_contain(held.value, batch.column("cls")))
@@ -320,8 +322,8 @@ def _screened(members: DataFrame, pivots: DataFrame, sets: DataFrame, reach: int
     return store_columns(found.select("cell", "cls", "pivot", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``a``, ``b``, ``common`` and ``all`` (shingles) of the pairs with 100 common >= ``reach`` all; each has its reach."""
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b`` and ``reach`` of the pairs whose profiles allow a distance within their reach."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     profiles = _chosen(sets.select("cls", "n", "profile"), ends)
     side = lambda c: profiles.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"profile_{c}"))
@@ -337,7 +339,11 @@ def _distances(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "reach")})
             release()
 
-    near = store_columns(joined.mapInArrow(bound, "a binary, b binary, reach int"))
+    return joined.mapInArrow(bound, "a binary, b binary, reach int")
+
+
+def _distances(near: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """``a``, ``b``, ``common`` and ``all`` (shingles) of the pairs with 100 common >= ``reach`` all; each has its reach."""
     ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls")))
     packed = _chosen(sets.select("cls", "packed"), ends)
     whole = near.join(packed.select(F.col("cls").alias("a"), F.col("packed").alias("text_a")), "a").join(
@@ -388,28 +394,37 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
             F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
         live = live.where("labels > 1").select("cell", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
         members = store_columns(named.join(live, "cell"))
-        if members.isEmpty():
+        # Once few are outside the largest connected part of a large region, these are the pivots, and the region is done.
+        pivots_drawn = FIRST_PIVOTS * MORE_PIVOTS**level
+        last = F.col("outside") <= pivots_drawn
+        few, many, going_on = members.agg(
+            F.count_if(F.col("size") <= SMALL_REGION), F.count_if(F.col("size") > SMALL_REGION),
+            F.count_if((F.col("size") > SMALL_REGION) & ~last)).first()
+        if not few and not many:
             return labels
         # The members of a small region are compared with each other, where not connected yet.
         small = members.where(F.col("size") <= SMALL_REGION).select("cell", "cls", "label")
         other = small.select("cell", F.col("cls").alias("b"), F.col("label").alias("label_b"))
         within = small.join(other, "cell").where("cls < b and label != label_b").select(F.col("cls").alias("a"), "b")
+        pairs = within.select("a", "b", F.lit(linked).alias("reach"), F.lit(False).alias("screened"))
         # Of a large one, some members are pivots, compared with all that are not connected with them yet.
-        # Once few are outside the largest connected part, these are the pivots, and the region is done.
         large = members.where(F.col("size") > SMALL_REGION)
-        pivots_drawn = FIRST_PIVOTS * 4**level
-        last = F.col("outside") <= pivots_drawn
         slot = F.when(last, F.xxhash64("cls")).otherwise(F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(pivots_drawn)))
         drawn = large.where(~last | (F.col("label") != F.col("main"))).groupBy("cell", slot.alias("slot")).agg(
             F.min(F.struct("cls", "label")).alias("x"), F.first("size").alias("size"))
-        pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("cls"), F.col("x.label").alias("label"), "size"))
-        reach = linked if level else boundary
-        met = _screened(large, pivots, sets, reach)
-        # What is far is of use for windows only, so pairs of small regions need not reach beyond a link.
-        pairs = met.select("a", "b", F.lit(reach).alias("reach")).unionByName(within.withColumn("reach", F.lit(linked)))
-        pairs = pairs.groupBy("a", "b").agg(F.min("reach").alias("reach"))
-        pairs = store_columns(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        near = _distances(pairs, sets, width)
+        if many:
+            pivots = store_columns(drawn.select("cell", F.col("x.cls").alias("cls"), F.col("x.label").alias("label"), "size"))
+            # What is far is of use for windows only, so pairs of small regions need not reach beyond a link.
+            reach = linked if level else boundary
+            met = _screened(large, pivots, sets, reach)
+            far = met.select("a", "b", F.lit(reach).alias("reach"), F.lit(True).alias("screened"))
+            pairs = pairs.unionByName(far) if few else far
+        pairs = pairs.groupBy("a", "b").agg(F.min("reach").alias("reach"), F.max("screened").alias("screened"))
+        pairs = store_columns(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        allowed = pairs.where("screened").select("a", "b", "reach")
+        if few:  # those screened with pivots have passed by their profiles already
+            allowed = store_columns(allowed.unionByName(_bounded(pairs.where("not screened").drop("screened"), sets)))
+        near = _distances(allowed, sets, width)
         seen = pairs if seen is None else seen.unionByName(pairs)
         # Linked sets are connected; so are their labels.
         left, right = (labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
@@ -418,9 +433,9 @@ def _join_regions(regions: DataFrame, sets: DataFrame, width: int, percent: int)
         labels = store_columns(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select(
             "cls", F.coalesce("root", "label").alias("label")))
         # The regions of the next level; pivots have been compared with all members of theirs and are done.
-        large = large.where(~last)
-        if large.isEmpty():
+        if not going_on:
             return labels
+        large = large.where(~last)
         rest = large.select("cell", "cls").join(pivots.select("cell", "cls"), ["cell", "cls"], "left_anti")
         level += 1
         if level > 1:  # distances within a connected part are not known, so there are no windows to split by

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from coppice.llm import components as components_module
 from coppice.llm import jaccard_join
 
 
@@ -79,3 +80,41 @@ def test_repeated_and_null_ids_and_no_rows(spark):
     got = sorted((tuple(r) for r in jaccard_join.near_duplicates(docs).collect()), key=repr)
     assert got == plain(rows)[0]
     assert jaccard_join.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_jobs_of_a_crowd(spark):
+    """A crowd of near copies takes few jobs: each costs time, however small its tables."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    crowd = [r.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(crowd)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("crowd", "crowd")
+    try:
+        got = sorted((tuple(r) for r in jaccard_join.near_duplicates(docs).collect()), key=repr)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("crowd"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain(rows)[0]
+    assert jobs <= 110
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_by_one_task_and_by_rounds(spark, few, monkeypatch):
+    monkeypatch.setattr(components_module, "FEW_LINKS", few)
+    r = random.Random(5)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    root = {x: x for link in links for x in link}
+    for _ in range(100):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame([(str(1000 + a).encode(), str(1000 + b).encode()) for a, b in links], "a binary, b binary")
+    got = {(int(x["node"]) - 1000, int(x["root"]) - 1000) for x in components_module.components(edges).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {(x, root[x]) for x in linked}
+    assert components_module.components(edges.where("false")).count() == 0
