@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -492,7 +493,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows that may be dropped are shuffled.
     """
     mark = "row_mark"
-    while mark in docs.columns:
+    while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
     plain = [col(f.name) for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
     marked = docs.withColumn(mark, F.xxhash64(*plain))
@@ -500,24 +501,30 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = near_duplicates(marked.select(key.alias("key"), col(text_column).alias("text")), "key", "text", width, percent)
     found = store_columns(found.select("doc_id", "n_shingles", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
     # Equal rows are told apart by nothing: of those that stay, one is taken.
-    by_key = found.groupBy(F.col("doc_id.id").alias("kept_id"), F.col("doc_id.mark").alias("kept_mark")).agg(
+    kept_id, kept_mark, once = mark + "_id", mark + "_mark", mark + "_once"
+    by_key = found.groupBy(F.col("doc_id.id").alias(kept_id), F.col("doc_id.mark").alias(kept_mark)).agg(
         F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
-    unsure = store_columns(by_key.where(~F.col("stays") | (F.col("copies") > 1) & (F.col("n") > 0)))
-    name = F.unhex(F.lpad(F.hex(F.xxhash64("kept_id", "kept_mark")), 16, "0"))
-    held = _filter_of(unsure.select(name.alias("cls")))
+    alone = F.col("stays") & ((F.col("copies") == 1) | (F.col("n") == 0))
+    name = F.unhex(F.lpad(F.hex(F.xxhash64(kept_id, kept_mark)), 16, "0"))
+    by_key = store_columns(by_key.select(kept_id, kept_mark, "stays", alone.alias(once), name.alias("cls")))
+    # Few of those that stay have the name's bit of a row that goes or is repeated: only these are looked up,
+    # so the texts of rows that go are not shuffled.
+    held = _filter_of(by_key.where(~F.col(once)).select("cls"))
+    looked_up = store_columns(_among(by_key.where("stays"), held))
+    held_too = _filter_of(looked_up.select("cls"))
     named = marked.withColumn(mark + "name", F.unhex(F.lpad(F.hex(F.xxhash64(col(id_column), F.col(mark))), 16, "0")))
 
-    @F.arrow_udf("boolean")
-    def may(names: pa.Array) -> pa.Array:
-        found = _may_contain(held.value, names)
+    @F.arrow_udf("int")
+    def place(names: pa.Array) -> pa.Array:  # only the names leave the JVM
+        one, two = _may_contain(held.value, names), _may_contain(held_too.value, names)
         release()
-        return found
+        return pc.add(pc.cast(one, pa.int32()), pc.cast(pc.and_(one, two), pa.int32()))
 
-    def part(wanted: bool):  # only the names leave the JVM
-        return named.where(may(F.col(mark + "name")) == F.lit(wanted))
+    def part(wanted: int):
+        return named.where(place(F.col(mark + "name")) == F.lit(wanted))
 
-    maybe = part(True).join(unsure, col(id_column).eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left")
-    single = maybe.where(F.col("stays").isNull())
-    repeated = maybe.where(F.col("stays")).dropDuplicates([mark, "kept_id", "kept_mark"])
+    maybe = part(2).join(looked_up.drop("stays", "cls"), col(id_column).eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)))
+    single = maybe.where(F.col(once))
+    repeated = maybe.where(~F.col(once)).dropDuplicates([mark, kept_id, kept_mark])
     back = [col(c) for c in docs.columns]
-    return part(False).select(*back).unionByName(single.select(*back)).unionByName(repeated.select(*back))
+    return part(0).select(*back).unionByName(single.select(*back)).unionByName(repeated.select(*back))

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -62,3 +63,27 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_texts_that_go_are_not_shuffled(spark):
+    r = random.Random(1)
+    long = " ".join(f"{r.getrandbits(64):x}" for _ in range(2000))
+    other = " ".join(f"{r.getrandbits(64):x}" for _ in range(2000))
+    rows = [(i, f"{long} {i}") for i in range(50)] + [(100, other), (100, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.keep_one(docs)
+        assert sorted(tuple(r) for r in kept.collect()) == [(0, f"{long} 0"), (100, other)]
+        written, todo = 0, [kept._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            metric = node.metrics().get("shuffleBytesWritten")
+            written += metric.get().value() if metric.isDefined() else 0
+            below = node.children()
+            todo += [below.apply(i) for i in range(below.size())]
+            todo += [getattr(node, inner)() for inner in ("executedPlan", "plan") if inner in dir(node)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < written < 10 * len(long)
