@@ -61,3 +61,25 @@ def keep_methods_compiled(spark: SparkSession) -> None:
     name = "spark.sql.codegen.hugeMethodLimit"
     if spark.conf.get(name, HUGE_METHOD) == HUGE_METHOD:
         spark.conf.set(name, COMPILED_METHOD)
+
+
+#: Rows and bytes of an Arrow batch, and rows that the Parquet reader decodes at a time, where rows hold whole texts.
+#: Just under 4 MB, a batch is two slices of the 2 MB that the text operators take at once.
+TEXT_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "3900000",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """Let stages that run one after the other in a session hold few whole texts at a time.
+
+    At Spark's defaults a task holds 10,000 texts in the JVM (as rows that wait
+    for their results, and in an Arrow buffer that doubles as it grows) and
+    again in Python. An executor's JVM keeps what its heap has grown to, so
+    stages add up. A limit the user has set stays.
+    """
+    for name, small in TEXT_BATCHES.items():
+        if spark.conf.get(name, small) == small:
+            spark.conf.set(name, small)

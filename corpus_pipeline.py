@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm import decontaminate, jaccard_join, language, packing
 from coppice.llm.textwork import find_package
-from coppice.session import store_columns
+from coppice.session import keep_batches_small, store_columns
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear stay; those without letters or with a narrow margin go."""
+    keep_batches_small(spark)
     return language.keep_identified(docs, language.fit_languages(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays."""
+    keep_batches_small(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item stands go."""
+    keep_batches_small(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of 4096 tokens."""
+    keep_batches_small(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -4,10 +4,12 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from coppice.llm import decontaminate, jaccard_join
+from coppice.session import TEXT_BATCHES, keep_batches_small
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_jaccard_join import plain, texts  # noqa: E402
@@ -87,3 +89,36 @@ def test_texts_that_go_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert 0 < written < 10 * len(long)
+
+
+@pytest.fixture
+def usual_batches(spark):
+    """Spark's own limits of batches, whatever ran before."""
+    for name in TEXT_BATCHES:
+        spark.conf.unset(name)
+    yield
+    for name in TEXT_BATCHES:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_few_texts_at_a_time(spark, usual_batches, tmp_path, stage):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    path = str(tmp_path / "docs")
+    spark.range(0, 9000, 1, 1).selectExpr("id doc_id", "repeat(sha2(string(id), 256), 50) text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    stage(spark, spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20), FOLDER)
+    texts_seen = docs.select("text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in texts_seen) == 9000 and max(r["size"] for r in texts_seen) < 4_000_000
+    ids_seen = docs.select("doc_id").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in ids_seen) == 9000 and max(r["n"] for r in ids_seen) <= 2000  # their rows wait in the JVM meanwhile
+
+
+def test_limits_of_the_user_stay(spark, usual_batches):
+    for name in TEXT_BATCHES:
+        spark.conf.set(name, "7")
+    keep_batches_small(spark)
+    assert {spark.conf.get(name) for name in TEXT_BATCHES} <= {"7", "7b"}
