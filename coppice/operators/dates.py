@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as X
@@ -12,6 +12,9 @@ from coppice.functions.schema import TEMPORAL, quote, require
 from coppice.operators.steps import Stateless
 from coppice.session import keep_methods_compiled
 
+# More than any calendar part has values, and the days after which dates, weeks and weekdays repeat.
+KEY_BASE, CALENDAR_DAYS = 512, 146_097
+
 
 def conform_date(df: DataFrame, column: str | None) -> DataFrame:
     """Turn a string, date or zone-less timestamp column into a timestamp."""
@@ -60,8 +63,24 @@ class Season(Stateless):
             *(F.col(quote(c)) for c in kept),
             *(X.date_part(self.column, p).cast("double").alias(f"__{p}") for p in self.parts),
         )
-        terms = [
-            f"{X.wave(f'__{part}', X.SEASON_PARTS[part][0], phase, kind)} AS {quote(name)}"
-            for name, part, phase, kind in self._terms()
-        ]
-        return parts.selectExpr(*map(quote, kept), *terms)
+        return parts.selectExpr(*map(quote, kept), *self._waves())
+
+    def _waves(self) -> list[str]:
+        """The terms as SQL text, from columns of the parts."""
+        return [f"{X.wave(f'__{part}', X.SEASON_PARTS[part][0], phase, kind)} AS {quote(name)}" for name, part, phase, kind in self._terms()]
+
+    def key(self) -> Column:
+        """One number for all parts of the date, null without a date: the same key, the same terms."""
+        key = F.lit(0).cast("bigint")
+        for part in self.parts:
+            key = key * KEY_BASE + X.date_part(self.column, part)
+        return key
+
+    def calendar(self, spark: SparkSession) -> tuple[list[int], list[list[float]]]:
+        """Every key that a date can have, in order, and its terms: the calendar repeats after 400 years."""
+        dates = spark.range(CALENDAR_DAYS).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias(self.column))
+        parts = [X.date_part(self.column, p).cast("double").alias(f"__{p}") for p in self.parts]
+        keys = dates.select(self.key().alias("__key"), *parts).distinct()
+        rows = keys.selectExpr("__key", f"array({', '.join(w.rsplit(' AS ', 1)[0] for w in self._waves())}) AS __waves").collect()
+        found = sorted((row["__key"], row["__waves"]) for row in rows)
+        return [k for k, _ in found], [w for _, w in found]

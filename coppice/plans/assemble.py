@@ -116,14 +116,32 @@ class FittedVector(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep_methods_compiled(df.sparkSession)
+        vector = array_to_vector(F.expr(f"array({', '.join(self._inputs())})"))
+        return df.withColumn(self.output, vector.alias(self.output, metadata=self._attributes()))
+
+    def compact(self, df: DataFrame, season: Season | None) -> DataFrame:
+        """The vector's features as columns ``__x0``, ``__x1``..., but for the seasonal terms, which follow from the key ``__day``."""
+        keep_methods_compiled(df.sparkSession)
+        inputs, terms = self._inputs(), self.seasonal_places
+        day = season.key() if season else F.lit(None).cast("bigint")
+        return df.withColumns({f"__x{i}": F.expr(value) for i, value in enumerate(inputs) if i not in terms} | {"__day": day})
+
+    @property
+    def compact_columns(self) -> list[str]:
+        return [*(f"__x{i}" for i in range(len(self.feature_names)) if i not in self.seasonal_places), "__day"]
+
+    @property
+    def seasonal_places(self) -> range:
+        return range(len(self.numeric), len(self.numeric) + len(self.seasonal))
+
+    def _inputs(self) -> list[str]:
         inputs = [f"CASE WHEN {_finite(c)} THEN CAST({quote(c)} AS DOUBLE) ELSE 0D END" for c in self.numeric]
         inputs += [f"coalesce({quote(c)}, 0D)" for c in self.seasonal]
         for c in self.indicated:
             known = _finite(c) if c in self.numeric else f"{quote(c)} IS NOT NULL"
             inputs.append(f"CASE WHEN {known} THEN 0D ELSE 1D END")
         inputs += [f"CAST(coalesce({quote(c)}, {n}) AS DOUBLE)" for c, n in zip(self.coded, self.levels)]
-        vector = array_to_vector(F.expr(f"array({', '.join(inputs)})"))
-        return df.withColumn(self.output, vector.alias(self.output, metadata=self._attributes()))
+        return inputs
 
     def _attributes(self) -> dict:
         """Names of the features, and which are codes of how many levels, as Spark ML reads them."""

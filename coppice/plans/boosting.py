@@ -68,6 +68,19 @@ class Tree:
             return [node]
         return self.leaves(self.left[node]) + self.leaves(self.left[node] + 1)
 
+    @property
+    def toDebugString(self) -> str:
+        """The splits by bins, written as Spark does."""
+        def lines(node: int, indent: str) -> list[str]:
+            if self.feature[node] < 0:
+                return [f"{indent}Predict: {self.value[node]}"]
+            levels = self.levels[node]
+            left, right = ("in", "not in") if levels is not None else ("<=", ">")
+            bins = f"bin {self.limit[node]}" if levels is None else "{" + ",".join(map(str, levels)) + "}"
+            return [f"{indent}If (feature {self.feature[node]} {left} {bins})", *lines(self.left[node], indent + " "),
+                    f"{indent}Else (feature {self.feature[node]} {right} {bins})", *lines(self.left[node] + 1, indent + " ")]
+        return "\n".join(lines(0, ""))
+
     def goes_left(self, node: int, value: np.ndarray) -> np.ndarray:
         return value <= self.limit[node] if self.levels[node] is None else np.isin(value, self.levels[node])
 

@@ -7,12 +7,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions.schema import quote
-from coppice.operators.dates import conform_date
+from coppice.operators.dates import Season, conform_date
 from coppice.operators.encode import FittedOrdinal
 from coppice.operators.lookup import local_frame
 from coppice.operators.scale import FittedLog
@@ -29,6 +28,7 @@ from coppice.plans.assemble import (
 from coppice.plans.boosting import SoftmaxModel, SoftmaxTrees
 from coppice.plans.contract import check_columns, feature_needs, needs_of, target_needs
 from coppice.plans.forest import ForestTrees
+from coppice.plans.residuals import ResidualModel, ResidualTrees
 from coppice.plans.roles import ModelRoles, Roles, TargetRole, feature_roles, weight_roles
 from coppice.plans.survey import Survey, centred, choose_target, scaled_targets, target_totals
 from coppice.session import checkpoint_root, store_columns
@@ -73,29 +73,39 @@ class Trained:
     features: FittedChain
     vector: FittedVector
     target: FittedChain
-    model: Model | SoftmaxModel
+    model: Model | SoftmaxModel | ResidualModel
     dropped_rows: int = 0
 
+    def inputs(self, df: DataFrame) -> DataFrame:
+        """The features as the model reads them."""
+        featured = self.features.transform(df)
+        return self.vector.compact(featured, season_of(self.features)) if isinstance(self.model, ResidualModel) else self.vector.transform(featured)
+
     @property
     def num_classes(self) -> int | None:
         last = self.target.steps[-1]
         return last.num_classes if isinstance(last, FittedOrdinal) else None
 
 
+def season_of(features: FittedChain) -> Season | None:
+    return next((step for step in features.steps if isinstance(step, Season)), None)
+
+
 def _estimator(params: TrainParams, num_classes: int | None, vector: FittedVector):
+    if num_classes is None:
+        return ResidualTrees(len(vector.feature_names), vector.nominal, tuple(vector.seasonal_places), params.trees, params.depth, params.step,
+                             params.bins, label=LABEL, weight=WEIGHT, output=SCORE, partitions=params.partitions)
     bins = max(params.bins, vector.bins_needed)
-    if num_classes is not None and num_classes > 2 and params.multiclass == "softmax":
+    if num_classes > 2 and params.multiclass == "softmax":
         return SoftmaxTrees(num_classes, vector.nominal, params.trees, params.depth, params.step, params.bins, label=LABEL,
                             weight=WEIGHT, output=SCORE, partitions=params.partitions)
-    if num_classes is not None and num_classes > 2 and params.multiclass == "forest":
+    if num_classes > 2 and params.multiclass == "forest":
         return ForestTrees(num_classes, vector.nominal, params.trees, params.depth, params.bins, params.seed, label=LABEL,
                            weight=WEIGHT, copies=COPIES, output=SCORE, partitions=params.partitions)
     shared = dict(
         featuresCol="features", labelCol=LABEL, predictionCol=SCORE, maxDepth=params.depth, maxBins=bins, seed=params.seed
     )
     boosted = dict(shared, maxIter=params.trees, stepSize=params.step, weightCol=WEIGHT, checkpointInterval=10)
-    if num_classes is None:
-        return GBTRegressor(**boosted)
     if num_classes <= 2:
         return GBTClassifier(**boosted)
     if params.multiclass == "one_vs_rest":
@@ -165,22 +175,38 @@ def train(
     vector = fit_vector(features, missing, params.ordered_categories)
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
 
-    dealt = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"], len(vector.feature_names))
-    encoded = target.transform(features.transform(dealt))
+    if num_classes is None:  # the trainer deals cells, not rows
+        rows = weighed_rows(df, model_roles, weight)[0].withColumn(COPIES, F.lit(1))
+    else:
+        rows = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"], len(vector.feature_names))
+    encoded = target.transform(features.transform(rows))
     encoded = encoded.withColumn(LABEL, F.col(quote(target.output_columns[-1])).cast("double")).filter(F.col(LABEL).isNotNull())
-    ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
+    season, calendar = season_of(features), None
+    if num_classes is None:
+        ready, calendar = vector.compact(encoded, season), season and season.calendar(df.sparkSession)
+        ready = ready.select(*vector.compact_columns, LABEL, WEIGHT, COPIES)
+    else:
+        ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
     estimator = _estimator(params, num_classes, vector)
     ready = ready.persist()
     try:
         dropped = totals["n"] - (ready.agg(F.sum(COPIES)).first()[0] or 0)
         if dropped:
             logger.warning("%d rows without a label or weight are not used for training", dropped)
-        model = estimator.fit(ready)
+        model = estimator.fit(ready, calendar) if num_classes is None else estimator.fit(ready)
     finally:
         ready.unpersist()
     return Trained(roles, model_roles, features, vector, target, model, dropped)
 
 
+def weighed_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain) -> tuple[DataFrame, list[str]]:
+    """The columns that features and label are made from, with each row's weight; and their names. Rows without a weight are left out."""
+    needed = [*feature_needs(model_roles.feature), *target_needs(model_roles.target, prediction=False)]
+    keys = list(dict.fromkeys(column for column, _, _ in needed))
+    weighted = weight.transform(df).select(*(F.col(quote(c)) for c in keys), F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT))
+    return weighted.filter(F.col(WEIGHT).isNotNull()), keys
+
+
 def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, params: TrainParams, num_classes: int | None,
                n: int, width: int = 1) -> DataFrame:
     """The columns that features and label are made from, each row's weight and how many rows it stands for.
@@ -192,11 +218,8 @@ def dealt_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain, para
     files or the size of the cluster. A partition gets at most 500,000 of the ``n`` rows,
     and fewer of those with many (``width``) features.
     """
-    needed = [*feature_needs(model_roles.feature), *target_needs(model_roles.target, prediction=False)]
-    keys = list(dict.fromkeys(column for column, _, _ in needed))
+    weighted, keys = weighed_rows(df, model_roles, weight)
     by = [F.col(quote(c)) for c in keys]
-    weighted = weight.transform(df).select(*by, F.col(quote(weight.output_columns[-1])).cast("double").alias(WEIGHT))
-    weighted = weighted.filter(F.col(WEIGHT).isNotNull())
     if params.draws_rows(num_classes):
         each = weighted.groupBy(*by, F.col(WEIGHT).alias("__each")).agg(F.count(F.lit(1)).alias(COPIES))
         weighted, order = each.withColumn(WEIGHT, F.col("__each") * F.col(COPIES)).drop("__each"), [*by, F.col(WEIGHT)]
@@ -222,7 +245,7 @@ def predict(trained: Trained, df: DataFrame, output_column: str | None = None) -
         raise ValueError("\n".join(messages))
     output = output_column or trained.roles.target
     original = df.columns
-    scored = trained.model.transform(trained.vector.transform(trained.features.transform(df)))
+    scored = trained.model.transform(trained.inputs(df))
     restored = trained.target.inverse(scored, source=SCORE, into="__restored")
     kept = [quote(c) for c in original if c != output]
     return restored.select(*kept, F.col("__restored").alias(output))

@@ -31,6 +31,7 @@ from coppice.plans import assemble, roles as roles_module
 from coppice.plans.boosting import SoftmaxModel
 from coppice.plans.forest import ForestModel
 from coppice.plans.model import Trained
+from coppice.plans.residuals import ResidualModel
 from coppice.plans.roles import Roles
 
 # Characters and length of a model key, calls per model.
@@ -85,7 +86,7 @@ def save_trained(spark: SparkSession, trained: Trained, path: str) -> None:
         for name in ("roles", "model_roles", "features", "vector", "target", "dropped_rows")
     }
     parts["model"] = type(trained.model).__name__
-    if isinstance(trained.model, SoftmaxModel):
+    if isinstance(trained.model, SoftmaxModel | ResidualModel):
         trained.model.save(spark, f"{path}/model")
     else:
         trained.model.write().save(f"{path}/model")
@@ -97,7 +98,7 @@ def save_trained(spark: SparkSession, trained: Trained, path: str) -> None:
 def load_trained(spark: SparkSession, path: str) -> Trained:
     parts = json.loads(spark.read.parquet(f"{path}/parts").first()["parts"])
     kind = parts.pop("model")
-    own = {c.__name__: c for c in (SoftmaxModel, ForestModel)}
+    own = {c.__name__: c for c in (SoftmaxModel, ForestModel, ResidualModel)}
     if kind in own:
         model = own[kind].load(spark, f"{path}/model")
     else:

@@ -33,8 +33,8 @@ def train_predict_regression(spark, sf):
     Emits every order with two facts: its prediction is finite, and over all
     orders the squared error of the logarithm is below that of its mean.
     """
-    df = order_rows(spark, sf)
-    trained = train(ORDER_ROLES, df, FULL, store_input=True)
+    df = store_columns(order_rows(spark, sf).drop("o_custkey", "c_custkey"))  # one join for training and scoring
+    trained = train(ORDER_ROLES, df, FULL)
     scored = predict(trained, df.withColumn("actual", F.col("o_totalprice")).drop("o_totalprice"), "prediction")
     scored = store_columns(scored.select("o_orderkey", "actual", "prediction"))
     error = F.log1p("prediction") - F.log1p("actual")
