@@ -126,10 +126,6 @@ class FittedVector(Fitted):
         day = season.key() if season else F.lit(None).cast("bigint")
         return df.withColumns({f"__x{i}": F.expr(value) for i, value in enumerate(inputs) if i not in terms} | {"__day": day})
 
-    @property
-    def compact_columns(self) -> list[str]:
-        return [*(f"__x{i}" for i in range(len(self.feature_names)) if i not in self.seasonal_places), "__day"]
-
     @property
     def seasonal_places(self) -> range:
         return range(len(self.numeric), len(self.numeric) + len(self.seasonal))

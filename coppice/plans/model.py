@@ -176,29 +176,32 @@ def train(
     num_classes = target.steps[-1].num_classes if model_roles.target.is_categorical else None
 
     if num_classes is None:  # the trainer deals cells, not rows
-        rows = weighed_rows(df, model_roles, weight)[0].withColumn(COPIES, F.lit(1))
+        rows = weighed_rows(df, model_roles, weight)[0]
     else:
         rows = dealt_rows(df, model_roles, weight, params, num_classes, totals["n"], len(vector.feature_names))
     encoded = target.transform(features.transform(rows))
     encoded = encoded.withColumn(LABEL, F.col(quote(target.output_columns[-1])).cast("double")).filter(F.col(LABEL).isNotNull())
-    season, calendar = season_of(features), None
+    estimator = _estimator(params, num_classes, vector)
     if num_classes is None:
-        ready, calendar = vector.compact(encoded, season), season and season.calendar(df.sparkSession)
-        ready = ready.select(*vector.compact_columns, LABEL, WEIGHT, COPIES)
+        season = season_of(features)
+        model, n = estimator.fit(vector.compact(encoded, season), season and season.calendar(df.sparkSession))
+        dropped = _dropped(totals["n"], n)
     else:
-        ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES)
-    estimator = _estimator(params, num_classes, vector)
-    ready = ready.persist()
-    try:
-        dropped = totals["n"] - (ready.agg(F.sum(COPIES)).first()[0] or 0)
-        if dropped:
-            logger.warning("%d rows without a label or weight are not used for training", dropped)
-        model = estimator.fit(ready, calendar) if num_classes is None else estimator.fit(ready)
-    finally:
-        ready.unpersist()
+        ready = vector.transform(encoded).select("features", LABEL, WEIGHT, COPIES).persist()
+        try:
+            dropped = _dropped(totals["n"], ready.agg(F.sum(COPIES)).first()[0] or 0)
+            model = estimator.fit(ready)
+        finally:
+            ready.unpersist()
     return Trained(roles, model_roles, features, vector, target, model, dropped)
 
 
+def _dropped(n: int, used: int) -> int:
+    if n - used:
+        logger.warning("%d rows without a label or weight are not used for training", n - used)
+    return n - used
+
+
 def weighed_rows(df: DataFrame, model_roles: ModelRoles, weight: FittedChain) -> tuple[DataFrame, list[str]]:
     """The columns that features and label are made from, with each row's weight; and their names. Rows without a weight are left out."""
     needed = [*feature_needs(model_roles.feature), *target_needs(model_roles.target, prediction=False)]

@@ -30,10 +30,14 @@ from coppice.session import materialise
 
 #: Values that features of few bins may take together.
 JOINT = 1 << 14
-#: Cells in a block and, at most, in a partition; partitions unless given; sums that a task keeps at once.
-BLOCK, CELLS_PER_PARTITION, LEAST_PARTITIONS, SUMS_PER_PASS = 1 << 18, 1 << 19, 32, 1 << 23
-#: Cells that one task holds alone; sums of all partitions that the driver adds up.
-NEAR, SUMS_ON_DRIVER = 1 << 20, 1 << 19
+#: The key of the day, and what stands for none.
+DAY, NO_DAY = "__day", -1
+#: Values read in one piece.
+VALUES_PER_BLOCK = 1 << 20
+#: Bytes of cells in a block and, at most, in a partition; partitions unless given; sums that a task keeps at once.
+BLOCK, PARTITION, LEAST_PARTITIONS, SUMS_PER_PASS = 1 << 22, 24 << 20, 32, 1 << 23
+#: Bytes of cells that one task holds alone; sums of all partitions that the driver adds up.
+NEAR, SUMS_ON_DRIVER = 1 << 25, 1 << 19
 #: A split must gain this share of its sides at least; less is rounding.
 LEAST_GAIN = 1e-12
 #: Gains that differ by a smaller share are equal.
@@ -53,8 +57,36 @@ def _value(sortable: int) -> float:
     return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
-def quantiles(table: DataFrame, columns: list[str], ranks: list[int]) -> list[list[float]]:
-    """The values of each column at ``ranks``, from 1; exact, so they do not depend on files or partitions.
+def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as arrays of bytes, some rows in each: read several times, they need no conversion any more. A null is a day that is none."""
+    def blocks(batches):
+        for held in _gathered(batches, VALUES_PER_BLOCK // len(columns)):
+            table = pa.Table.from_batches(held)
+            yield pa.RecordBatch.from_arrays([pa.array([table[c].fill_null(NO_DAY).to_numpy().tobytes()], pa.binary()) for c in columns], columns)
+
+    return rows.select(*columns).mapInArrow(blocks, ", ".join(f"`{c}` binary" for c in columns))
+
+
+def _gathered(batches, least: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= least:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _arrays(batches, columns: list[str], whole: str | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """The arrays of each block; ``whole`` has whole numbers."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[k].as_buffer(), np.int64 if c == whole else np.float64) for c in columns}
+
+
+def quantiles(blocks: DataFrame, columns: list[str], ranks: list[int]) -> list[list[float]]:
+    """The values of each of the :func:`packed` columns at ``ranks``, from 1; exact, so they do not depend on files or partitions.
 
     Numbers are counted by their leading bits; of those around a rank the next bits are looked at.
     """
@@ -67,9 +99,9 @@ def quantiles(table: DataFrame, columns: list[str], ranks: list[int]) -> list[li
         def count(batches):
             sums = [np.zeros(len(mine) << bits, np.int64) for mine in heads]
             known = [np.array(mine, np.uint64) for mine in heads]
-            for batch in batches:
+            for block in _arrays(batches, columns):
                 for i, name in enumerate(columns):
-                    numbers = _sortable(batch.column(name).to_numpy()) >> np.uint64(left)
+                    numbers = _sortable(block[name]) >> np.uint64(left)
                     head = numbers >> np.uint64(bits)
                     at = np.minimum(np.searchsorted(known[i], head), len(known[i]) - 1)
                     here = known[i][at] == head
@@ -93,7 +125,7 @@ def quantiles(table: DataFrame, columns: list[str], ranks: list[int]) -> list[li
                 rows.append({"feature": i, "k": k, "head": str((head << bits) + low), "rank": int(rank - (mine[low - 1] if low else 0))})
             return pa.Table.from_pylist(rows, pa.schema([("feature", pa.int32()), ("k", pa.int32()), ("head", pa.string()), ("rank", pa.int64())]))
 
-        counts = table.select(*columns).mapInArrow(count, "feature int, place array<bigint>, n array<bigint>")
+        counts = blocks.select(*columns).mapInArrow(count, "feature int, place array<bigint>, n array<bigint>")
         found = counts.groupBy("feature").applyInArrow(find, "feature int, k int, head string, rank bigint").collect()
         for row in found:
             wanted[row["feature"]][row["k"]] = (int(row["head"]), row["rank"])
@@ -157,17 +189,15 @@ class Layout:
         return np.concatenate([[0], np.cumsum([self.unit_size(u) for u in range(len(self.units))])]).astype(np.int64)
 
     def codes(self, column, day) -> list[np.ndarray]:
-        """The numbers of rows whose features ``column`` gives by place; ``day`` gives keys as an Arrow array."""
+        """The numbers of rows whose features ``column`` gives by place; ``day`` gives keys."""
         found = {}
         for unit, (i, *_) in enumerate(self.units[: len(self.loose)]):
             bounds = self.bounds[i]
             values = column(i)
             found[unit] = np.clip(values, 0, self.sizes[i] - 1).astype(np.int64) if bounds is None else np.searchsorted(bounds, values, side="left")
         if self.seasonal:
-            key = day()
-            known = np.array(self.keys, np.int64)
-            at = np.searchsorted(known, key.fill_null(-1).to_numpy(zero_copy_only=False))
-            found[len(self.loose)] = np.where(key.is_valid().to_numpy(zero_copy_only=False), at, len(known))
+            key, known = day(), np.array(self.keys, np.int64)
+            found[len(self.loose)] = np.where(key == NO_DAY, len(known), np.searchsorted(known, key))
         out = []
         for units, kind in zip(self.joint, self.kinds):
             code, step = 0, 1
@@ -287,30 +317,51 @@ class ResidualTrees:
     output: str = "prediction"
     partitions: int | None = None
 
-    def fit(self, rows: DataFrame, calendar: tuple[list[int], list[list[float]]] | None = None) -> ResidualModel:
-        """Train on all rows of ``FittedVector.compact``, which should be persisted; ``calendar`` has the keys that days can have."""
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(self.label)).alias("label"), F.min(self.weight).alias("least"),
-                         F.max(self.weight).alias("most")).first()
-        if not facts["n"]:
-            raise ValueError("no rows to train on")
-        if not np.isfinite([facts["label"], facts["least"], facts["most"]]).all() or facts["least"] < 0:
-            raise ValueError("labels and weights must be finite, and weights not negative")
-        whole, layout = self._layouts(rows, facts["n"], calendar)
+    def fit(self, rows: DataFrame, calendar: tuple[list[int], list[list[float]]] | None = None) -> tuple[ResidualModel, int]:
+        """Train on all rows of ``FittedVector.compact``, read once, and count them; ``calendar`` has the keys that days can have."""
+        columns = [f"__x{i}" for i in range(self.names) if i not in self.seasonal]
+        blocks = packed(rows, [*columns, DAY, self.label, self.weight]).persist()
+        try:
+            counted, label, weight = self._facts(blocks)
+            n = sum(counted.values())
+            whole, layout = self._layouts(blocks, n, counted, calendar)
+            cells, near = self._cells(blocks, layout, n, label, weight)
+        finally:
+            blocks.unpersist()
         gains = np.zeros(self.names)
-        cells, n = self._cells(rows, layout, facts["label"] or 1.0)
         held = rows.sparkSession.sparkContext.broadcast(layout)
-        blocks = cells.rdd.map(partial(_unpacked, held=held))
-        if n <= NEAR:
-            trees, found = blocks.mapPartitions(partial(_grow_near, trainer=self, held=held)).first()
+        state = cells.rdd.map(partial(_unpacked, held=held))
+        if near:
+            trees, found = state.mapPartitions(partial(_grow_near, trainer=self, held=held)).first()
             gains += found
         else:
-            trees = self._grow_far(blocks, held, gains)
+            trees = self._grow_far(state, held, gains)
         total = gains.sum()
-        return ResidualModel(whole, trees, gains / total if total else gains, self.output)
+        return ResidualModel(whole, trees, gains / total if total else gains, self.output), n
+
+    def _facts(self, blocks: DataFrame) -> tuple[dict[int, int], float, float]:
+        """How many rows each day has, and the largest label, whatever its sign, and weight."""
+        names = [DAY, self.label, self.weight]
+
+        def facts(batches):
+            for block in _arrays(batches, names, DAY):
+                day, label, weight = (block[c] for c in names)
+                days, n = np.unique(day, return_counts=True)
+                same = [pa.array(np.full(len(days), value)) for value in (np.abs(label).max(), weight.min(), weight.max())]
+                yield pa.RecordBatch.from_arrays([pa.array(days), pa.array(n), *same], ["day", "n", "label", "least", "most"])
+
+        found = blocks.select(*names).mapInArrow(facts, "day bigint, n bigint, label double, least double, most double")
+        rows = found.groupBy("day").agg(F.sum("n").alias("n"), F.max("label").alias("label"), F.min("least").alias("least"), F.max("most").alias("most")).collect()
+        if not rows:
+            raise ValueError("no rows to train on")
+        values = np.array([(r["label"], r["least"], r["most"]) for r in rows])
+        if not np.isfinite(values).all() or values[:, 1].min() < 0:
+            raise ValueError("labels and weights must be finite, and weights not negative")
+        return {r["day"]: r["n"] for r in rows}, float(values[:, 0].max()) or 1.0, float(values[:, 2].max()) or 1.0
 
-    def _grow_far(self, blocks: RDD, held: Broadcast[Layout], gains: np.ndarray) -> list[Tree]:
+    def _grow_far(self, cells: RDD, held: Broadcast[Layout], gains: np.ndarray) -> list[Tree]:
         """Trees from sums over all partitions, a job for each level."""
-        state = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        state = cells.persist(StorageLevel.MEMORY_AND_DISK)
         trees: list[Tree] = []
         older = written = None
 
@@ -352,21 +403,21 @@ class ResidualTrees:
                 break
         return tree
 
-    def _layouts(self, rows: DataFrame, n: int, calendar) -> tuple[Layout, Layout]:
+    def _layouts(self, blocks: DataFrame, n: int, counted: dict[int, int], calendar) -> tuple[Layout, Layout]:
         """Bins of all features: with all keys that there can be, and with those among the rows."""
         numbers = [i for i in range(self.names) if i not in self.nominal and i not in self.seasonal]
         ranks = [-(-k * n // self.bins) for k in range(1, self.bins)]
         bounds: list[tuple[float, ...] | None] = [None] * self.names
-        for i, (least, *found) in zip(numbers, quantiles(rows, [f"__x{i}" for i in numbers], [1, *ranks]) if numbers else []):
+        for i, (least, *found) in zip(numbers, quantiles(blocks, [f"__x{i}" for i in numbers], [1, *ranks]) if numbers else []):
             bounds[i] = self._bounds(least, found)
         if not self.seasonal:
             whole = Layout(tuple(bounds), self._sizes(bounds))
             return whole, whole
         keys, terms = calendar
         terms = np.array([*terms, [0.0] * len(self.seasonal)])
-        counted = {row["__day"]: row["count"] for row in rows.groupBy("__day").count().collect()}
-        present = [k for k, key in enumerate([*keys, None]) if key in counted]
-        times = np.array([counted[[*keys, None][k]] for k in present])
+        known = [*keys, NO_DAY]
+        present = [k for k, key in enumerate(known) if key in counted]
+        times = np.array([counted[known[k]] for k in present])
         for j, i in enumerate(self.seasonal):
             order = np.argsort(terms[present, j], kind="stable")
             values, below = terms[present, j][order], np.cumsum(times[order])
@@ -387,38 +438,43 @@ class ResidualTrees:
     def _sizes(self, bounds) -> tuple[int, ...]:
         return tuple(self.nominal[i] if b is None else len(b) + 1 for i, b in enumerate(bounds))
 
-    def _cells(self, rows: DataFrame, layout: Layout, scale: float) -> tuple[DataFrame, int]:
-        """Blocks of cells, dealt by a hash of their numbers and sorted, so that sums do not depend on files or the cluster; and how many."""
+    def _cells(self, blocks: DataFrame, layout: Layout, n: int, most_label: float, most_weight: float) -> tuple[DataFrame, bool]:
+        """Blocks of cells, dealt by a hash of their numbers and sorted, so that sums do not depend on files or the cluster.
+
+        Says as well whether one task can hold all of them.
+        """
         label, weight, columns = self.label, self.weight, [f"__x{i}" for i in layout.loose]
+        width = sum(kind.itemsize for kind in layout.kinds) + 16
+        unit = 2.0 ** (62 - n.bit_length())  # whole numbers of it add up to the same sum in any order; what is left over is added up apart
 
         def coded(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    codes = layout.codes(lambda i: batch.column(f"__x{i}").to_numpy(), lambda: batch.column("__day"))
-                    mass = batch.column(weight).to_numpy()
-                    yield pa.RecordBatch.from_arrays([_packed(codes), batch.column(weight), pa.array(mass * (batch.column(label).to_numpy() / scale))],
-                                                     ["cell", "weight", "rest"])
-
-        def blocks(batches):
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    yield _block(held, scale)
-                    held = []
-            if sum(b.num_rows for b in held):
-                yield _block(held, scale)
-
-        # Decimals add up to the same sum in any order.
-        sums = [F.sum(F.col(c).cast("decimal(28,18)")).cast("double").alias(c) for c in ("weight", "rest")]
-        table = rows.select(*columns, "__day", label, weight).mapInArrow(coded, "cell binary, weight double, rest double")
-        summed = table.groupBy("cell").agg(*sums).persist()
-        n = summed.count()
-        partitions = 1 if n <= NEAR else max(self.partitions or LEAST_PARTITIONS, -(-n // CELLS_PER_PARTITION))
+            for block in _arrays(batches, [*columns, DAY, label, weight], DAY):
+                mass = block[weight] / most_weight
+                parts = []
+                for values in (mass, mass * (block[label] / most_label)):
+                    high = np.floor(values * unit)
+                    parts += [high, np.floor((values * unit - high) * unit)]
+                codes = layout.codes(lambda i: block[f"__x{i}"], lambda: block[DAY])
+                yield pa.RecordBatch.from_arrays([_packed(codes), *(pa.array(part.astype(np.int64)) for part in parts)], ["cell", *sums])
+
+        def together(batches):
+            for held in _gathered(batches, BLOCK // width):
+                table = pa.Table.from_batches(held)
+                parts = [table[c].to_numpy().astype(float) for c in sums]
+                weights, rests = ((high + low / unit) / unit * most_weight for high, low in (parts[:2], parts[2:]))
+                found = [b"".join(table["cell"].to_pylist()), weights.tobytes(), (rests * most_label).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary()) for part in found], ["cells", "weight", "rest"])
+
+        sums = ["weight", "weight_low", "rest", "rest_low"]
+        table = blocks.mapInArrow(coded, ", ".join(["cell binary", *(f"{c} bigint" for c in sums)]))
+        summed = table.groupBy("cell").agg(*(F.sum(c).alias(c) for c in sums)).persist()
+        size = summed.count() * width
+        near = size <= NEAR
+        partitions = 1 if near else max(self.partitions or LEAST_PARTITIONS, -(-size // PARTITION))
         dealt = summed.repartition(partitions, "cell").sortWithinPartitions("cell")
-        stored = materialise(dealt.mapInArrow(blocks, "cells binary, weight binary, rest binary"))
+        stored = materialise(dealt.mapInArrow(together, "cells binary, weight binary, rest binary"))
         summed.unpersist()
-        return stored, n
+        return stored, near
 
     def passes(self, active: list[int], layout: Layout) -> list[list[int]]:
         """Nodes whose sums a task can keep all at once."""
@@ -468,12 +524,6 @@ def _row_type(kinds: list[np.dtype]) -> np.dtype:
     return np.dtype([(f"c{i}", kind) for i, kind in enumerate(kinds)])
 
 
-def _block(held: list[pa.RecordBatch], scale: float) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held)
-    parts = [b"".join(table["cell"].to_pylist()), table["weight"].to_numpy().tobytes(), (table["rest"].to_numpy() * scale).tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.binary()) for part in parts], ["cells", "weight", "rest"])
-
-
 def _unpacked(row, held: Broadcast[Layout]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     cells = np.frombuffer(bytes(row["cells"]), _row_type(held.value.kinds))
     return [np.ascontiguousarray(cells[name]) for name in cells.dtype.names], np.frombuffer(bytes(row["weight"])), np.frombuffer(bytes(row["rest"]))
@@ -583,10 +633,10 @@ class ResidualModel:
         def predicted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             model = ResidualModel(*held.value)
             for columns in batches:
-                codes = model.layout.codes(lambda i: columns[place[i]].to_numpy(zero_copy_only=False), lambda: columns[-1])
+                codes = model.layout.codes(lambda i: columns[place[i]].to_numpy(zero_copy_only=False), lambda: columns[-1].fill_null(NO_DAY).to_numpy(zero_copy_only=False))
                 yield pa.array(model.scores(codes))
 
-        return df.withColumn(self.output, predicted(*(f"__x{i}" for i in self.layout.loose), "__day"))
+        return df.withColumn(self.output, predicted(*(f"__x{i}" for i in self.layout.loose), DAY))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """One row for the layout and one for each tree."""

@@ -10,7 +10,7 @@ from coppice.operators.dates import Season
 from coppice.plans import residuals
 from coppice.plans.model import TrainParams, predict, train
 from coppice.plans.registry import Registry
-from coppice.plans.residuals import ResidualModel, quantiles
+from coppice.plans.residuals import ResidualModel, packed, quantiles
 from coppice.plans.roles import Roles
 
 
@@ -43,7 +43,7 @@ def test_few_cells_take_few_jobs(spark, prices):
 def test_many_tasks_grow_the_same_trees_as_one(prices, monkeypatch, on_driver, tmp_path, spark):
     params = TrainParams(trees=7, depth=4, partitions=3)
     near = train(ROLES, prices, params)
-    for name, value in {"NEAR": 0, "SUMS_ON_DRIVER": on_driver, "STORE_EVERY": 2, "BLOCK": 100, "SUMS_PER_PASS": 1}.items():
+    for name, value in {"NEAR": 0, "SUMS_ON_DRIVER": on_driver, "STORE_EVERY": 2, "BLOCK": 2000, "VALUES_PER_BLOCK": 300, "SUMS_PER_PASS": 1}.items():
         monkeypatch.setattr(residuals, name, value)
     far = train(ROLES, prices.repartition(5), params)
     both = predict(far, predict(near, prices, "a"), "b")
@@ -95,7 +95,7 @@ def test_quantiles_are_exact(spark):
     values = np.concatenate([np.random.default_rng(3).normal(size=500) * 10.0 ** np.arange(-10, 10).repeat(25), [0.0, -0.0, 5e-324, -1e308, 1e308] * 3])
     df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(values)], "a double, b double").repartition(5)
     ranks = [1, 2, 100, 250, 257, 400, len(values)]
-    assert quantiles(df, ["a", "b"], ranks) == [[float(np.sort(values)[r - 1]) for r in ranks], [float(np.sort(np.arange(len(values)) % 3)[r - 1]) for r in ranks]]
+    assert quantiles(packed(df, ["a", "b"]), ["a", "b"], ranks) == [[float(np.sort(values)[r - 1]) for r in ranks], [float(np.sort(np.arange(len(values)) % 3)[r - 1]) for r in ranks]]
 
 
 def test_the_calendar_has_the_terms_of_all_dates(spark):
