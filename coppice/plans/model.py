@@ -49,7 +49,8 @@ class TrainParams:
     sorted there, so a model depends on the rows and these parameters, not on
     files or the size of the cluster; there are at least so many, 32 without a number, and
     one for each 500,000 rows or 2^25 values of features. Categories are nominal, and the trainer keeps statistics for
-    each of their levels; ``ordered_categories`` are split on by level order.
+    each of their levels; ``ordered_categories`` are split on by level order. Trees of a number are grown from cells
+    (``ResidualTrees``), which few enough take one task and else ``partitions``, or one for each 24 MB.
     """
 
     trees: int = 100
